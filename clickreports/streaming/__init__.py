@@ -1,0 +1 @@
+"""Empty on purpose: every report is one batch pass over the event table."""
