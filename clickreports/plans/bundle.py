@@ -6,8 +6,6 @@ bounded by the reports' own shapes, meet in the single row of the document.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,4 +164,8 @@ def _braced(members: Column) -> Column:
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """Union in pairs: every step analyses its whole plan, so a chain would be quadratic."""
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [pair[0].unionByName(pair[1]) if len(pair) == 2 else pair[0] for pair in pairs]
+    return parts[0]
