@@ -32,14 +32,16 @@ class Store:
     Reading it back cuts the lineage, survives lost executors, and gives the planner
     the table's real size: small ones are broadcast below the session's
     ``spark.sql.autoBroadcastJoinThreshold``, large ones meet in a shuffled join
-    whose hot partitions adaptive execution splits.
+    whose hot partitions adaptive execution splits. The tables stay in ``folder``
+    until the caller removes it.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self._spark = spark
-        self._folder = folder or f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
     def land(self, name: str, table: DataFrame) -> DataFrame:
-        path = f"{self._folder}/{name}"
-        table.write.parquet(path)
+        path = f"{self.folder}/{name}"
+        # The folder is this store's own; only a failed attempt can have left files here.
+        table.write.mode("overwrite").parquet(path)
         return self._spark.read.schema(table.schema).parquet(path)

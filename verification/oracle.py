@@ -334,7 +334,9 @@ _OVERALL_ONLY = {
     "page_referrer_cvr_exact": f"""SELECT domain, users, purchasers, {_pct('purchasers', 'users')} AS cvr
         FROM (SELECT {_DOMAIN} AS domain, {_USERS} AS users, {_BUYERS} AS purchasers FROM ev GROUP BY ALL)
         ORDER BY users DESC, domain LIMIT 20""",
-    # Building blocks
+}
+
+_BLOCKS = {
     "base_view": "SELECT * FROM ga",
     "source_group_of": "SELECT source, source_group, count(*) AS events FROM ga GROUP BY ALL",
     "first_touch": "SELECT uid, first_source AS source_group FROM touch",
@@ -374,10 +376,33 @@ _WALKS = {
 }
 
 
+def _bundle_items() -> str:
+    """Rows of each section, overall and per first-touch source (0 where it has none)."""
+    lists = {**_OVERALL_ONLY, **_shared(False), "journeys": _WALKS["journeys"]}
+    skipped = ("meta", "kpi", "platform_distribution_merged", "page_referrer_cvr_exact")
+    parts = [
+        f"SELECT 'all' AS scope, '{name}' AS section, count(*) AS items FROM ({sql})"
+        for name, sql in lists.items()
+        if name not in skipped
+    ]
+    parts += [
+        f"SELECT 'sankey', 'links', count(*) FROM ({_links(100)})",
+        f"SELECT 'sankey', 'nodes', count(*) FROM ({_nodes(100)})",
+    ]
+    parts += [
+        f"SELECT s.first_source, '{name}', count(r.source_group) FROM (SELECT DISTINCT first_source FROM touch) s"
+        f" LEFT JOIN ({sql}) r ON r.source_group = s.first_source GROUP BY s.first_source"
+        for name, sql in _shared(True).items()
+        if name != "kpi"
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def statements() -> dict[str, str]:
-    overall = {**_OVERALL_ONLY, **_shared(False)}
+    overall = {**_OVERALL_ONLY, **_BLOCKS, **_shared(False)}
     per_source = {f"{name}_per_source": sql for name, sql in _shared(True).items()}
     return {
         **{name: _BASE + sql for name, sql in {**overall, **per_source}.items()},
         **{name: _BASE + _WALK + sql for name, sql in _WALKS.items()},
+        "report_bundle_items": _BASE + _WALK + _bundle_items(),
     }

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickreports.config import PATH_SEPARATOR, EVENT_LABELS
+from clickreports.config import EVENT_LABELS, PATH_SEPARATOR
 from clickreports.functions import categories as C
 from clickreports.functions import metrics as M
 from clickreports.operators import sequences, users
@@ -86,6 +86,24 @@ def _purchase_delays(m: Marts) -> DataFrame:
     )
 
 
+def _bundle_items(m: Marts) -> DataFrame:
+    """Number of entries of every list in the document, read back from its text."""
+    entries = "map<string,string>"
+    sections = bundle(m).select(F.explode(F.from_json("json", entries)).alias("section", "text"))
+    nested = sections.where("section IN ('sankey', 'by_source')").select(
+        "section", F.explode(F.from_json("text", entries)).alias("name", "part")
+    )
+    sankey = nested.where("section = 'sankey'").select(F.lit("sankey").alias("scope"), F.col("name").alias("section"), "part")
+    per_source = nested.where("section = 'by_source'").select(
+        F.col("name").alias("scope"), F.explode(F.from_json("part", entries)).alias("section", "part")
+    )
+    overall = sections.select(F.lit("all").alias("scope"), "section", F.col("text").alias("part"))
+    lists = overall.unionByName(sankey).unionByName(per_source)
+    return lists.select("scope", "section", F.json_array_length("part").cast("bigint").alias("items")).where(
+        F.col("items").isNotNull()
+    )
+
+
 def _labelled(column: str, label: str, value) -> Callable[[Marts], DataFrame]:
     return lambda m: (
         m.events.where(F.col(column).isNotNull() | F.lit(column != "page_location"))
@@ -135,5 +153,6 @@ def queries() -> dict[str, Query]:
         "first_steps": lambda m: sequences.first_steps(_listed(m), 10),
         "user_paths": _user_paths,
         "report_bundle": bundle,
+        "report_bundle_items": _bundle_items,
     }
     return {name: _over_marts(build) for name, build in {**reports, **blocks}.items()}
