@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SOURCE = "source_group"
+
 
 def user_cells(events: DataFrame, by: Sequence[str], *measures: Column) -> DataFrame:
     """One row per user and combination of ``by``, with ``measures`` aggregated."""
@@ -28,6 +30,31 @@ def attribute(rows: DataFrame, users: DataFrame) -> DataFrame:
     return rows.join(users.select("uid", "first_source", "is_purchaser"), "uid")
 
 
+def by_first_source(rows: DataFrame) -> DataFrame:
+    """Name a pre-aggregate's first-touch source as the per-source reports do.
+
+    Where the rows also hold the event's own group, the user's first one replaces it.
+    """
+    return rows.drop(SOURCE).withColumnRenamed("first_source", SOURCE)
+
+
+def over_sources(
+    counts: DataFrame, by: Sequence[str], by_source: bool, lowest: Sequence[str] = ()
+) -> DataFrame:
+    """Per-source counts as they are, or added up over the sources.
+
+    A user has one first-touch source, so counts of users add up; ``lowest`` columns
+    take the minimum. Both forms of a report share the costly step below this one, and
+    Spark runs it once when they are part of one query.
+    """
+    if by_source:
+        return counts
+    measures = [name for name in counts.columns if name not in (SOURCE, *by)]
+    return counts.groupBy(*by).agg(
+        *[(F.min(name) if name in lowest else F.sum(name)).alias(name) for name in measures]
+    )
+
+
 def distinct_orders(purchases: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct transactions per ``by``; purchases without an id are no orders."""
     ids = purchases.where(F.col("transaction_id").isNotNull()).select(*by, "transaction_id").distinct()

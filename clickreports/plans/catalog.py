@@ -9,13 +9,11 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from clickreports import config
+from clickreports.operators.cells import SOURCE
 from clickreports.operators.ranking import ordering
 from clickreports.plans import dimensions, overview, segments, trends
 from clickreports.plans.marts import Marts
 
-SOURCE = "source_group"
-
-
 @dataclass(frozen=True)
 class Report:
     """``columns`` in output order; ``order`` as for ``operators.ranking.ordering``."""

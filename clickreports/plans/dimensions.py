@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clickreports import config
 from clickreports.functions import metrics as M
 from clickreports.functions.categories import domain_of, or_default
-from clickreports.operators.cells import distinct_orders, merge_counts
+from clickreports.operators.cells import SOURCE, by_first_source, distinct_orders, merge_counts, over_sources
 from clickreports.operators.ranking import top
 from clickreports.plans.marts import Marts
 
@@ -33,14 +33,15 @@ def dimension_cvr(
     """
     value = F.col(dimension)
     rows = m.user_dimensions.withColumn("value_key", or_default(value, default) if merge_labels else value)
-    by = _source_key(by_source)
-    rows = _with_source(rows, by_source)
     sums = [F.sum("revenue").alias("revenue")] if with_revenue else []
-    per_user = rows.groupBy(*by, "value_key", "uid").agg(F.max("is_purchaser").alias("is_purchaser"), *sums)
-    counted = per_user.groupBy(*by, "value_key").agg(
+    per_user = by_first_source(rows).groupBy(SOURCE, "value_key", "uid").agg(
+        F.max("is_purchaser").alias("is_purchaser"), *sums
+    )
+    counts = per_user.groupBy(SOURCE, "value_key").agg(
         F.count(F.lit(1)).alias("users"), F.sum("is_purchaser").alias("purchasers"), *sums
     )
-    kept = top(counted, by, ["-users", "value_key"], k)
+    values = over_sources(counts, ["value_key"], by_source)
+    kept = top(values, _source_key(by_source), ["-users", "value_key"], k)
     if with_revenue:
         kept = kept.withColumn("revenue", M.money("revenue"))
     return kept.withColumn("cvr", M.pct(F.col("purchasers"), F.col("users"))).withColumn(
@@ -50,11 +51,11 @@ def dimension_cvr(
 
 def page_path_cvr(m: Marts, by_source: bool = False) -> DataFrame:
     """Visitors, ever-purchasers and their share per page category."""
-    rows = _with_source(m.user_page_paths, by_source)
-    counted = rows.groupBy(*_source_key(by_source), F.col("page_path").alias("path")).agg(
+    counts = by_first_source(m.user_page_paths).groupBy(SOURCE, F.col("page_path").alias("path")).agg(
         F.count(F.lit(1)).alias("visitors"), F.sum("is_purchaser").alias("purchasers")
     )
-    return counted.withColumn("cvr", M.pct(F.col("purchasers"), F.col("visitors")))
+    paths = over_sources(counts, ["path"], by_source)
+    return paths.withColumn("cvr", M.pct(F.col("purchasers"), F.col("visitors")))
 
 
 def page_referrer_cvr(m: Marts, by_source: bool = False, exact: bool = False) -> DataFrame:
@@ -65,13 +66,13 @@ def page_referrer_cvr(m: Marts, by_source: bool = False, exact: bool = False) ->
     counts each user once per domain over all URLs.
     """
     by = _source_key(by_source)
-    rows = _with_source(m.user_referrers, by_source)
+    rows = by_first_source(m.user_referrers)
     counts = [F.count(F.lit(1)).alias("users"), F.sum("is_purchaser").alias("purchasers")]
     if exact:
         rows = rows.select(*by, "uid", "is_purchaser", domain_of("page_referrer").alias("domain")).distinct()
         domains = rows.groupBy(*by, "domain").agg(*counts)
     else:
-        urls = rows.groupBy(*by, "page_referrer").agg(*counts)
+        urls = over_sources(rows.groupBy(SOURCE, "page_referrer").agg(*counts), ["page_referrer"], by_source)
         urls = urls if by_source else top(urls, by, ["-users", "page_referrer"], LIMITS.referrer_urls)
         domains = urls.groupBy(*by, domain_of("page_referrer").alias("domain")).agg(
             F.sum("users").alias("users"), F.sum("purchasers").alias("purchasers")
@@ -84,20 +85,14 @@ def top_items(m: Marts, by_source: bool = False) -> DataFrame:
     """Items with most revenue: revenue, distinct orders, distinct buyers."""
     by = _source_key(by_source)
     keys = [*by, "item"]
-    items = _with_source(m.user_items, by_source).withColumnRenamed("first_item_name", "item")
-    sold = items.groupBy(*keys).agg(F.sum("revenue").alias("revenue"), F.sum("purchased").alias("buyers"))
-    bought = _with_source(m.purchases.where(F.col("first_item_name") != ""), by_source)
+    items = by_first_source(m.user_items).withColumnRenamed("first_item_name", "item")
+    counts = items.groupBy(SOURCE, "item").agg(F.sum("revenue").alias("revenue"), F.sum("purchased").alias("buyers"))
+    sold = over_sources(counts, ["item"], by_source)
+    bought = by_first_source(m.purchases.where(F.col("first_item_name") != ""))
     orders = distinct_orders(bought.withColumnRenamed("first_item_name", "item"), keys)
     kept = top(merge_counts(keys, sold, orders), by, ["-revenue", "item"], LIMITS.top_values)
     return kept.withColumn("revenue", M.money("revenue"))
 
 
-def _with_source(rows: DataFrame, by_source: bool) -> DataFrame:
-    if not by_source:
-        return rows
-    # Also a dimension: the per-event group gives way to the user's first one.
-    return rows.drop("source_group").withColumnRenamed("first_source", "source_group")
-
-
 def _source_key(by_source: bool) -> list[str]:
-    return ["source_group"] if by_source else []
+    return [SOURCE] if by_source else []

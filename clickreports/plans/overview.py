@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clickreports import config
 from clickreports.functions import metrics as M
 from clickreports.functions.categories import or_default
+from clickreports.operators.cells import SOURCE, by_first_source, over_sources
 from clickreports.operators.sequences import common_journeys, link_nodes, transition_links
 from clickreports.plans.marts import Marts
 
@@ -53,7 +54,7 @@ def kpi(m: Marts, by_source: bool = False) -> DataFrame:
     if not by_source:
         return m.users.agg(*figures)
     joined = F.sum(F.greatest(F.col("purchase_count"), F.lit(1)))
-    return m.users.groupBy(F.col("first_source").alias("source_group")).agg(
+    return by_first_source(m.users).groupBy(SOURCE).agg(
         *figures,
         joined.alias("total_users_joined"),
         M.pct(buyers, joined).alias("conversion_rate_joined"),
@@ -133,10 +134,10 @@ def journeys(m: Marts) -> DataFrame:
 
 def event_distribution(m: Marts, by_source: bool = False) -> DataFrame:
     """Events and users per event name."""
-    by = [F.col("first_source").alias("source_group")] if by_source else []
-    return m.user_event_names.groupBy(*by, F.col("event_name").alias("event")).agg(
+    counts = by_first_source(m.user_event_names).groupBy(SOURCE, F.col("event_name").alias("event")).agg(
         F.sum("events").alias("events"), F.count(F.lit(1)).alias("users")
     )
+    return over_sources(counts, ["event"], by_source)
 
 
 def platform_distribution(m: Marts, merge_labels: bool = False) -> DataFrame:

@@ -14,28 +14,28 @@ from clickreports.functions.categories import (
     rank_of,
     session_bucket,
 )
-from clickreports.operators.cells import distinct_orders, merge_counts
+from clickreports.operators.cells import SOURCE, by_first_source, distinct_orders, merge_counts, over_sources
 from clickreports.plans.marts import Marts
 
 
 def purchase_frequency(m: Marts, by_source: bool = False) -> DataFrame:
     """Purchasers by their number of purchase events."""
-    buyers = m.users.where(F.col("is_purchaser") == 1)
-    return buyers.groupBy(*_source(by_source), F.col("purchase_count").alias("purchases")).agg(
-        F.count(F.lit(1)).alias("users")
-    )
+    buyers = by_first_source(m.users.where(F.col("is_purchaser") == 1))
+    counts = buyers.groupBy(SOURCE, F.col("purchase_count").alias("purchases")).agg(F.count(F.lit(1)).alias("users"))
+    return over_sources(counts, ["purchases"], by_source)
 
 
 def order_values(m: Marts, by_source: bool = False) -> DataFrame:
     """Value of each order; per source, an order shared by two sources is two orders."""
-    orders = m.purchases.where(F.col("transaction_id").isNotNull())
-    return orders.groupBy(*_source(by_source), "transaction_id").agg(F.sum("revenue").alias("order_value"))
+    orders = by_first_source(m.purchases.where(F.col("transaction_id").isNotNull()))
+    by = [SOURCE] if by_source else []
+    return orders.groupBy(*by, "transaction_id").agg(F.sum("revenue").alias("order_value"))
 
 
 def aov_distribution(m: Marts, by_source: bool = False) -> DataFrame:
     """Orders and their mean value per bucket of order value."""
     value = F.col("order_value")
-    by = ["source_group"] if by_source else []
+    by = [SOURCE] if by_source else []
     return order_values(m, by_source).groupBy(*by, order_value_bucket(value).alias("bucket")).agg(
         F.count(F.lit(1)).alias("orders"),
         M.ratio(F.sum(value), F.count(F.lit(1)), 0).alias("avg_value"),
@@ -48,15 +48,15 @@ def new_vs_returning(m: Marts, by_source: bool = False) -> DataFrame:
 
     Users without a positive session number are left out.
     """
-    known = m.users.where(F.col("min_session").isNotNull())
+    known = by_first_source(m.users.where(F.col("min_session").isNotNull()))
     kind = F.when(F.col("min_session") == 1, F.lit("New")).otherwise(F.lit("Returning"))
-    users, buyers = F.count(F.lit(1)), F.sum("is_purchaser")
-    return known.groupBy(*_source(by_source), kind.alias("type")).agg(
-        users.alias("users"),
-        M.money(F.sum("revenue")).alias("revenue"),
-        buyers.alias("purchasers"),
-        M.pct(buyers, users).alias("cvr"),
+    counts = known.groupBy(SOURCE, kind.alias("type")).agg(
+        F.count(F.lit(1)).alias("users"),
+        F.sum("revenue").alias("revenue"),
+        F.sum("is_purchaser").alias("purchasers"),
     )
+    kinds = over_sources(counts, ["type"], by_source)
+    return _with_cvr(kinds.withColumn("revenue", M.money("revenue")))
 
 
 def revenue_by_source(m: Marts) -> DataFrame:
@@ -68,32 +68,32 @@ def revenue_by_source(m: Marts) -> DataFrame:
 
 def session_depth_cvr(m: Marts, by_source: bool = False) -> DataFrame:
     """Users, purchasers and their share per bucket of the highest session number."""
-    known = m.users.where(F.col("max_session").isNotNull())
-    users, buyers = F.count(F.lit(1)), F.sum("is_purchaser")
-    return known.groupBy(*_source(by_source), session_bucket("max_session").alias("bucket")).agg(
-        users.alias("users"),
-        buyers.alias("purchasers"),
-        M.pct(buyers, users).alias("cvr"),
+    known = by_first_source(m.users.where(F.col("max_session").isNotNull()))
+    counts = known.groupBy(SOURCE, session_bucket("max_session").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("users"),
+        F.sum("is_purchaser").alias("purchasers"),
         F.min("max_session").alias("bucket_order"),
     )
+    return _with_cvr(over_sources(counts, ["bucket"], by_source, lowest=["bucket_order"]))
 
 
 def engagement_distribution(m: Marts, by_source: bool = False) -> DataFrame:
     """Purchasers and other users per bucket of total engagement time."""
     labels = [label for _, _, label in config.ENGAGEMENT_SECOND_BUCKETS]
-    counted = m.users.groupBy(*_source(by_source), engagement_bucket("engagement_msec").alias("bucket")).agg(
+    counts = by_first_source(m.users).groupBy(SOURCE, engagement_bucket("engagement_msec").alias("bucket")).agg(
         F.sum("is_purchaser").alias("purchasers"),
         F.sum(F.lit(1) - F.col("is_purchaser")).alias("non_purchasers"),
     )
-    return counted.withColumn("bucket_order", rank_of("bucket", labels))
+    return over_sources(counts, ["bucket"], by_source).withColumn("bucket_order", rank_of("bucket", labels))
 
 
 def visit_frequency(m: Marts, by_source: bool = False) -> DataFrame:
     """Users by their number of distinct pseudo ids."""
-    return m.users.groupBy(*_source(by_source), pseudo_id_bucket("pseudo_ids").alias("bucket")).agg(
+    counts = by_first_source(m.users).groupBy(SOURCE, pseudo_id_bucket("pseudo_ids").alias("bucket")).agg(
         F.count(F.lit(1)).alias("users"), F.min("pseudo_ids").alias("bucket_order")
     )
+    return over_sources(counts, ["bucket"], by_source, lowest=["bucket_order"])
 
 
-def _source(by_source: bool) -> list:
-    return [F.col("first_source").alias("source_group")] if by_source else []
+def _with_cvr(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("cvr", M.pct(F.col("purchasers"), F.col("users")))

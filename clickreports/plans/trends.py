@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickreports.functions import metrics as M
 from clickreports.functions.categories import day_name
-from clickreports.operators.cells import distinct_orders, merge_counts
+from clickreports.operators.cells import SOURCE, by_first_source, distinct_orders, merge_counts, over_sources
 from clickreports.plans.marts import Marts
 
 
 def daily_trend(m: Marts, by_source: bool = False) -> DataFrame:
     """Users, users who purchased that day, and their share, per day."""
-    days = _users_and_buyers(_named(m.user_hours, by_source, date="event_date"), _keys(by_source, "date"))
+    days = _people(m, by_source, date="event_date")
     return days.withColumn("conv_rate", M.pct(F.col("purchases"), F.col("users")))
 
 
 def revenue_trend(m: Marts, by_source: bool = False) -> DataFrame:
     """Revenue and orders per day, counting only purchases with a transaction id."""
-    keys = _keys(by_source, "date")
-    revenue = _named(m.user_hours, by_source, date="event_date").groupBy(*keys).agg(
-        F.sum("order_revenue").alias("revenue")
-    )
-    orders = distinct_orders(_named(m.purchases, by_source, date="event_date"), keys)
-    days = merge_counts(keys, revenue, orders)
-    return days.withColumn("aov", M.ratio(F.col("revenue"), F.col("orders"), 0)).withColumn("revenue", M.money("revenue"))
+    days = _revenue_and_orders(m, by_source, "order_revenue", date="event_date")
+    aov = M.ratio(F.col("revenue"), F.col("orders"), 0)
+    return days.withColumn("aov", aov).withColumn("revenue", M.money("revenue"))
 
 
 def hourly_heatmap(m: Marts, by_source: bool = False) -> DataFrame:
@@ -37,10 +31,8 @@ def hourly_heatmap(m: Marts, by_source: bool = False) -> DataFrame:
 
 def hourly_revenue(m: Marts, by_source: bool = False) -> DataFrame:
     """Revenue and orders per hour."""
-    keys = _keys(by_source, "hour")
-    revenue = _named(m.user_hours, by_source, hour="event_hour").groupBy(*keys).agg(F.sum("revenue").alias("revenue"))
-    orders = distinct_orders(_named(m.purchases, by_source, hour="event_hour"), keys)
-    return merge_counts(keys, revenue, orders).withColumn("revenue", M.money("revenue"))
+    hours = _revenue_and_orders(m, by_source, "revenue", hour="event_hour")
+    return hours.withColumn("revenue", M.money("revenue"))
 
 
 def day_of_week(m: Marts, by_source: bool = False) -> DataFrame:
@@ -54,26 +46,34 @@ def day_of_week(m: Marts, by_source: bool = False) -> DataFrame:
 
 
 def _activity(m: Marts, by_source: bool, **names: str) -> DataFrame:
-    keys = _keys(by_source, *names)
-    people = _users_and_buyers(_named(m.user_hours, by_source, **names), keys, with_revenue=True)
-    orders = distinct_orders(_named(m.purchases, by_source, **names), keys)
-    return merge_counts(keys, people, orders).withColumn("revenue", M.money("revenue"))
+    """Users, purchasing users, revenue and orders per key."""
+    people = _people(m, by_source, F.sum("revenue").alias("revenue"), **names)
+    both = merge_counts(_keys(by_source, names), people, _orders(m, by_source, names))
+    return both.withColumn("revenue", M.money("revenue"))
+
+
+def _people(m: Marts, by_source: bool, *sums, **names: str) -> DataFrame:
+    """Distinct users and purchasing users per key, with further sums."""
+    keys = [SOURCE, *names]
+    per_user = _named(m.user_hours, names).groupBy(*keys, "uid").agg(F.max("purchased").alias("purchased"), *sums)
+    counts = per_user.groupBy(*keys).agg(F.count(F.lit(1)).alias("users"), F.sum("purchased").alias("purchases"), *sums)
+    return over_sources(counts, list(names), by_source)
+
+
+def _revenue_and_orders(m: Marts, by_source: bool, revenue: str, **names: str) -> DataFrame:
+    sums = _named(m.user_hours, names).groupBy(SOURCE, *names).agg(F.sum(revenue).alias("revenue"))
+    sums = over_sources(sums, list(names), by_source)
+    return merge_counts(_keys(by_source, names), sums, _orders(m, by_source, names))
 
 
-def _users_and_buyers(hours: DataFrame, keys: list[str], with_revenue: bool = False) -> DataFrame:
-    """Distinct users and purchasing users per key."""
-    sums = [F.sum("revenue").alias("revenue")] if with_revenue else []
-    per_user = hours.groupBy(*keys, "uid").agg(F.max("purchased").alias("purchased"), *sums)
-    return per_user.groupBy(*keys).agg(F.count(F.lit(1)).alias("users"), F.sum("purchased").alias("purchases"), *sums)
+def _orders(m: Marts, by_source: bool, names: dict[str, str]) -> DataFrame:
+    return distinct_orders(_named(m.purchases, names), _keys(by_source, names))
 
 
-def _named(rows: DataFrame, by_source: bool, **names: str) -> DataFrame:
+def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """Expose the key columns under their report names."""
-    keys: Mapping[str, Column] = {new: F.col(old) for new, old in names.items()}
-    if by_source:
-        keys = {"source_group": F.col("first_source"), **keys}
-    return rows.withColumns(dict(keys))
+    return by_first_source(rows).withColumns({new: F.col(old) for new, old in names.items()})
 
 
-def _keys(by_source: bool, *names: str) -> list[str]:
-    return ["source_group", *names] if by_source else list(names)
+def _keys(by_source: bool, names: dict[str, str]) -> list[str]:
+    return [SOURCE, *names] if by_source else list(names)
