@@ -32,43 +32,36 @@ def page_path(location: str | Column) -> Column:
 
 
 def bucketize(
-    value: str | Column,
+    value: str,
     bounds: Sequence[tuple[float | None, bool, str]],
     exact: Sequence[tuple[float, str]] = (),
 ) -> Column:
-    """Label of the bucket ``value`` falls in.
+    """Label of the bucket ``value``, a column name or SQL expression, falls in.
 
-    ``exact`` values are tried first, then the upper ``bounds`` in order. A bound of
-    ``None`` takes the rest.
+    ``exact`` values are tried first, then the upper ``bounds`` in order. A last
+    bound of ``None`` takes the rest.
     """
-    value = _col(value)
-    cases = [(value == F.lit(point), label) for point, label in exact]
-    rest = None
+    cases = [f"WHEN {value} = {point} THEN '{label}'" for point, label in exact]
     for bound, inclusive, label in bounds:
-        if bound is None:
-            rest = label
-        else:
-            cases.append((value <= F.lit(bound) if inclusive else value < F.lit(bound), label))
-    bucket = F.when(cases[0][0], F.lit(cases[0][1]))
-    for condition, label in cases[1:]:
-        bucket = bucket.when(condition, F.lit(label))
-    return bucket.otherwise(F.lit(rest))
+        test = f"WHEN {value} {'<=' if inclusive else '<'} {bound} THEN" if bound is not None else "ELSE"
+        cases.append(f"{test} '{label}'")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
-def order_value_bucket(value: str | Column) -> Column:
+def order_value_bucket(value: str) -> Column:
     return bucketize(value, config.ORDER_VALUE_BUCKETS)
 
 
-def engagement_bucket(msec: str | Column) -> Column:
+def engagement_bucket(msec: str) -> Column:
     bounds = [(None if b is None else b * 1000, inc, lab) for b, inc, lab in config.ENGAGEMENT_SECOND_BUCKETS]
     return bucketize(msec, bounds)
 
 
-def session_bucket(sessions: str | Column) -> Column:
+def session_bucket(sessions: str) -> Column:
     return bucketize(sessions, config.SESSION_BUCKETS, config.SESSION_EXACT)
 
 
-def pseudo_id_bucket(ids: str | Column) -> Column:
+def pseudo_id_bucket(ids: str) -> Column:
     """0 known ids counts as at most five, so it lands in that bucket."""
     return bucketize(ids, config.PSEUDO_ID_BUCKETS, config.PSEUDO_ID_EXACT)
 
@@ -95,8 +88,8 @@ def or_default(column: str | Column, default: str, blank_too: bool = False) -> C
 
 def lookup(column: str | Column, mapping: Mapping) -> Column:
     """Value of a small fixed mapping; NULL when the key is not in it."""
-    pairs = [F.lit(part) for pair in mapping.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), _col(column))
+    pairs = ", ".join(f"{key!r}, {value!r}" for key, value in mapping.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), _col(column))
 
 
 def relabel(column: str | Column, mapping: Mapping[str, str]) -> Column:

@@ -35,44 +35,45 @@ def sum_if(condition: Column, column: str | Column) -> Column:
     return F.sum(F.when(condition, _col(column)).otherwise(F.lit(0)))
 
 
-def pct(part: Column, whole: Column) -> Column:
-    """``part`` in percent of ``whole``, one decimal; 0 when ``whole`` is 0 or NULL."""
-    share = F.lit("100.0").cast("decimal(4,1)") * part / F.nullif(whole, F.lit(0))
-    return zero_if_null(F.round(share, 1).cast("double"))
+def pct(part: str, whole: str) -> Column:
+    """``part`` in percent of ``whole``, one decimal; 0 when ``whole`` is 0 or NULL.
+
+    This and the other ratios take SQL expressions, most often column names: a report
+    has many of them, and each is one call to the JVM that way.
+    """
+    return F.expr(f"coalesce(cast(round(100.0 * ({part}) / nullif({whole}, 0), 1) AS double), 0.0D)")
 
 
-def drop_pct(part: Column, previous: Column) -> Column:
+def drop_pct(part: str, previous: str) -> Column:
     """Loss from ``previous`` to ``part`` in percent, one decimal; 0 when undefined."""
-    return pct(previous - part, previous)
+    return pct(f"{previous} - {part}", previous)
 
 
-def ratio(total: Column, count: Column, digits: int) -> Column:
+def ratio(total: str, count: str, digits: int) -> Column:
     """``total / count`` rounded half up; 0 when ``count`` is 0 or NULL."""
-    mean = total.cast("double") / F.nullif(count, F.lit(0))
-    return zero_if_null(F.round(mean, digits))
-
-
-def seconds_between(start: str | Column, end: str | Column) -> Column:
-    """Whole seconds from ``start`` to ``end``."""
-    return F.unix_timestamp(_col(end)) - F.unix_timestamp(_col(start))
+    return F.expr(f"coalesce(round(cast({total} AS double) / nullif({count}, 0), {digits}), 0.0D)")
 
 
-def hours_between(start: str | Column, end: str | Column) -> Column:
-    return seconds_between(start, end) / F.lit(3600.0)
+def money(amount: str) -> Column:
+    """Exact decimal amount as the DOUBLE the reports show."""
+    return F.expr(f"coalesce(cast({amount} AS double), 0.0D)")
 
 
-def mean_hours(seconds: Column) -> Column:
-    """Mean of an integer seconds column in hours, one decimal; 0 without rows.
+def mean_hours(seconds: str) -> Column:
+    """Mean of integer seconds in hours, one decimal; 0 without rows.
 
     Sums whole seconds first, so the result does not depend on row order.
     """
-    mean = F.sum(seconds).cast("double") / F.count(seconds) / F.lit(3600.0)
-    return zero_if_null(F.round(mean, 1))
+    return F.expr(f"coalesce(round(cast(sum({seconds}) AS double) / count({seconds}) / 3600.0D, 1), 0.0D)")
+
+
+def seconds_between(start: str | Column, end: str | Column) -> Column:
+    """Whole seconds from ``start`` to ``end``."""
+    return F.unix_timestamp(_col(end)) - F.unix_timestamp(_col(start))
 
 
-def money(column: str | Column) -> Column:
-    """Exact decimal sum as the DOUBLE the reports show."""
-    return zero_if_null(_col(column).cast("double"))
+def hours_between(start: str | Column, end: str | Column) -> Column:
+    return seconds_between(start, end) / F.lit(3600.0)
 
 
 def zero_if_null(column: str | Column) -> Column:
@@ -85,15 +86,13 @@ def iso_date(column: str | Column) -> Column:
 
 def reached_steps() -> Column:
     """Aggregate: bit i is set when some row is funnel step i."""
-    bits = F.lit(0)
-    for position, (event, _) in reversed(list(enumerate(FUNNEL_STEPS))):
-        bits = F.when(is_event(event), F.lit(1 << position)).otherwise(bits)
-    return F.bit_or(bits)
+    cases = " ".join(f"WHEN '{event}' THEN {1 << i}" for i, (event, _) in enumerate(FUNNEL_STEPS))
+    return F.expr(f"bit_or(CASE event_name {cases} ELSE 0 END)")
 
 
-def reached(bits: str, position: int) -> Column:
-    """1 when step ``position`` is set in a ``reached_steps`` value."""
-    return F.shiftright(F.col(bits), position).bitwiseAND(F.lit(1))
+def reached(bits: str, position: int) -> str:
+    """SQL: 1 when step ``position`` is set in a ``reached_steps`` value, else 0."""
+    return f"shiftright({bits}, {position}) & 1"
 
 
 def _col(column: str | Column) -> Column:

@@ -51,7 +51,7 @@ def over_sources(
         return counts
     measures = [name for name in counts.columns if name not in (SOURCE, *by)]
     return counts.groupBy(*by).agg(
-        *[(F.min(name) if name in lowest else F.sum(name)).alias(name) for name in measures]
+        *[F.expr(f"{'min' if name in lowest else 'sum'}({name}) AS {name}") for name in measures]
     )
 
 
@@ -70,6 +70,4 @@ def merge_counts(by: Sequence[str], *parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
     measures = [name for name in merged.columns if name not in by]
-    return merged.groupBy(*by).agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in measures]
-    )
+    return merged.groupBy(*by).agg(*[F.expr(f"coalesce(sum({name}), 0) AS {name}") for name in measures])

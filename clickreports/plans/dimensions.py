@@ -44,7 +44,7 @@ def dimension_cvr(
     kept = top(values, _source_key(by_source), ["-users", "value_key"], k)
     if with_revenue:
         kept = kept.withColumn("revenue", M.money("revenue"))
-    return kept.withColumn("cvr", M.pct(F.col("purchasers"), F.col("users"))).withColumn(
+    return kept.withColumn("cvr", M.pct("purchasers", "users")).withColumn(
         label, or_default("value_key", default)
     )
 
@@ -55,7 +55,7 @@ def page_path_cvr(m: Marts, by_source: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("visitors"), F.sum("is_purchaser").alias("purchasers")
     )
     paths = over_sources(counts, ["path"], by_source)
-    return paths.withColumn("cvr", M.pct(F.col("purchasers"), F.col("visitors")))
+    return paths.withColumn("cvr", M.pct("purchasers", "visitors"))
 
 
 def page_referrer_cvr(m: Marts, by_source: bool = False, exact: bool = False) -> DataFrame:
@@ -78,7 +78,7 @@ def page_referrer_cvr(m: Marts, by_source: bool = False, exact: bool = False) ->
             F.sum("users").alias("users"), F.sum("purchasers").alias("purchasers")
         )
     kept = top(domains, by, ["-users", "domain"], LIMITS.referrer_domains)
-    return kept.withColumn("cvr", M.pct(F.col("purchasers"), F.col("users")))
+    return kept.withColumn("cvr", M.pct("purchasers", "users"))
 
 
 def top_items(m: Marts, by_source: bool = False) -> DataFrame:

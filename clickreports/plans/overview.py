@@ -34,29 +34,25 @@ def kpi(m: Marts, by_source: bool = False) -> DataFrame:
     a count that takes a user once per purchase event (at least once), and the
     conversion rate over it.
     """
-    purchaser = F.col("is_purchaser") == 1
-    to_first = F.when(
-        F.col("first_touch") < F.col("first_purchase_ts"), M.seconds_between("first_touch", "first_purchase_ts")
-    )
-    to_second = M.seconds_between("first_purchase_ts", "second_purchase_ts")
-    users = F.count(F.lit(1))
-    buyers = M.zero_if_null(F.sum("is_purchaser"))
-    repeaters = F.sum(M.flag(F.col("purchase_count") > 1))
+    seconds = "unix_timestamp({}) - unix_timestamp({})".format
+    to_first = f"if(first_touch < first_purchase_ts, {seconds('first_purchase_ts', 'first_touch')}, NULL)"
+    to_second = seconds("second_purchase_ts", "first_purchase_ts")
+    users, buyers = "count(*)", "sum(is_purchaser)"
+    joined = "sum(greatest(purchase_count, 1))"
     figures = [
-        users.alias("total_users"),
+        F.expr(f"{users} AS total_users"),
         M.pct(buyers, users).alias("conversion_rate"),
-        buyers.alias("purchases"),
-        M.ratio(F.sum("event_count"), users, 1).alias("avg_events_per_user"),
+        F.expr(f"coalesce({buyers}, 0) AS purchases"),
+        M.ratio("sum(event_count)", users, 1).alias("avg_events_per_user"),
         M.mean_hours(to_first).alias("avg_hours_to_first_purchase"),
-        M.mean_hours(F.when(purchaser, to_second)).alias("avg_hours_to_repeat"),
-        M.pct(repeaters, buyers).alias("repeat_purchase_pct"),
+        M.mean_hours(to_second).alias("avg_hours_to_repeat"),
+        M.pct("count_if(purchase_count > 1)", buyers).alias("repeat_purchase_pct"),
     ]
     if not by_source:
         return m.users.agg(*figures)
-    joined = F.sum(F.greatest(F.col("purchase_count"), F.lit(1)))
     return by_first_source(m.users).groupBy(SOURCE).agg(
         *figures,
-        joined.alias("total_users_joined"),
+        F.expr(f"{joined} AS total_users_joined"),
         M.pct(buyers, joined).alias("conversion_rate_joined"),
     )
 
@@ -99,15 +95,12 @@ def drop_off(counts: DataFrame, first_step_drop: bool) -> DataFrame:
     ``counts`` has ``total_users`` and one column per funnel event; all other columns
     are kept. The row of all users comes first.
     """
-    total = F.col("total_users")
     event, label = config.FUNNEL_TOTAL_STEP
-    rows = [_step(0, label, event, total, F.lit(100.0), F.lit(0.0))]
-    previous = total
+    rows = [_step(0, label, event, "total_users", None)]
+    previous = "total_users"
     for number, (event, label) in enumerate(config.FUNNEL_STEPS, start=1):
-        users = F.col(event)
-        drop = M.drop_pct(users, previous) if number > 1 or first_step_drop else F.lit(0.0)
-        rows.append(_step(number, label, event, users, M.pct(users, total), drop))
-        previous = users
+        rows.append(_step(number, label, event, event, previous if number > 1 or first_step_drop else None))
+        previous = event
     kept = [name for name in counts.columns if name != "total_users" and name not in dict(config.FUNNEL_STEPS)]
     return counts.select(*kept, F.inline(F.array(*rows)))
 
@@ -157,17 +150,17 @@ def platform_distribution(m: Marts, merge_labels: bool = False) -> DataFrame:
 
 def _step_counts() -> list[Column]:
     return [
-        M.zero_if_null(F.sum(M.reached("steps", position))).alias(event)
+        F.expr(f"coalesce(sum({M.reached('steps', position)}), 0) AS {event}")
         for position, (event, _) in enumerate(config.FUNNEL_STEPS)
     ]
 
 
-def _step(number: int, label: str, event: str, users: Column, share: Column, drop: Column) -> Column:
+def _step(number: int, label: str, event: str, users: str, previous: str | None) -> Column:
     return F.struct(
         F.lit(number).alias("step_no"),
         F.lit(label).alias("step"),
         F.lit(event).alias("event"),
-        users.cast("bigint").alias("users"),
-        share.alias("pct_of_total"),
-        drop.alias("drop_off_pct"),
+        F.col(users).alias("users"),
+        (F.lit(100.0) if users == "total_users" else M.pct(users, "total_users")).alias("pct_of_total"),
+        (F.lit(0.0) if previous is None else M.drop_pct(users, previous)).alias("drop_off_pct"),
     )

@@ -34,12 +34,11 @@ def order_values(m: Marts, by_source: bool = False) -> DataFrame:
 
 def aov_distribution(m: Marts, by_source: bool = False) -> DataFrame:
     """Orders and their mean value per bucket of order value."""
-    value = F.col("order_value")
     by = [SOURCE] if by_source else []
-    return order_values(m, by_source).groupBy(*by, order_value_bucket(value).alias("bucket")).agg(
+    return order_values(m, by_source).groupBy(*by, order_value_bucket("order_value").alias("bucket")).agg(
         F.count(F.lit(1)).alias("orders"),
-        M.ratio(F.sum(value), F.count(F.lit(1)), 0).alias("avg_value"),
-        F.min(value).alias("bucket_order"),
+        M.ratio("sum(order_value)", "count(*)", 0).alias("avg_value"),
+        F.min("order_value").alias("bucket_order"),
     )
 
 
@@ -96,4 +95,4 @@ def visit_frequency(m: Marts, by_source: bool = False) -> DataFrame:
 
 
 def _with_cvr(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("cvr", M.pct(F.col("purchasers"), F.col("users")))
+    return counts.withColumn("cvr", M.pct("purchasers", "users"))

@@ -14,13 +14,13 @@ from clickreports.plans.marts import Marts
 def daily_trend(m: Marts, by_source: bool = False) -> DataFrame:
     """Users, users who purchased that day, and their share, per day."""
     days = _people(m, by_source, date="event_date")
-    return days.withColumn("conv_rate", M.pct(F.col("purchases"), F.col("users")))
+    return days.withColumn("conv_rate", M.pct("purchases", "users"))
 
 
 def revenue_trend(m: Marts, by_source: bool = False) -> DataFrame:
     """Revenue and orders per day, counting only purchases with a transaction id."""
     days = _revenue_and_orders(m, by_source, "order_revenue", date="event_date")
-    aov = M.ratio(F.col("revenue"), F.col("orders"), 0)
+    aov = M.ratio("revenue", "orders", 0)
     return days.withColumn("aov", aov).withColumn("revenue", M.money("revenue"))
 
 
@@ -40,7 +40,7 @@ def day_of_week(m: Marts, by_source: bool = False) -> DataFrame:
     days = _activity(m, by_source, day="day_of_week")
     return (
         days.withColumn("day_name", day_name("day"))
-        .withColumn("cvr", M.pct(F.col("purchases"), F.col("users")))
+        .withColumn("cvr", M.pct("purchases", "users"))
         .drop("purchases")
     )
 

@@ -124,7 +124,7 @@ def test_domains_agree_with_url_parsing(spark):
 
 def test_percentages_are_safe_and_round_half_up(spark):
     table = spark.createDataFrame([(1, 8), (1, 1), (0, 0), (5, 1600), (None, 4)], "n long, d long")
-    found = [r.p for r in table.select(M.pct(F.col("n"), F.col("d")).alias("p")).collect()]
+    found = [r.p for r in table.select(M.pct("n", "d").alias("p")).collect()]
     assert found == [12.5, 100.0, 0.0, 0.3, 0.0]
 
 
