@@ -109,9 +109,8 @@ def assemble_by_source(sections: DataFrame) -> DataFrame:
     """
     texts = sections.groupBy(SOURCE).agg(_texts().alias("texts"))
     known = texts.where(F.element_at("texts", "kpi").isNotNull())
-    objects = known.select(
-        SOURCE, _object([(name, F.coalesce(F.element_at("texts", name), F.lit("[ ]"))) for name in SOURCE_SECTIONS]).alias("body")
-    )
+    bodies = [(name, F.coalesce(F.element_at("texts", name), F.lit("[ ]"))) for name in SOURCE_SECTIONS]
+    objects = known.select(SOURCE, _object(bodies).alias("body"))
     entries = F.sort_array(F.collect_list(F.struct(SOURCE, "body")))
     members = F.transform(entries, lambda e: _member(e[SOURCE], e["body"]))
     return objects.agg(_braced(members).alias("body"))
@@ -120,10 +119,8 @@ def assemble_by_source(sections: DataFrame) -> DataFrame:
 def _document(sections: DataFrame) -> DataFrame:
     texts = sections.agg(_texts().alias("texts"))
     part = lambda name: F.element_at("texts", name)
-    bodies = [
-        (name, _object([(key, part(source)) for key, source in SANKEY_PARTS.items()]) if name == "sankey" else part(name))
-        for name in SECTIONS
-    ]
+    sankey = _object([(key, part(source)) for key, source in SANKEY_PARTS.items()])
+    bodies = [(name, sankey if name == "sankey" else part(name)) for name in SECTIONS]
     return texts.select(_object([*bodies, ("by_source", part("by_source"))]).alias("json"))
 
 

@@ -93,7 +93,7 @@ def _bundle_items(m: Marts) -> DataFrame:
     nested = sections.where("section IN ('sankey', 'by_source')").select(
         "section", F.explode(F.from_json("text", entries)).alias("name", "part")
     )
-    sankey = nested.where("section = 'sankey'").select(F.lit("sankey").alias("scope"), F.col("name").alias("section"), "part")
+    sankey = nested.where("section = 'sankey'").selectExpr("section AS scope", "name AS section", "part")
     per_source = nested.where("section = 'by_source'").select(
         F.col("name").alias("scope"), F.explode(F.from_json("part", entries)).alias("section", "part")
     )
