@@ -17,13 +17,15 @@ never meet name the same bucket alike, and each round is a Spark aggregate:
    q, 2q and so on by doubling; that of an anchor's range from those of its first and
    last window, which together cover it. In a bucket of equal ranges every one but the
    earliest is a repeat throughout.
-3. *Windows.* Where a q-gram bucket holds several ranges, the earliest of each goes to
-   buckets of single windows. All but the earliest of a bucket repeat.
+3. *Windows.* Where a q-gram bucket holds several ranges, the earliest of each is taken
+   apart into buckets of single windows. All but the earliest of a bucket repeat. A q-gram
+   bucket of up to ``SMALL_BUCKET`` ranges is sorted within one task, from the ranges'
+   strings; the windows of larger ones are rows of their own and aggregated like before.
 
 The texts are read three times and shuffled twice (rounds 1 and 2 move numbers only,
-round 3 and the result need texts by document). No bucket is gathered: minima are
-combined before each shuffle and joined back, and adaptive execution splits a hot
-bucket's join. Identifiers have 128 bits, except for q-gram buckets (64), where two
+the strings of open ranges and the result need texts by document). No bucket without a
+bound is gathered: minima are combined before each shuffle and joined back, and adaptive
+execution splits a hot bucket's join. Identifiers have 128 bits, except for q-gram buckets (64), where two
 strings sharing a number cost work but no correctness.
 """
 
@@ -42,8 +44,11 @@ from clickreports.llm import texts
 from clickreports.llm.steps import Steps, without
 
 _ANCHORS = "__row long, k long, s long, first int, n int"
+_OPEN = "k long, kinds long, __row long, first int, n int, string binary"
 _WINDOWS = "__row long, first int, a long, b long"
 
+SMALL_BUCKET = 64  # ranges of a q-gram bucket that are refined within one task
+
 
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, keep_text: bool = True
@@ -79,17 +84,21 @@ def remove_repeats(
     ranges = steps.land("ranges", ranges)
     whole = _all_but_least(active, ranges, ["k", "s"], "d.n")
 
-    mixed = ranges.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k")
-    open_ranges = ranges.join(mixed, "k", "left_semi").select("least.*")
+    kinds = ranges.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    open_ranges = ranges.join(kinds, "k").select("least.*", "k", "kinds")
     # A row's list is bounded by the row's own bytes, here and below.
-    per_row = open_ranges.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("at"))
+    per_row = open_ranges.groupBy("__row").agg(F.collect_list(F.struct("first", "n", "k", "kinds")).alias("at"))
     per_row = steps.land("open", per_row)
-    windows = per_row.join(text_rows, "__row").mapInArrow(_window_rows(length), _WINDOWS)
+    spelled = per_row.join(text_rows, "__row").mapInArrow(_range_texts(length), _OPEN)
+    spelled = steps.land("spelled", spelled)
+    small = spelled.where(F.col("kinds") <= SMALL_BUCKET).repartition("k").sortWithinPartitions("k")
+    near = small.mapInArrow(_refined(length), "__row long, first int, n int")
+    windows = spelled.where(F.col("kinds") > SMALL_BUCKET).mapInArrow(_window_rows(length), _WINDOWS)
     windows = steps.land("windows", windows)
     earliest = windows.groupBy("a", "b").agg(
         F.min(F.struct("__row", "first")).alias("least"), F.count(F.lit(1)).alias("members")
     )
-    single = _all_but_least(windows, earliest, ["a", "b"], F.lit(1).alias("n"))
+    single = _all_but_least(windows, earliest, ["a", "b"], F.lit(1).alias("n")).unionByName(near)
 
     found = whole.unionByName(single)
     covered = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__at"))
@@ -188,27 +197,101 @@ def _anchor_rows(length: int):
     return run
 
 
-def _flat(lists: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (from 0 at ``lo``), first and n of the entries of rows ``lo`` to ``hi``."""
+def _flat(lists: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows (from 0 at ``lo``) and fields of the entries of rows ``lo`` to ``hi``."""
     part = lists.slice(lo, hi - lo)
-    entries = part.flatten()
     sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part), 0)).astype(np.int64)
-    rows = np.repeat(np.arange(hi - lo), sizes)
-    return rows, np.asarray(entries.field(0)).astype(np.int64), np.asarray(entries.field(1)).astype(np.int64)
+    entries = part.flatten()
+    fields = [np.asarray(entries.field(i)).astype(np.int64) for i in range(entries.type.num_fields)]
+    return np.repeat(np.arange(hi - lo), sizes), fields
 
 
-def _window_rows(length: int):
+def _expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``starts`` to ``starts + sizes`` of every pair, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _range_texts(length: int):
+    """The string that each open range's windows cover together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = np.asarray(batch.column("__row")), batch.column("at")
             for block in texts.blocks(batch.column("text")):
-                rows, first, n = _flat(lists, block.lo, block.hi)
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                first, rows = np.repeat(first, n) + place, np.repeat(rows, n)
-                at = first + block.offsets[rows]
-                a, b = (_Depths(block, length, seed).windows(at) for seed in (0, 1))
-                columns = [ids[block.lo + rows], first.astype("i4"), texts.signed(a), texts.signed(b)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__row", "first", "a", "b"])
+                rows, (first, n, k, kinds) = _flat(lists, block.lo, block.hi)
+                sizes = n - 1 + length
+                data = block.data[_expanded(first + block.offsets[rows], sizes)]
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                strings = pa.Array.from_buffers(
+                    pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+                )
+                columns = [pa.array(c) for c in (k, kinds, ids[block.lo + rows], first.astype("i4"), n.astype("i4"))]
+                yield pa.RecordBatch.from_arrays([*columns, strings], ["k", "kinds", "__row", "first", "n", "string"])
+
+    return run
+
+
+def _windows_of(batch: pa.RecordBatch | pa.Table, length: int):
+    """Of every window of the batch's ranges: its range, place in it, and identifier in two halves."""
+    n = batch.column("n").to_numpy().astype(np.int64)
+    strings = batch.column("string").to_pylist()
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    block = texts.Block(0, len(strings), data, np.cumsum([0, *map(len, strings)]))
+    at = _expanded(block.offsets[:-1], n)
+    ranges = np.repeat(np.arange(len(n)), n)
+    a, b = (_Depths(block, length, seed).windows(at) for seed in (0, 1))
+    return ranges, at - block.offsets[ranges], a, b
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def _window_rows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            ranges, place, a, b = _windows_of(batch, length)
+            ids, first = np.asarray(batch.column("__row"))[ranges], np.asarray(batch.column("first"))[ranges]
+            columns = [ids, (first + place).astype("i4"), texts.signed(a), texts.signed(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__row", "first", "a", "b"])
+
+    return run
+
+
+def _refined(length: int):
+    """Windows that are not the earliest of their bucket, among whole q-gram buckets (rows come sorted by k)."""
+
+    def repeated(table: pa.Table) -> pa.RecordBatch:
+        ranges, place, a, b = _windows_of(table, length)
+        ids, first = table.column("__row").to_numpy()[ranges], table.column("first").to_numpy()[ranges] + place
+        order = np.lexsort((first, ids, b, a))
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        at = np.sort(order[same])
+        # Neighbouring windows of one range become one row again.
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (np.diff(at) != 1) | (np.diff(ranges[at]) != 0)
+        opens = np.flatnonzero(new)
+        n = np.diff(np.append(opens, len(at)))
+        columns = [ids[at][opens], first[at][opens].astype("i4"), n.astype("i4")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__row", "first", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in _slices(batches):
+            k = np.asarray(batch.column("k"))
+            if not len(k):
+                continue
+            # Up to the last bucket's start everything is complete.
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut or (held and held[-1].column("k")[0].as_py() != k[0]):
+                yield repeated(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield repeated(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -236,7 +319,7 @@ def _cut(length: int, text_column: str, columns: list[str]):
         for batch in batches:
             lists, kept, spans, sizes = batch.column("__at"), [], [], []
             for block in texts.blocks(batch.column("__text")):
-                rows, first, n = _flat(lists, block.lo, block.hi)
+                rows, (first, n) = _flat(lists, block.lo, block.hi)
                 ends = np.searchsorted(rows, np.arange(len(block) + 1))
                 for i in range(len(block)):
                     raw = block.row(i)
