@@ -22,7 +22,7 @@ never meet name the same bucket alike, and each round is a Spark aggregate:
    bucket of up to ``SMALL_BUCKET`` ranges is sorted within one task, from the ranges'
    strings; the windows of larger ones are rows of their own and aggregated like before.
 
-The texts are read three times and shuffled twice (rounds 1 and 2 move numbers only,
+The texts are read four times and shuffled twice (rounds 1 and 2 move numbers only,
 the strings of open ranges and the result need texts by document). No bucket without a
 bound is gathered: minima are combined before each shuffle and joined back, and adaptive
 execution splits a hot bucket's join. Identifiers have 128 bits, except for q-gram buckets (64), where two
@@ -47,7 +47,7 @@ _ANCHORS = "__row long, k long, s long, first int, n int"
 _OPEN = "k long, kinds long, __row long, first int, n int, string binary"
 _WINDOWS = "__row long, first int, a long, b long"
 
-SMALL_BUCKET = 64  # ranges of a q-gram bucket that are refined within one task
+SMALL_BUCKET = 32_768  # ranges of a q-gram bucket that are refined within one task, some megabytes
 
 
 def remove_repeats(
@@ -72,11 +72,12 @@ def remove_repeats(
     keyed = _numbered(docs, id_column, text_column, steps)
     text_rows = keyed.select("__row", F.col(text_column).alias("text")).where(F.octet_length("text") >= length)
 
-    anchors = steps.land("anchors", text_rows.mapInArrow(_anchor_rows(length), _ANCHORS))
-    shared = anchors.groupBy("k").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("k")
+    # Anchors are worked out twice: that costs less than keeping those whose bucket is theirs alone.
+    grams = text_rows.select("text").mapInArrow(_anchor_rows(length, grams_only=True), "k long")
+    shared = grams.groupBy("k").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("k")
     shared = steps.land("shared", shared)
+    anchors = text_rows.mapInArrow(_anchor_rows(length), _ANCHORS)
     active = steps.land("active", anchors.join(shared, "k", "left_semi"))
-    steps.drop("anchors")
 
     ranges = active.groupBy("k", "s").agg(
         F.min(F.struct("__row", "first", "n")).alias("least"), F.count(F.lit(1)).alias("members")
@@ -163,7 +164,7 @@ def _least_in_window(grams: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _anchor_rows(length: int):
+def _anchor_rows(length: int, grams_only: bool = False):
     def anchors(block: texts.Block):
         depths = _Depths(block, length)
         owner = _least_in_window(depths.grams, length - depths.q + 1)
@@ -179,6 +180,8 @@ def _anchor_rows(length: int):
         last = valid.copy()
         last[:-1] &= ~valid[1:] | new[1:]
         first, last = np.flatnonzero(new), np.flatnonzero(last)
+        if grams_only:
+            return depths.grams[owner[first]]
         n = last - first + 1
         kinds = texts.combine(depths.windows(first), depths.windows(last) + n.astype(np.uint64))
         rows = block.rows_of(first)
@@ -186,10 +189,13 @@ def _anchor_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("__row"))
             for block in texts.blocks(batch.column("text")):
                 if len(block.data) < length:
                     continue
+                if grams_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts.signed(anchors(block)))], ["k"])
+                    continue
+                ids = np.asarray(batch.column("__row"))
                 rows, k, s, first, n = anchors(block)
                 columns = [ids[block.lo + rows], texts.signed(k), texts.signed(s), first.astype("i4"), n.astype("i4")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__row", "k", "s", "first", "n"])
