@@ -13,13 +13,14 @@ sets agree in a register about as often as their Jaccard similarity.
 3. Pairs are verified on the full shingle sets, read once more from the texts of the
    classes concerned. Verified links are joined to components by large-star and
    small-star rounds.
-4. What stays apart within a bucket gets its exact turn: every two classes of a bucket
-   that are not in one component yet pair up, under the same two tests, and are verified.
-   Links between classes of one component change nothing.
-
-With 40 bands of 5 registers a pair at similarity 0.8 shares no bucket with probability
-1e-7, and less with more similarity; the likelihood test errs with about the same.
-Sets of equal registers are compared by 64-bit shingle hashes.
+4. What stays apart within a bucket gets its exact turn: the classes outside their
+   bucket's main component are matched by prefix filtering (see ``_sharing_prefix``) with
+   every class of such a bucket that is not in their component, and verified. Links between
+   classes of one component change nothing.
+
+Every register is in two of the 80 bands of 8. A pair at similarity 0.8 shares no bucket
+with a probability of about 1e-6, and less with more similarity; the likelihood test errs
+with about the same. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from clickreports.llm import texts
 from clickreports.llm.steps import Steps
 
-REGISTERS = 200
-BAND = 5
+REGISTERS = 320
+BAND = 8
+SLOTS = 1 << 20  # of shingle counts, which only order shingles
 SPACING = 1.1
 SHIFT = 14  # registers of the largest hash values, for the smallest sets, are just above 0
 MARGIN = 14.0  # in log likelihood
@@ -85,22 +87,22 @@ def near_duplicates(
     labels = connected(steps, "first", links)
 
     labelled = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = labelled.join(split.where("lo != hi"), "bucket")
+    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.count("size").alias("kinds"))
+    mixed = mixed.where("kinds > 1").select("bucket", "main.component")
+    split = labelled.join(mixed.withColumnRenamed("component", "main"), "bucket")
+    split = split.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("outer"))
     split = steps.land("split", split)
-    main = split.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = main.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"))
-    outer = split.join(main.selectExpr("bucket", "main.component AS main"), "bucket").where("component != main")
-    apart = (F.col("a.component") != F.col("b.component")) & (
-        (F.col("a.component") == F.col("b.main")) | (F.col("a.id") > F.col("b.id"))
-    )
-    rest = _pairs(split, outer, apart, percent)
-    more = _verified(steps, "second", rest, classes, rows, words, percent)
-    links = steps.land("all_links", links.unionByName(more))
-    labels = connected(steps, "second", links)
+    rest = _sharing_prefix(steps, split, rows, words, percent)
+    # Components are linked from here on; their inner links are done.
+    more = rest.join(split.select(F.col("id").alias("x"), F.col("component").alias("p")), "x")
+    more = more.join(split.select(F.col("id").alias("y"), F.col("component").alias("q")), "y")
+    upper = connected(steps, "second", more.select(F.col("p").alias("x"), F.col("q").alias("y")))
+    upper = upper.select(F.col("id").alias("component"), F.col("component").alias("top"))
 
     grouped = classes.select("set_a", "set_b", "id").join(labels, "id", "left")
-    grouped = grouped.select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
+    grouped = grouped.withColumn("component", F.coalesce("component", "id")).join(upper, "component", "left")
+    grouped = grouped.select("set_a", "set_b", F.coalesce("top", "component").alias("component"))
     grouped = steps.land("grouped", grouped)
     found = sketched.drop("sketch").join(grouped, ["set_a", "set_b"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
@@ -182,9 +184,11 @@ def _sketches(words: int):
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """A row per class and band. Sets of under four shingles are near none but their equals."""
-    keys = F.expr(
-        f"transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(sketch, i * {BAND} + 1, {BAND})))"
-    )
+    bands = REGISTERS // BAND
+    near = f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sketch, i * {BAND} + 1, {BAND})))"
+    across = ", ".join(f"substring(sketch, i + {bands * k} + 1, 1)" for k in range(BAND))
+    far = f"transform(sequence(0, {bands - 1}), i -> xxhash64(i + {bands}, {across}))"
+    keys = F.expr(f"concat({near}, {far})")
     return classes.where("n >= 4").select(F.explode(keys).alias("bucket"), "id", "n")
 
 
@@ -207,11 +211,73 @@ def _verified(steps: Steps, name: str, pairs: DataFrame, classes: DataFrame, row
     sets = rows.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, n long, shingles binary")
     # Of rows that share an id the class is the row whose set is met first; they are linked anyway.
     sets = steps.land(f"{name}_sets", sets)
-    left = likely.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("p")), "x")
+    return _compared(likely, sets, percent)
+
+
+def _sharing_prefix(steps: Steps, split: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (x, y) between an outer class and any class of another component, exactly.
+
+    Shingles are put in one order, rare ones first. Of two sets as similar as asked, each
+    has a common shingle among its first (1 - J) n + 1, and where they meet first tells how
+    many they can have in common at most; most pairs fall here, before they are rows.
+    """
+    ids = split.select(F.col("id").alias("doc_id"))
+    sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, n long, shingles binary")
+    sets = steps.land("split_sets", sets)
+    counts = sets.select("shingles").mapInArrow(_shingle_counts, "slot int, times long")
+    counts = counts.groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # SLOTS rows at most
+    rarity = np.zeros(SLOTS, dtype=np.int64)
+    rarity[np.asarray(counts.column("slot").combine_chunks())] = np.asarray(counts.column("times").combine_chunks())
+    prefixes = sets.mapInArrow(_prefixes(rarity, percent), "shingle long, place long, id long, n long")
+    prefixes = prefixes.join(split, "id")
+    prefixes = steps.land("prefixes", prefixes)
+    left, right = prefixes.where("outer").alias("a"), prefixes.alias("b")
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    enough = most * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    apart = (F.col("a.component") != F.col("b.component")) & (~F.col("b.outer") | (F.col("a.id") > F.col("b.id")))
+    pairs = left.join(right, (F.col("a.shingle") == F.col("b.shingle")) & apart & enough)
+    pairs = steps.land("prefix_pairs", pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct())
+    return steps.land("prefix_links", _compared(pairs, sets, percent))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("p")), "x")
     both = left.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("q")), "y")
     return both.select("x", "y", "p", "q").mapInArrow(_similar(percent), "x long, y long").distinct()
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for cell in batch.column("shingles"):
+            np.add.at(counts, np.frombuffer(cell.as_buffer(), np.uint64) % np.uint64(SLOTS), 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["slot", "times"])
+
+
+def _prefixes(rarity: np.ndarray, percent: int):
+    """The first shingles of every set by rarity, with the number of those before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                shingles, places, take = [], [], []
+                for row, cell in enumerate(part.column("shingles")):
+                    one = np.frombuffer(cell.as_buffer(), np.uint64)
+                    size = len(one) - -(-len(one) * percent // 100) + 1 if len(one) else 0
+                    first = np.argsort(rarity[one % np.uint64(SLOTS)], kind="stable")[:size]
+                    shingles.append(one[first])
+                    places.append(np.arange(size))
+                    take.append(np.full(size, row))
+                which = pa.array(np.concatenate(take))
+                columns = [pa.array(texts.signed(np.concatenate(shingles))), pa.array(np.concatenate(places))]
+                columns += [part.column(c).take(which) for c in ("id", "n")]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "place", "id", "n"])
+
+    return run
+
+
 def _plausible(threshold: float):
     """Drop pairs whose registers say that the similarity is below ``threshold``.
 
