@@ -75,6 +75,7 @@ def main() -> None:
         run()
         seconds[label] = statistics.median(timed(run) for _ in range(runs))
     seconds["report_bundle"] = timed(lambda: bundle(m).collect())
+    m.close()
 
     line = {
         "metric": "seconds to build the pre-aggregates, run every report and the bundle once",

@@ -1,4 +1,4 @@
-"""Fixed vocabulary of the reports, and the settings a caller may change."""
+"""Fixed vocabulary of the reports, and the default sizes of those that are cut off."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 # --- Fixed values: the reports' vocabulary, labels, edges and limits. ---------
 
-DATE_FROM = "2026-03-20"
 USER_ID_PREFIX = "U"
 PURCHASE = "purchase"
 
@@ -117,14 +116,17 @@ NO_REFERRER = "(direct)"
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes of the cut-off reports."""
+    """Default sizes of the cut-off reports; ``report`` takes others by keyword.
+
+    ``referrer_urls`` limits the URLs that referrer domains are summed over; None is all.
+    """
 
     transition_min_users: int = 100
     transition_links: int = 50
     journey_steps: int = 10
     journey_paths: int = 20
     top_values: int = 15
-    referrer_urls: int = 50
+    referrer_urls: int | None = None
     referrer_domains: int = 20
 
 

@@ -41,11 +41,14 @@ def bucketize(
     ``exact`` values are tried first, then the upper ``bounds`` in order. A last
     bound of ``None`` takes the rest.
     """
-    cases = [f"WHEN {value} = {point} THEN '{label}'" for point, label in exact]
+    column, cases = F.col(value), F
+    for point, label in exact:
+        cases = cases.when(column == point, F.lit(label))
     for bound, inclusive, label in bounds:
-        test = f"WHEN {value} {'<=' if inclusive else '<'} {bound} THEN" if bound is not None else "ELSE"
-        cases.append(f"{test} '{label}'")
-    return F.expr(f"CASE {' '.join(cases)} END")
+        if bound is None:
+            return F.lit(label) if cases is F else cases.otherwise(F.lit(label))
+        cases = cases.when(column <= bound if inclusive else column < bound, F.lit(label))
+    return cases
 
 
 def order_value_bucket(value: str) -> Column:
@@ -88,8 +91,8 @@ def or_default(column: str | Column, default: str, blank_too: bool = False) -> C
 
 def lookup(column: str | Column, mapping: Mapping) -> Column:
     """Value of a small fixed mapping; NULL when the key is not in it."""
-    pairs = ", ".join(f"{key!r}, {value!r}" for key, value in mapping.items())
-    return F.try_element_at(F.expr(f"map({pairs})"), _col(column))
+    pairs = F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
+    return F.try_element_at(pairs, _col(column))
 
 
 def relabel(column: str | Column, mapping: Mapping[str, str]) -> Column:

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from clickreports import config
 from clickreports.functions.categories import depth, relabel
 from clickreports.operators.ranking import top_k
-from clickreports.operators.users import event_order
+from clickreports.operators.users import event_order, tie_key
+from clickreports.sources.events import EVENT_ID
 
-SLICE_SECONDS = 3600
+SLICE_SECONDS = 60
+SLICE_IDS = 4096
 
 
 def only_events(events: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -26,23 +28,35 @@ def only_events(events: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def with_slice(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Number the time slice of each event; slices ascend with time."""
-    return events.withColumn("slice", F.floor(F.unix_timestamp("event_ts") / F.lit(seconds)))
+    """Number the slice of each event; slices ascend with the order of events.
+
+    Known times have slices of ``seconds``. Events of unknown time, first in order, have
+    slices of ``SLICE_IDS`` ids, or one per event name where there are no ids.
+    """
+    unknown = F.floor(F.col(EVENT_ID) / F.lit(SLICE_IDS)).cast("string") if EVENT_ID in events.columns else F.col("event_name")
+    time = F.floor(F.unix_timestamp("event_ts") / F.lit(seconds))
+    return events.withColumn("slice", F.struct(time.alias("time"), F.when(time.isNull(), unknown).alias("part")))
+
+
+def _in_sequence(events: DataFrame) -> DataFrame:
+    """The columns that order and name a user's events."""
+    return events.select("uid", "event_ts", *([EVENT_ID] if EVENT_ID in events.columns else []), "event_name")
 
 
 def with_previous(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
     """Add ``previous``, the name of the user's preceding event (NULL for the first)."""
-    rows = with_slice(events.select("uid", "event_ts", "event_id", "event_name"), seconds)
-    within = _in_order("uid", "slice")
+    events = _in_sequence(events)
+    rows = with_slice(events, seconds)
+    within = _in_order(events, "uid", "slice")
     rows = rows.withColumn("previous", F.lag("event_name").over(within)).withColumn(
         "following", F.lead("event_name").over(within)
     )
     opens = F.col("previous").isNull()
-    inner = rows.where(~opens).select("uid", "event_ts", "event_id", "event_name", "previous")
+    inner = rows.where(~opens).select(*events.columns, "previous")
     edges = rows.where(opens | F.col("following").isNull()).withColumn(
-        "before", F.lag("event_name").over(_in_order("uid"))
+        "before", F.lag("event_name").over(_in_order(events, "uid"))
     )
-    opening = edges.where(opens).select("uid", "event_ts", "event_id", "event_name", F.col("before").alias("previous"))
+    opening = edges.where(opens).select(*events.columns, F.col("before").alias("previous"))
     return inner.unionByName(opening)
 
 
@@ -74,7 +88,7 @@ def transition_users(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFra
 
 def first_n(rows: DataFrame, n: int, by: Sequence[str] = ("uid",)) -> DataFrame:
     """First ``n`` rows of each group in event order, numbered in ``step_no``."""
-    return rows.withColumn("step_no", F.row_number().over(_in_order(*by))).where(F.col("step_no") <= n)
+    return rows.withColumn("step_no", F.row_number().over(_in_order(rows, *by))).where(F.col("step_no") <= n)
 
 
 def first_steps(events: DataFrame, n: int, seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -83,7 +97,7 @@ def first_steps(events: DataFrame, n: int, seconds: int = SLICE_SECONDS) -> Data
     ``n + 1`` collapsed rows per slice suffice: joining slices drops at most the first
     row of each, so a slice cut short still supplies all ``n`` steps on its own.
     """
-    rows = with_slice(events.select("uid", "event_ts", "event_id", "event_name"), seconds)
+    rows = with_slice(_in_sequence(events), seconds)
     heads = first_n(_collapse(rows, "uid", "slice"), n + 1, ("uid", "slice"))
     return first_n(_collapse(heads, "uid"), n).drop("slice")
 
@@ -110,19 +124,22 @@ def transition_links(
     min_users: int = config.LIMITS.transition_min_users,
     limit: int = config.LIMITS.transition_links,
     labels: Mapping[str, str] = config.EVENT_LABELS,
+    limit_first: bool = False,
 ) -> DataFrame:
     """Most common forward transitions between labelled events.
 
-    The threshold and the limit apply before backward transitions are dropped.
+    With ``limit_first`` the limit counts backward transitions too, which then go, so
+    that fewer than ``limit`` may come out.
     """
     counted = transition_users(only_events(events, labels)).where(F.col("user_count") >= min_users)
-    common = top_k(counted, ["-user_count", "source_event", "target_event"], limit)
-    links = common.select(
-        relabel("source_event", labels).alias("source"),
-        relabel("target_event", labels).alias("target"),
-        F.col("user_count").alias("value"),
-    )
-    return forward_edges(links)
+    order = ["-user_count", "source_event", "target_event"]
+    counted = counted.withColumn("source", relabel("source_event", labels))
+    counted = counted.withColumn("target", relabel("target_event", labels))
+    if limit_first:
+        links = forward_edges(top_k(counted, order, limit))
+    else:
+        links = top_k(forward_edges(counted), order, limit)
+    return links.select("source", "target", F.col("user_count").alias("value"))
 
 
 def link_nodes(links: DataFrame) -> DataFrame:
@@ -137,16 +154,21 @@ def common_journeys(
     limit: int = config.LIMITS.journey_paths,
     labels: Mapping[str, str] = config.EVENT_LABELS,
 ) -> DataFrame:
-    """Most common first steps of users, as arrays of labels."""
-    paths = user_paths(first_steps(only_events(events, labels), steps))
-    counted = paths.groupBy("path", "steps").agg(F.count(F.lit(1)).alias("users"))
+    """Most common first steps of users, as arrays of labels.
+
+    ``longer`` tells journeys that go on after ``steps`` from those that end there.
+    """
+    paths = user_paths(first_steps(only_events(events, labels), steps + 1))
+    paths = paths.withColumn("longer", F.col("steps") > steps).withColumn("path", F.slice("path", 1, steps))
+    paths = paths.withColumn("steps", F.least("steps", F.lit(steps)))
+    counted = paths.groupBy("path", "steps", "longer").agg(F.count(F.lit(1)).alias("users"))
     keyed = counted.withColumn("raw_path", F.array_join("path", config.PATH_SEPARATOR))
-    common = top_k(keyed, ["-users", "raw_path"], limit)
+    common = top_k(keyed, ["-users", "raw_path", "longer"], limit)
     return common.withColumn("path", F.transform("path", lambda name: relabel(name, labels)))
 
 
-def _in_order(*by: str) -> WindowSpec:
-    return Window.partitionBy(*by).orderBy(*event_order())
+def _in_order(rows: DataFrame, *by: str) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(*event_order(tie_key(rows, "event_name")))
 
 
 def _changed(previous: str) -> Column:
@@ -155,5 +177,5 @@ def _changed(previous: str) -> Column:
 
 def _collapse(rows: DataFrame, *by: str) -> DataFrame:
     """Drop repeats within each group, by one window over it."""
-    known = rows.withColumn("previous", F.lag("event_name").over(_in_order(*by)))
+    known = rows.withColumn("previous", F.lag("event_name").over(_in_order(rows, *by)))
     return known.where(_changed("previous")).drop("previous")

@@ -6,24 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickreports.functions import metrics as M
+from clickreports.sources.events import EVENT_ID
 
 
-def event_order() -> list[Column]:
-    """A user's events in time; equal times by event id, unknown times first."""
-    return [F.col("event_ts").asc_nulls_first(), F.col("event_id").asc()]
+def tie_key(events: DataFrame, put_out: str) -> str:
+    """The column that settles equal times: the event id where the table has one.
+
+    Without ids it is the column an operator puts out: rows that tie on it too are
+    interchangeable, and no other column need be read.
+    """
+    return EVENT_ID if EVENT_ID in events.columns else put_out
+
+
+def event_order(tie: str | None = EVENT_ID) -> list[Column]:
+    """A user's events in time, unknown times first; equal times by ``tie``."""
+    return [F.col("event_ts").asc_nulls_first(), *([F.col(tie).asc_nulls_first()] if tie else [])]
 
 
-def first_source() -> Column:
+def first_source(events: DataFrame) -> Column:
     """Aggregate: source group of the earliest event.
 
     Combines on the map side, so a hot user costs one row per task and not a sort of
     all its events as a ranking window would.
     """
-    return F.min_by("source_group", F.struct("event_ts", "event_id"))
+    return F.min_by("source_group", F.struct("event_ts", tie_key(events, "source_group")))
 
 
 def first_touch(events: DataFrame) -> DataFrame:
-    return events.groupBy("uid").agg(first_source().alias("source_group"))
+    return events.groupBy("uid").agg(first_source(events).alias("source_group"))
 
 
 def purchasers(events: DataFrame) -> DataFrame:
@@ -35,10 +45,11 @@ def purchase_sequence(events: DataFrame, upto: int = 2) -> DataFrame:
 
     The bound on the number lets every map task keep only that many rows per user.
     """
-    window = Window.partitionBy("uid").orderBy(*event_order())
+    ids = [EVENT_ID] if EVENT_ID in events.columns else []
+    window = Window.partitionBy("uid").orderBy(*event_order(*ids or [None]))
     return (
         events.where(M.is_purchase())
-        .select("uid", "event_ts", "event_id")
+        .select("uid", "event_ts", *ids)
         .withColumn("purchase_seq", F.row_number().over(window))
         .where(F.col("purchase_seq") <= upto)
     )
@@ -57,7 +68,7 @@ def user_profile(events: DataFrame) -> DataFrame:
     session = F.when(F.col("session_number") > 0, F.col("session_number"))
     purchase = M.is_purchase()
     profile = events.groupBy("uid").agg(
-        first_source().alias("first_source"),
+        first_source(events).alias("first_source"),
         F.min("event_ts").alias("first_touch"),
         F.count(F.lit(1)).alias("event_count"),
         F.sum(M.flag(purchase)).alias("purchase_count"),

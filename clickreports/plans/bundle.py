@@ -80,10 +80,15 @@ SANKEY_PARTS = {"nodes": "sankey_nodes", "links": "sankey_links"}
 SINGLE_ROW = ("meta", "kpi")
 
 _JSON = {"ignoreNullFields": "false", "pretty": "true"}
+_JSON_LINE = {"ignoreNullFields": "false"}
 
 
 def bundle(m: Marts) -> DataFrame:
-    """One row with the whole document in column ``json``."""
+    """One row with the whole document in column ``json``.
+
+    The document is one text and is put together in one task, so it is for lists that fit
+    one; ``write_tables`` and ``write_sections`` have no such limit.
+    """
     overall = _union([_section(m, name, OVERALL[name], ()) for name in OVERALL])
     per_source = _union([_section(m, name, BY_SOURCE[name], (SOURCE,)) for name in BY_SOURCE])
     by_source = assemble_by_source(per_source).select(F.lit("by_source").alias("section"), "body")
@@ -102,6 +107,29 @@ def write_tables(m: Marts, folder: str) -> None:
             report.table(m).write.mode("overwrite").parquet(f"{place}/{name}")
 
 
+def section_rows(m: Marts) -> DataFrame:
+    """Every entry of every section as a row: ``scope`` (``all`` or a source), ``section``, ``entry``.
+
+    ``entry`` is a struct's JSON text with dates in ISO form. Nothing is gathered, whatever
+    the number of entries.
+    """
+    parts = [section_entries(m, name) for name in OVERALL]
+    return _union(parts + [section_entries(m, name, by_source=True) for name in BY_SOURCE])
+
+
+def section_entries(m: Marts, name: str, by_source: bool = False) -> DataFrame:
+    """The rows of one section, as ``section_rows`` has them."""
+    report, scope = (BY_SOURCE[name], F.col(SOURCE)) if by_source else (OVERALL[name], F.lit("all"))
+    rows = report.rows(m)
+    fields = F.struct(*[_field(rows, c).alias(c) for c in report.columns if c != SOURCE])
+    return rows.select(scope.alias("scope"), F.lit(name).alias("section"), F.to_json(fields, _JSON_LINE).alias("entry"))
+
+
+def write_sections(m: Marts, folder: str) -> None:
+    """Write each section as JSON lines in parallel, a folder per section; for lists too long for one document."""
+    section_rows(m).write.mode("overwrite").partitionBy("section").json(folder)
+
+
 def assemble_by_source(sections: DataFrame) -> DataFrame:
     """Nest section texts as one object per first-touch source, sources sorted.
 

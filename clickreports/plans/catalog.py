@@ -18,16 +18,17 @@ from clickreports.plans.marts import Marts
 class Report:
     """``columns`` in output order; ``order`` as for ``operators.ranking.ordering``."""
 
-    build: Callable[[Marts], DataFrame]
+    build: Callable[..., DataFrame]
     columns: tuple[str, ...]
     order: tuple[str, ...]
 
-    def rows(self, m: Marts) -> DataFrame:
+    def rows(self, m: Marts, **limits) -> DataFrame:
         """The report's rows, not sorted, with any extra columns ``order`` needs."""
-        return self.build(m)
+        return self.build(m, **limits)
 
-    def table(self, m: Marts) -> DataFrame:
-        sorted_rows = self.rows(m).orderBy(*ordering(*self.order)) if self.order else self.rows(m)
+    def table(self, m: Marts, **limits) -> DataFrame:
+        rows = self.rows(m, **limits)
+        sorted_rows = rows.orderBy(*ordering(*self.order)) if self.order else rows
         return sorted_rows.select(*self.columns)
 
 
@@ -124,7 +125,7 @@ def _overall_only() -> dict[str, Report]:
             overview.sankey_links, ("source", "target", "value"), ("-value", "source", "target")
         ),
         "sankey_nodes": Report(overview.sankey_nodes, ("name",), ("depth", "name")),
-        "journeys": Report(overview.journeys, ("path", "users", "steps"), ("-users", "raw_path")),
+        "journeys": Report(overview.journeys, ("path", "users", "steps", "longer"), ("-users", "raw_path", "longer")),
         "event_distribution": Report(
             overview.event_distribution, ("event", "events", "users"), ("-events", "event")
         ),
@@ -158,6 +159,11 @@ BY_SOURCE: dict[str, Report] = {
 }
 
 
-def report(m: Marts, name: str, by_source: bool = False) -> DataFrame:
-    """A report's rows in order, overall or with a leading ``source_group`` column."""
-    return (BY_SOURCE if by_source else OVERALL)[name].table(m)
+def report(m: Marts, name: str, by_source: bool = False, **limits) -> DataFrame:
+    """A report's rows in order, overall or with a leading ``source_group`` column.
+
+    ``limits`` are those of the report: ``k`` (None for all) of the top values, items and
+    domains, ``urls`` of the referrers, ``min_users``, ``limit`` and ``limit_first`` of the transitions,
+    ``steps`` and ``limit`` of the journeys.
+    """
+    return (BY_SOURCE if by_source else OVERALL)[name].table(m, **limits)

@@ -58,12 +58,17 @@ def page_path_cvr(m: Marts, by_source: bool = False) -> DataFrame:
     return paths.withColumn("cvr", M.pct("purchasers", "visitors"))
 
 
-def page_referrer_cvr(m: Marts, by_source: bool = False, exact: bool = False) -> DataFrame:
-    """Users and ever-purchasers per referring domain, the largest domains only.
+def page_referrer_cvr(
+    m: Marts,
+    by_source: bool = False,
+    exact: bool = False,
+    k: int | None = LIMITS.referrer_domains,
+    urls: int | None = LIMITS.referrer_urls,
+) -> DataFrame:
+    """Users and ever-purchasers per referring domain, the ``k`` largest domains.
 
-    Adds up the users of a domain's URLs, so a user counts once per URL. The overall
-    form looks at the most used URLs only; the per-source form at all. ``exact``
-    counts each user once per domain over all URLs.
+    Adds up the users of a domain's URLs, so a user counts once per URL; of the ``urls``
+    most used ones only, if given. ``exact`` counts each user once per domain over all URLs.
     """
     by = _source_key(by_source)
     rows = by_first_source(m.user_referrers)
@@ -72,17 +77,17 @@ def page_referrer_cvr(m: Marts, by_source: bool = False, exact: bool = False) ->
         rows = rows.select(*by, "uid", "is_purchaser", domain_of("page_referrer").alias("domain")).distinct()
         domains = rows.groupBy(*by, "domain").agg(*counts)
     else:
-        urls = over_sources(rows.groupBy(SOURCE, "page_referrer").agg(*counts), ["page_referrer"], by_source)
-        urls = urls if by_source else top(urls, by, ["-users", "page_referrer"], LIMITS.referrer_urls)
-        domains = urls.groupBy(*by, domain_of("page_referrer").alias("domain")).agg(
+        per_url = over_sources(rows.groupBy(SOURCE, "page_referrer").agg(*counts), ["page_referrer"], by_source)
+        per_url = top(per_url, by, ["-users", "page_referrer"], urls)
+        domains = per_url.groupBy(*by, domain_of("page_referrer").alias("domain")).agg(
             F.sum("users").alias("users"), F.sum("purchasers").alias("purchasers")
         )
-    kept = top(domains, by, ["-users", "domain"], LIMITS.referrer_domains)
+    kept = top(domains, by, ["-users", "domain"], k)
     return kept.withColumn("cvr", M.pct("purchasers", "users"))
 
 
-def top_items(m: Marts, by_source: bool = False) -> DataFrame:
-    """Items with most revenue: revenue, distinct orders, distinct buyers."""
+def top_items(m: Marts, by_source: bool = False, k: int | None = LIMITS.top_values) -> DataFrame:
+    """The ``k`` items with most revenue: revenue, distinct orders, distinct buyers."""
     by = _source_key(by_source)
     keys = [*by, "item"]
     items = by_first_source(m.user_items).withColumnRenamed("first_item_name", "item")
@@ -90,7 +95,7 @@ def top_items(m: Marts, by_source: bool = False) -> DataFrame:
     sold = over_sources(counts, ["item"], by_source)
     bought = by_first_source(m.purchases.where(F.col("first_item_name") != ""))
     orders = distinct_orders(bought.withColumnRenamed("first_item_name", "item"), keys)
-    kept = top(merge_counts(keys, sold, orders), by, ["-revenue", "item"], LIMITS.top_values)
+    kept = top(merge_counts(keys, sold, orders), by, ["-revenue", "item"], k)
     return kept.withColumn("revenue", M.money("revenue"))
 
 

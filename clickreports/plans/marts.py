@@ -114,6 +114,11 @@ class Marts:
         )
         return self._land("purchases", attribute(rows, self.users))
 
+    def close(self) -> None:
+        """Delete the landed pre-aggregates; nothing built on them can be read after."""
+        if self._store is not None:
+            self._store.close()
+
     def _attributed(self, name: str, by, *measures) -> DataFrame:
         return self._land(name, attribute(user_cells(self.events, by, *measures), self.users))
 

@@ -109,20 +109,24 @@ def sankey_links(
     m: Marts,
     min_users: int = config.LIMITS.transition_min_users,
     limit: int = config.LIMITS.transition_links,
+    limit_first: bool = False,
 ) -> DataFrame:
-    return transition_links(m.events, min_users, limit)
+    return transition_links(m.events, min_users, limit, limit_first=limit_first)
 
 
 def sankey_nodes(
     m: Marts,
     min_users: int = config.LIMITS.transition_min_users,
     limit: int = config.LIMITS.transition_links,
+    limit_first: bool = False,
 ) -> DataFrame:
-    return link_nodes(sankey_links(m, min_users, limit))
+    return link_nodes(sankey_links(m, min_users, limit, limit_first))
 
 
-def journeys(m: Marts) -> DataFrame:
-    return common_journeys(m.events)
+def journeys(
+    m: Marts, steps: int = config.LIMITS.journey_steps, limit: int = config.LIMITS.journey_paths
+) -> DataFrame:
+    return common_journeys(m.events, steps, limit)
 
 
 def event_distribution(m: Marts, by_source: bool = False) -> DataFrame:

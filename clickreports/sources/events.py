@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickreports.config import DATE_FROM, USER_ID_PREFIX
+from clickreports.config import USER_ID_PREFIX
 from clickreports.functions.categories import source_group
 from clickreports.functions.metrics import zero_if_null
 
@@ -46,17 +46,19 @@ EVENT_ID = "event_id"
 def load_events(
     spark: SparkSession,
     src: str | DataFrame,
-    date_from: str | dt.date = DATE_FROM,
+    date_from: str | dt.date | None = None,
     prefix: str = USER_ID_PREFIX,
 ) -> DataFrame:
-    """Base view: identified users' events since ``date_from``, typed and tagged.
+    """Base view: identified users' events, typed and tagged; since ``date_from`` if given.
 
     ``src`` is a DataFrame, a Parquet path or a table name. Nothing is read until a
     report runs, and then only the columns and (on a table partitioned by
-    ``p_event_date``) the days it needs.
+    ``p_event_date``) the days it needs. A column ``event_id``, if there is one, settles equal
+    times; without it the operators order such events by what they put out.
     """
     raw = _validated(src if isinstance(src, DataFrame) else _read(spark, src))
-    kept = identified_users(raw.where(_since(raw, date_from)), prefix)
+    bounded = raw if date_from is None else raw.where(_since(raw, date_from))
+    kept = identified_users(bounded, prefix)
     return with_source_group(
         kept.select(
             F.col("p_event_date").cast("date").alias("event_date"),
@@ -82,7 +84,7 @@ def load_events(
             "traffic_source_medium",
             "geo_country",
             "page_referrer",
-            _event_id(raw).alias(EVENT_ID),
+            *([F.col(EVENT_ID).cast("bigint").alias(EVENT_ID)] if EVENT_ID in raw.columns else []),
         )
     )
 
@@ -115,17 +117,6 @@ def _since(raw: DataFrame, date_from: str | dt.date) -> Column:
     return F.col("p_event_date") >= F.lit(dt.date.fromisoformat(day))
 
 
-def _event_id(raw: DataFrame) -> Column:
-    """The unique row key that settles equal timestamps.
-
-    A table without one gets a hash of the whole row: the same on every run and
-    partitioning, and equal only for rows that are interchangeable anyway.
-    """
-    if EVENT_ID in raw.columns:
-        return F.col(EVENT_ID).cast("bigint")
-    return F.xxhash64(*[F.col(field.name) for field in RAW_SCHEMA])
-
-
 def _validated(raw: DataFrame) -> DataFrame:
     have = {field.name: field.dataType for field in raw.schema}
     missing = [field.name for field in RAW_SCHEMA if field.name not in have]

@@ -33,13 +33,25 @@ class Store:
     the table's real size: small ones are broadcast below the session's
     ``spark.sql.autoBroadcastJoinThreshold``, large ones meet in a shuffled join
     whose hot partitions adaptive execution splits. The tables stay in ``folder``
-    until the caller removes it.
+    until ``close``, or the end of a ``with`` block.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self._spark = spark
         self.folder = folder or f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
+    def close(self) -> None:
+        """Delete this store's tables; DataFrames over them can't be read after."""
+        jvm = self._spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def land(self, name: str, table: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}"
         # The folder is this store's own; only a failed attempt can have left files here.

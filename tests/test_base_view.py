@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,11 +66,28 @@ def test_names_missing_and_mistyped_columns(spark, raw):
         load_events(spark, table.withColumn("event_ts_th", F.lit("now")))
 
 
-def test_table_without_row_key_gets_a_stable_one(spark, raw):
-    table = raw([{"os": "a"}, {"os": "b"}]).drop(EVENT_ID)
-    ids = lambda t: {r.os: r.event_id for r in load_events(spark, t, "2024-01-01").collect()}
-    assert ids(table) == ids(table.repartition(3))
-    assert len(set(ids(table).values())) == 2
+def test_no_date_keeps_old_rows(spark, raw):
+    table = raw([{"ts": "1999-12-31 00:00:00"}, {"ts": "2030-01-01 00:00:00"}])
+    assert load_events(spark, table).count() == 2
+    assert load_events(spark, table, "2024-01-01").count() == 1
+
+
+def test_ordered_operators_read_five_columns_at_most(spark, raw, tmp_path):
+    from clickreports.operators import sequences, users
+
+    raw([{}, {"name": "purchase"}]).write.parquet(f"{tmp_path}/events")
+    table = spark.read.parquet(f"{tmp_path}/events")
+    for src in (table, table.drop(EVENT_ID)):
+        view = load_events(spark, src, "2024-01-01")
+        for frame in (
+            sequences.transition_links(view),
+            sequences.common_journeys(view),
+            users.first_touch(view),
+            users.purchase_sequence(view),
+        ):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+            assert read and all(len(schema.split(",")) <= 5 for schema in read)
 
 
 def test_is_a_named_view_for_sql(spark, events):

@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from verification import oracle, registry
 
 SF = "/root/testdata/sf0.01"
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = registry.queries(), oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def duck():
 def test_every_statement_belongs_to_a_query():
     assert set(STATEMENTS) <= set(QUERIES)
     assert set(QUERIES) - set(STATEMENTS) == {"report_bundle"}
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql())
 
 
 def _sorted(rows):

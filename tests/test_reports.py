@@ -276,12 +276,14 @@ def test_referrers_count_a_user_once_per_url_unless_exact(marts):
     assert table(exact, *columns) == [("(direct)", 2, 0), ("a.com", 2, 1)]
 
 
-def test_only_the_overall_referrers_are_cut_to_the_top_urls(marts):
+def test_referrers_are_summed_over_all_urls_unless_cut(marts):
     rows = [see(f"U{u}", page_referrer=f"https://d{d:02d}.com/") for d in range(60) for u in range(1 + (d < 50))]
     rows += [see("U1", page_referrer=f"https://many.com/{i}") for i in range(100)]
     m = marts(rows)
     overall = dict(table(report(m, "page_referrer_cvr"), "domain", "users"))
-    assert "many.com" not in overall and len(overall) == 20
+    assert overall["many.com"] == 100 and len(overall) == 20
+    assert report(m, "page_referrer_cvr", k=None).count() == 61
+    assert "many.com" not in dict(table(report(m, "page_referrer_cvr", urls=50), "domain", "users"))
     per_source = report(m, "page_referrer_cvr", by_source=True).collect()
     assert (per_source[0].domain, per_source[0].users, len(per_source)) == ("many.com", 100, 20)
 

@@ -144,3 +144,39 @@ def test_named_shared_folder_is_used():
     from clickreports.sources.store import shared_folder
 
     assert shared_folder(Session()) == "hdfs://shared/checkpoints"
+
+
+def test_a_closed_store_leaves_nothing(spark, tmp_path):
+    with Store(spark, f"{tmp_path}/store") as store:
+        assert store.land("numbers", spark.range(3)).count() == 3
+    assert not (tmp_path / "store").exists()
+
+
+def test_section_rows_gather_nothing(m):
+    from clickreports.plans.bundle import section_entries
+
+    for name in ("event_distribution", "daily_trend", "device_category_cvr"):
+        plan = plan_of(section_entries(m, name))
+        assert "SinglePartition" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("known_times", [True, False])
+def test_a_hot_user_in_one_hour_is_cut_in_slices(spark, events, known_times):
+    """One user with a third of the events, all in an hour or all at unknown times."""
+    from pyspark.sql import functions as F
+
+    from clickreports.operators import sequences
+
+    ids = spark.range(60_000).withColumnRenamed("id", "event_id")
+    hot = F.col("event_id") % 3 == 0
+    second = F.when(hot, F.col("event_id") / 60_000 * 3600).otherwise(F.col("event_id"))
+    moment = F.timestamp_seconds(F.lit(1_704_067_200) + second).cast("timestamp_ntz")
+    rows = ids.select(
+        F.when(hot, F.lit("U0")).otherwise(F.concat(F.lit("U"), F.col("event_id"))).alias("uid"),
+        (moment if known_times else F.when(~hot, moment)).alias("event_ts"),
+        "event_id",
+        F.lit("login").alias("event_name"),
+    )
+    sliced = sequences.with_slice(rows).groupBy("uid", "slice").count()
+    # No window holds more than a small share of the hot user's 20,000 events.
+    assert sliced.agg(F.max("count")).first()[0] <= 1400

@@ -69,13 +69,14 @@ def test_unlisted_events_do_not_break_neighbours(events):
     assert [tuple(r)[1:] for r in S.transitions(view).collect()] == [("login", "purchase")]
 
 
-def test_links_lead_forward_only_and_cut_comes_first(events):
+def test_links_lead_forward_only_and_the_limit_counts_them(events):
     rows = walk("U1", "page_view", "login", "page_view") + walk("U2", "login", "page_view")
     view = events(rows)
     links = [tuple(r) for r in S.transition_links(view, min_users=1).collect()]
     assert links == [("Page View", "Login", 1)]
-    # The most common transition leads backwards: the limit takes it, the filter drops it.
-    assert S.transition_links(view, min_users=1, limit=1).count() == 0
+    assert S.transition_links(view, min_users=1, limit=1).count() == 1
+    # The most common transition leads backwards: a limit that comes first takes it, the filter drops it.
+    assert S.transition_links(view, min_users=1, limit=1, limit_first=True).count() == 0
     assert S.transition_links(view, min_users=3).count() == 0
 
 
@@ -91,13 +92,14 @@ def test_events_outside_the_depth_table(spark):
     assert kept == {("Login", "New"), ("New", "Login")}
 
 
-def test_longer_journeys_merge_with_those_of_exactly_ten_steps(events):
+def test_longer_journeys_are_told_from_those_of_exactly_ten_steps(events):
     ten = ["login", "page_view"] * 5
     view = events(walk("U1", *ten) + walk("U2", *ten, "login", "purchase") + walk("U3", "login", "login"))
-    found = S.common_journeys(view).orderBy(F.desc("users")).collect()
-    assert [(r.path, r.users, r.steps) for r in found] == [
-        (["Login", "Page View"] * 5, 2, 10),
-        (["Login"], 1, 1),
+    found = S.common_journeys(view).orderBy("raw_path", "longer").collect()
+    assert [(r.path, r.users, r.steps, r.longer) for r in found] == [
+        (["Login"], 1, 1, False),
+        (["Login", "Page View"] * 5, 1, 10, False),
+        (["Login", "Page View"] * 5, 1, 10, True),
     ]
 
 

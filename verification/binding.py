@@ -7,7 +7,6 @@ One SELECT that both Spark SQL and DuckDB accept; it names the tables ``events``
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DATE_FROM = "2024-01-03"
 
@@ -16,10 +15,12 @@ TABLES = ("events", "customer", "nation", "part", "pages")
 RAW_SQL = """
 WITH numbered AS (
   SELECT event_id AS id, ts, event_type, value, user_id,
-         CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k
+         CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+         event_id % (SELECT greatest(count(*), 1) FROM part ) AS item,
+         event_id % (SELECT greatest(count(*), 1) FROM pages ) AS page
   FROM events
 ), named AS (
-  SELECT id, ts, value, k, user_id * 10 + k % 10 AS un,
+  SELECT id, ts, value, k, item, page, user_id * 10 + k % 10 AS un,
          CASE event_type
            WHEN 'purchase' THEN CASE id % 4 WHEN 0 THEN 'purchase' WHEN 1 THEN 'add_payment_info'
                                             WHEN 2 THEN 'begin_checkout' ELSE 'view_cart' END
@@ -84,20 +85,14 @@ SELECT
 FROM named
 LEFT JOIN customer ON c_custkey = un
 LEFT JOIN nation ON n_nationkey = c_nationkey
-LEFT JOIN part ON p_partkey = id % 200
-LEFT JOIN pages ON page_id = id % 200
+LEFT JOIN part ON p_partkey = item
+LEFT JOIN pages ON page_id = page
 """
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived raw table.
-
-    ``id % 200`` reaches 200 keys at most, and both lookup tables are unique by key,
-    so those sides are broadcast: 200 rows each, whatever the scale.
-    """
+    """The derived raw table; events go round all of ``part`` and ``pages``."""
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
-    tables["part"] = F.broadcast(tables["part"].where("p_partkey < 200").select("p_partkey", "p_name"))
-    tables["pages"] = F.broadcast(tables["pages"].where("page_id < 200").select("page_id", "url"))
     sql = RAW_SQL
     for name in TABLES:
         for word in ("FROM", "JOIN"):

@@ -6,33 +6,21 @@ pre-aggregates the Spark side uses.
 
 from __future__ import annotations
 
+from clickreports import config
+from clickreports.plans.catalog import BY_SOURCE, OVERALL
 from verification.binding import DATE_FROM, RAW_SQL
 
-# Page categories and labels, in matching order.
-_PATHS = (
-    "/cart", "/safe", "/highlights", "/jidrid", "/profile", "/orders", "/register", "/dashboard", "/prize-history",
+# Columns that hold money, averages and shares.
+DECIMALS = frozenset(
+    "revenue aov avg_value cvr conv_rate pct_of_total drop_off_pct conversion_rate conversion_rate_joined "
+    "avg_events_per_user avg_hours_to_first_purchase avg_hours_to_repeat repeat_purchase_pct".split()
 )
-_LABELS = """MAP {
-  'page_view': 'Page View', 'session_start': 'Session Start', 'first_visit': 'First Visit',
-  'view_item_list': 'View Items', 'view_search_results': 'Search Results', 'view_cart': 'View Cart',
-  'add_to_cart': 'Add to Cart', 'remove_from_cart': 'Remove from Cart',
-  'begin_checkout': 'Begin Checkout', 'add_payment_info': 'Add Payment', 'purchase': 'Purchase',
-  'login': 'Login', 'signup': 'Signup', 'user_engagement': 'User Engagement',
-  'click_top_seller_number': 'Click Top Seller'}"""
-_DEPTHS = (
-    "['First Visit', 'Session Start', 'Page View', 'User Engagement', 'Click Top Seller', 'Search Results', "
-    "'View Items', 'Add to Cart', 'Remove from Cart', 'View Cart', 'Login', 'Signup', 'Begin Checkout', "
-    "'Add Payment', 'Purchase']"
-)
-_STEPS = {
-    "view_item_list": "View Items",
-    "add_to_cart": "Add to Cart",
-    "view_cart": "View Cart",
-    "begin_checkout": "Begin Checkout",
-    "add_payment_info": "Add Payment",
-    "purchase": "Purchase",
-}
-# End of fixed values.
+
+# The vocabulary stands once, in ``config``; ``tests`` check its values.
+_PATHS = config.PAGE_PATHS
+_LABELS = "MAP {" + ", ".join(f"'{event}': '{label}'" for event, label in config.EVENT_LABELS.items()) + "}"
+_DEPTHS = "[" + ", ".join(f"'{label}'" for label in sorted(config.EVENT_DEPTH, key=config.EVENT_DEPTH.get)) + "]"
+_STEPS = dict(config.FUNNEL_STEPS)
 
 _PATH = f"""CASE {' '.join(f"WHEN contains(page_location, '{path}') THEN '{path}'" for path in _PATHS)}
   ELSE '/ (home)' END"""
@@ -116,9 +104,10 @@ walked AS (
   FROM collapsed
 ),
 routes AS (
-  SELECT uid, string_agg(event_name, ' → ' ORDER BY step_no) AS raw_path,
-         string_agg({_LABELS}[event_name], ' → ' ORDER BY step_no) AS path, count(*) AS steps
-  FROM walked WHERE step_no <= 10 GROUP BY uid
+  SELECT uid, string_agg(event_name, ' → ' ORDER BY step_no) FILTER (step_no <= 10) AS raw_path,
+         string_agg({_LABELS}[event_name], ' → ' ORDER BY step_no) FILTER (step_no <= 10) AS path,
+         least(count(*), 10) AS steps, count(*) > 10 AS longer
+  FROM walked GROUP BY uid
 )
 """
 
@@ -204,10 +193,10 @@ def _dimension(src: str, column: str, label: str, default: str, k: int | None, r
     ) {cut}"""
 
 
-def _referrer(src: str) -> str:
+def _referrer(src: str, urls: int | None = None) -> str:
     by = "source_group," if src else ""
     over = "PARTITION BY source_group" if src else ""
-    cut = "" if src else "WHERE place <= 50"
+    cut = f"WHERE place <= {urls}" if urls else ""
     return f"""SELECT {by} domain, users, purchasers, {_pct('purchasers', 'users')} AS cvr FROM (
       SELECT *, row_number() OVER ({over} ORDER BY users DESC, domain) AS place FROM (
         SELECT {by} {_DOMAIN} AS domain, CAST(sum(users) AS BIGINT) AS users,
@@ -304,11 +293,13 @@ def _shared(by_source: bool) -> dict[str, str]:
     }
 
 
-def _links(min_users: int) -> str:
+def _links(min_users: int, limit_first: bool = False) -> str:
+    forward = f"list_position({_DEPTHS}, {_LABELS}[target_event]) > list_position({_DEPTHS}, {_LABELS}[source_event])"
+    early, late = ("true", forward) if limit_first else (forward, "true")
     return f"""SELECT {_LABELS}[source_event] AS source, {_LABELS}[target_event] AS target, user_count AS value
-      FROM (SELECT * FROM edges WHERE user_count >= {min_users}
+      FROM (SELECT * FROM edges WHERE user_count >= {min_users} AND {early}
             ORDER BY user_count DESC, source_event, target_event LIMIT 50)
-      WHERE list_position({_DEPTHS}, {_LABELS}[target_event]) > list_position({_DEPTHS}, {_LABELS}[source_event])"""
+      WHERE {late}"""
 
 
 def _nodes(min_users: int) -> str:
@@ -331,6 +322,8 @@ _OVERALL_ONLY = {
     "traffic_source_name_cvr": _dimension("", "traffic_source_name", "name", "(not set)", 15, True),
     "traffic_source_medium_cvr": _dimension("", "traffic_source_medium", "medium", "(not set)", 15, True),
     "traffic_source_source_cvr": _dimension("", "source", "source", "(not set)", 15, True),
+    "page_referrer_cvr_top50": _referrer("", 50),
+    "browser_cvr_all": _dimension("", "browser_final", "browser", "Unknown", None, False),
     "page_referrer_cvr_exact": f"""SELECT domain, users, purchasers, {_pct('purchasers', 'users')} AS cvr
         FROM (SELECT {_DOMAIN} AS domain, {_USERS} AS users, {_BUYERS} AS purchasers FROM ev GROUP BY ALL)
         ORDER BY users DESC, domain LIMIT 20""",
@@ -338,6 +331,8 @@ _OVERALL_ONLY = {
 
 _BLOCKS = {
     "base_view": "SELECT * FROM ga",
+    "registered_view": """SELECT uid, event_date, event_name, count(*) AS events, max(source_group) AS last_group
+        FROM ga GROUP BY uid, event_date, event_name""",
     "source_group_of": "SELECT source, source_group, count(*) AS events FROM ga GROUP BY ALL",
     "first_touch": "SELECT uid, first_source AS source_group FROM touch",
     "purchasers": "SELECT DISTINCT uid FROM buys",
@@ -366,8 +361,9 @@ _WALKS = {
     "sankey_links_min5": _links(5),
     "sankey_nodes": _nodes(100),
     "sankey_nodes_min5": _nodes(5),
-    "journeys": """SELECT path, count(*) AS users, steps FROM routes GROUP BY raw_path, path, steps
-        ORDER BY count(*) DESC, raw_path LIMIT 20""",
+    "sankey_links_limit_first": _links(5, limit_first=True),
+    "journeys": """SELECT path, count(*) AS users, steps, longer FROM routes GROUP BY raw_path, path, steps, longer
+        ORDER BY count(*) DESC, raw_path, longer LIMIT 20""",
     "collapsed_events": "SELECT uid, event_ts, event_id, event_name FROM collapsed",
     "event_transitions": "SELECT source_event, target_event, user_count FROM edges",
     "first_steps": "SELECT uid, event_ts, event_id, event_name, CAST(step_no AS INTEGER) AS step_no"
@@ -379,7 +375,14 @@ _WALKS = {
 def _bundle_items() -> str:
     """Rows of each section, overall and per first-touch source (0 where it has none)."""
     lists = {**_OVERALL_ONLY, **_shared(False), "journeys": _WALKS["journeys"]}
-    skipped = ("meta", "kpi", "platform_distribution_merged", "page_referrer_cvr_exact")
+    skipped = (
+        "meta",
+        "kpi",
+        "platform_distribution_merged",
+        "page_referrer_cvr_exact",
+        "page_referrer_cvr_top50",
+        "browser_cvr_all",
+    )
     parts = [
         f"SELECT 'all' AS scope, '{name}' AS section, count(*) AS items FROM ({sql})"
         for name, sql in lists.items()
@@ -398,11 +401,42 @@ def _bundle_items() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _report_rows() -> str:
+    """Every report's rows as lines of text, decimals in hundredths."""
+    overall = {**_OVERALL_ONLY, **_shared(False), **{k: _WALKS[k] for k in ("sankey_links", "sankey_nodes", "journeys")}}
+    parts = [_lines("'all'", name, OVERALL[name].columns, overall[name]) for name in OVERALL]
+    parts += [_lines("source_group", name, BY_SOURCE[name].columns, sql) for name, sql in _shared(True).items()]
+    return " UNION ALL ".join(parts)
+
+
+def _lines(scope: str, name: str, columns: tuple[str, ...], sql: str) -> str:
+    def text(column: str) -> str:
+        value = f'"{column}"'
+        if column in DECIMALS:
+            value = f"CAST(round(CAST({value} AS DOUBLE) * 100) AS BIGINT)"
+        return f"coalesce(CAST({value} AS VARCHAR), 'null')"
+
+    shown = ", ".join(text(c) for c in columns if c != "source_group")
+    return f"SELECT {scope} AS scope, '{name}' AS section, concat_ws('|', {shown}) AS entry FROM ({sql})"
+
+
+def _without_ids(sql: str) -> str:
+    """The statement over hourly times, ties settled by the column put out."""
+    hourly = sql.replace("SELECT p_event_date AS event_date, event_ts_th AS event_ts,", "SELECT p_event_date AS event_date, date_trunc('hour', event_ts_th) AS event_ts,")
+    touch = hourly.replace(
+        "FROM ga ORDER BY uid, event_ts ASC NULLS FIRST, event_id", "FROM ga ORDER BY uid, event_ts, source_group"
+    )
+    return touch.replace("ORDER BY event_ts ASC NULLS FIRST, event_id", "ORDER BY event_ts ASC NULLS FIRST, event_name")
+
+
 def statements() -> dict[str, str]:
     overall = {**_OVERALL_ONLY, **_BLOCKS, **_shared(False)}
     per_source = {f"{name}_per_source": sql for name, sql in _shared(True).items()}
     return {
         **{name: _BASE + sql for name, sql in {**overall, **per_source}.items()},
         **{name: _BASE + _WALK + sql for name, sql in _WALKS.items()},
+        "report_rows": _BASE + _WALK + _report_rows(),
+        "first_touch_no_id": _without_ids(_BASE + _BLOCKS["first_touch"]),
+        "journeys_no_id": _without_ids(_BASE + _WALK + _WALKS["journeys"]),
         "report_bundle_items": _BASE + _WALK + _bundle_items(),
     }

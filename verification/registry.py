@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +13,19 @@ from clickreports.functions import categories as C
 from clickreports.functions import metrics as M
 from clickreports.operators import sequences, users
 from clickreports.plans import dimensions, overview, segments
-from clickreports.plans.bundle import bundle
+from clickreports.plans.bundle import bundle, section_entries
 from clickreports.plans.catalog import BY_SOURCE, OVERALL, Report, report
 from clickreports.plans.marts import Marts
 from clickreports.sources.events import load_events, register
 from clickreports.sources.store import Store
+from verification.oracle import DECIMALS
 from verification.binding import DATE_FROM, raw_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+VIEW_SQL = """SELECT uid, event_date, event_name, count(*) AS events, max(source_group) AS last_group
+FROM ga_events GROUP BY uid, event_date, event_name"""
+
 _OPEN: dict[tuple[str, str], Marts] = {}
 
 
@@ -49,6 +53,11 @@ def _journeys(m: Marts) -> DataFrame:
     return report(m, "journeys").withColumn("path", F.array_join("path", PATH_SEPARATOR))
 
 
+def _without_ids(m: Marts) -> DataFrame:
+    """The events as a table without row key, their times cut to the hour so that many tie."""
+    return m.events.drop("event_id").withColumn("event_ts", F.date_trunc("hour", "event_ts").cast("timestamp_ntz"))
+
+
 def _listed(m: Marts) -> DataFrame:
     return sequences.only_events(m.events, EVENT_LABELS)
 
@@ -104,6 +113,31 @@ def _bundle_items(m: Marts) -> DataFrame:
     )
 
 
+def _report_rows(m: Marts) -> DataFrame:
+    """Every entry of the document, read back from its text, as one line per entry.
+
+    Decimals are written in hundredths, so that engines need not agree on their digits.
+    """
+    parts = []
+    for reports, by_source in ((OVERALL, False), (BY_SOURCE, True)):
+        for name, one in reports.items():
+            rows = section_entries(m, name, by_source)
+            columns = [c for c in one.columns if c != "source_group"]
+            kinds = ", ".join(f"`{c}` " + ("array<string>" if c == "path" and name == "journeys" else "string") for c in columns)
+            entry = rows.select("scope", "section", F.from_json("entry", kinds).alias("e"))
+            texts = [_as_text(F.col("e")[c], c, c == "path" and name == "journeys") for c in columns]
+            parts.append(entry.select("scope", "section", F.concat_ws("|", *texts).alias("entry")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _as_text(value, name: str, is_path: bool):
+    if is_path:
+        return F.array_join(value, PATH_SEPARATOR)
+    if name in DECIMALS:
+        value = F.round(value.cast("double") * 100).cast("bigint").cast("string")
+    return F.coalesce(value, F.lit("null"))
+
+
 def _labelled(column: str, label: str, value) -> Callable[[Marts], DataFrame]:
     return lambda m: (
         m.events.where(F.col(column).isNotNull() | F.lit(column != "page_location"))
@@ -132,6 +166,12 @@ def queries() -> dict[str, Query]:
         "platform_distribution_merged": _columns_of(
             "platform_distribution", partial(overview.platform_distribution, merge_labels=True)
         ),
+        "page_referrer_cvr_top50": partial(report, name="page_referrer_cvr", urls=50),
+        "browser_cvr_all": partial(report, name="browser_cvr", k=None),
+        "sankey_links_limit_first": partial(report, name="sankey_links", min_users=5, limit_first=True),
+        "registered_view": lambda m: register(m.events).sparkSession.sql(VIEW_SQL),
+        "first_touch_no_id": lambda m: users.first_touch(_without_ids(m)),
+        "journeys_no_id": lambda m: _journeys(Marts(_without_ids(m))),
         "page_referrer_cvr_exact": _columns_of(
             "page_referrer_cvr", partial(dimensions.page_referrer_cvr, exact=True)
         ),
@@ -154,5 +194,6 @@ def queries() -> dict[str, Query]:
         "user_paths": _user_paths,
         "report_bundle": bundle,
         "report_bundle_items": _bundle_items,
+        "report_rows": _report_rows,
     }
     return {name: _over_marts(build) for name, build in {**reports, **blocks}.items()}
