@@ -25,6 +25,8 @@ from clickreports.llm.steps import Steps, without
 
 GROUP_ROWS = 20_000
 CAPACITY = 2048
+PAIRED = 12  # items of a bin that are offered in pairs
+GAINS = 64  # gains tried for a bin, from its room downwards
 
 
 @lru_cache(maxsize=2)
@@ -169,92 +171,68 @@ def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Underfull:
-    """Bins with room, as arrays over their items."""
-
-    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
-        self.bins, self.lengths, self.capacity = bins, lengths, capacity
-        fills = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
-        self.room = capacity - fills
-        self.items = np.array([i for b in bins for i in b], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        self.size = lengths[self.items]
-        self.place = {int(item): k for k, item in enumerate(self.items)}
-
-    def give(self, item: int, to: int) -> None:
-        at = self.place[item]
-        old = int(self.owner[at])
-        self.bins[old].remove(item)
-        self.bins[to].append(item)
-        size = int(self.lengths[item])
-        self.room[old] += size
-        self.room[to] -= size
-        self.owner[at] = to
-
-
 def _search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty the emptiest underfull bins into the room of the others."""
-    fills = [int(lengths[b].sum()) for b in bins]
-    done = [b for b, fill in zip(bins, fills, strict=True) if fill == capacity]
-    loose = [b for b, fill in zip(bins, fills, strict=True) if fill < capacity]
-    if len(loose) < 2:
-        return bins
-    state = _Underfull(loose, lengths, capacity)
-    while True:
-        alive = [b for b in range(len(loose)) if loose[b]]
-        donor = max(alive, key=lambda b: int(state.room[b]))
-        # Short of a whole bin's room elsewhere the donor can't run empty.
-        if int(state.room[alive].sum()) < capacity or not _drain(state, donor):
-            break
-    return done + [b for b in loose if b]
-
-
-def _drain(state: _Underfull, donor: int) -> bool:
-    """Move out of ``donor`` what improving steps can; whether it ran empty."""
-    while state.bins[donor]:
-        step = _best_step(state, donor)
-        if step is None:
-            return False
-        given, taken, to = step
-        for item in given:
-            state.give(item, to)
-        if taken is not None:
-            state.give(taken, donor)
-    state.room[donor] = 0
-    return True
-
-
-def _best_step(state: _Underfull, donor: int) -> tuple[list[int], int | None, int] | None:
-    """The step that moves most out of the donor into a bin at least as full.
-
-    Candidates: one item moved, one or two items against one. The receiving bin gains
-    what the donor loses, so squared fills rise.
+    """Fill bins from emptier ones until no exchange helps; bins that run empty go.
+
+    A pass goes through the underfull bins, the fullest first, and lets each change up to
+    two of its items for one or two of a bin with at least as much room, or take an item
+    for none. What the fuller bin gains the emptier one loses, so the sum of squared
+    fills rises with every step and the search ends.
     """
-    items = state.bins[donor]
-    donor_room = int(state.room[donor])
-    others = np.array(state.room)
-    others[donor] = -1
-    best, found = 0, None
-    takes = int(others.max())
-    single = [([i], int(state.lengths[i])) for i in items]
-    ordered = sorted(items, key=lambda i: int(state.lengths[i]))[:8]
-    double = [([a, b], int(state.lengths[a] + state.lengths[b])) for k, a in enumerate(ordered) for b in ordered[:k]]
-    for given, size in single:
-        if size <= takes and size > best:
-            fits = np.where(others >= size, others, state.capacity + 1)
-            best, found = size, (given, None, int(fits.argmin()))
-    if found is not None:
-        return found
-    elsewhere = state.owner != donor
-    room = state.room[state.owner]
-    for given, size in single + double:
-        gain = size - state.size
-        allowed = elsewhere & (gain > 0) & (gain <= room) & (room <= donor_room)
-        if not allowed.any():
-            continue
-        # As much as possible, and of equal gains the one that leaves the least room.
-        score = np.where(allowed, gain * (state.capacity + 1) - (room - gain), -1)
-        at = int(score.argmax())
-        if int(gain[at]) > best:
-            best, found = int(gain[at]), (given, int(state.items[at]), int(state.owner[at]))
-    return found
+    sizes = lengths.tolist()
+    room = [capacity - sum(sizes[i] for i in b) for b in bins]
+    loose = [b for b in range(len(bins)) if room[b]]
+    while True:
+        state = _Offers(bins, room, sizes, loose)
+        steps = sum(state.fill(b) for b in sorted(loose, key=room.__getitem__))
+        loose = [b for b in loose if bins[b] and room[b]]
+        if not steps or sum(room[b] for b in loose) < capacity:
+            return [b for b in bins if b]
+
+
+class _Offers:
+    """Single items and pairs of the underfull bins by size, as they were when the pass began."""
+
+    def __init__(self, bins: list[list[int]], room: list[int], sizes: list[int], loose: list[int]):
+        self.bins, self.room, self.sizes = bins, room, sizes
+        self.by_size: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        # Bins with most room come last in a list, and are asked first.
+        for b in sorted(loose, key=room.__getitem__):
+            for items in self._sets(b):
+                self.by_size.setdefault(sum(sizes[i] for i in items), []).append((b, items))
+
+    def _sets(self, b: int) -> list[tuple[int, ...]]:
+        items = self.bins[b]
+        pairs = [(x, y) for k, x in enumerate(items[:PAIRED]) for y in items[:k]]
+        return [(x,) for x in items] + pairs
+
+    def fill(self, b: int) -> int:
+        """Exchanges made in favour of bin ``b``."""
+        steps = 0
+        while self.bins[b] and self.room[b] and self._step(b):
+            steps += 1
+        return steps
+
+    def _step(self, b: int) -> bool:
+        room, sizes = self.room[b], self.sizes
+        given = [(0, ())] + [(sum(sizes[i] for i in items), items) for items in self._sets(b)]
+        for gain in range(room, max(0, room - GAINS), -1):
+            for size, items in given:
+                offers = self.by_size.get(size + gain)
+                while offers:
+                    other, taken = offers[-1]
+                    held = self.bins[other]
+                    if not all(i in held for i in taken):
+                        offers.pop()  # gone since the pass began
+                        continue
+                    if other == b or self.room[other] < room or (len(items) == 2 and len(taken) == 2):
+                        break
+                    self._exchange(b, items, other, taken, gain)
+                    return True
+        return False
+
+    def _exchange(self, b: int, items: tuple[int, ...], other: int, taken: tuple[int, ...], gain: int) -> None:
+        self.bins[b] = [i for i in self.bins[b] if i not in items] + list(taken)
+        self.bins[other] = [i for i in self.bins[other] if i not in taken] + list(items)
+        self.room[b] -= gain
+        self.room[other] += gain
