@@ -1,4 +1,4 @@
-"""Language-model scores: a word baseline and a subword lattice.
+"""Language-model scores: a word baseline, a subword lattice, and a mixture above the lattice.
 
 The base model counts words of the training documents, add-one smoothed. The lattice
 model scores a text as a sequence of subword pieces of an existing vocabulary: a piece has
@@ -7,6 +7,12 @@ segmentations that spell it, by a forward recursion in logs over byte positions.
 word starts with the vocabulary's space mark and no piece has one inside, so the sum
 falls into a product over words and a word is worked out once per block of texts.
 
+The lattice alone cannot know whole words. In the mixture a word is drawn from the counts of
+the training documents of one class (their language), or else from the counts of all of
+them, or else spelt by the lattice. The class is unknown, so the text's probability is the
+sum over all classes. Within a text, words are drawn by a Dirichlet-multinomial process, whose
+probability does not depend on the words' order: a word used once is likelier again.
+
 Learning reads all training documents: words are counted by a Spark aggregate, then the
 distinct words are segmented by the vocabulary's own scores, and pieces counted over
 segmentations, weighted by word counts. Scoring needs a count for every word of every
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +38,8 @@ from clickreports.llm.steps import Steps
 HEAD_WORDS = 200_000
 FOLDS = 7
 HELD_OUT = 2
+CLASSES = 8  # the most frequent ones; all others form the last
+CONCENTRATION = 3000.0  # training words that weigh as much as the text's own
 SPACE = "▁"
 _LOG10 = math.log(10.0)
 _FLUSH = 1_000_000
@@ -62,29 +71,31 @@ class _Words:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, merged within the task as far as memory allows."""
+    """Words and their counts by class, merged within the task as far as memory allows."""
     held: list[pa.Table] = []
     size = 0
+    names = ["word", "class", "n"]
 
     def merged(parts: list[pa.Table]) -> pa.Table:
-        table = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
-        return table.rename_columns({"n_sum": "n"}) if "n_sum" in table.column_names else table
+        table = pa.concat_tables(parts).group_by(["word", "class"]).aggregate([("n", "sum")])
+        return table.rename_columns({"n_sum": "n"}).select(names)
 
     for batch in batches:
         for block in texts.blocks(batch.column("text")):
             words = _Words(block)
-            counts = np.bincount(words.of, minlength=len(words.hashes)).astype(np.int64)
-            word = words.texts(np.arange(len(words.hashes)))
-            held.append(pa.table({"word": word, "n": pa.array(counts)}))
-            size += len(word)
+            of_row = np.asarray(batch.column("class").slice(block.lo, len(block)))
+            pairs, counts = np.unique(words.of * CLASSES + of_row[words.rows], return_counts=True)
+            columns = [words.texts(pairs // CLASSES), (pairs % CLASSES).astype(np.int32), counts.astype(np.int64)]
+            held.append(pa.table(columns, names))
+            size += len(pairs)
             if size > _FLUSH:
                 table = merged(held)
                 held, size = [table], table.num_rows
                 if size > _FLUSH // 2:
-                    yield from table.select(["word", "n"]).to_batches(50_000)
+                    yield from table.to_batches(50_000)
                     held, size = [], 0
     if held:
-        yield from merged(held).select(["word", "n"]).to_batches(50_000)
+        yield from merged(held).to_batches(50_000)
 
 
 class Pieces:
@@ -139,6 +150,65 @@ class Pieces:
         return reach[width]
 
 
+def _log(counts: np.ndarray) -> np.ndarray:
+    return np.log(counts, out=np.full(len(counts), -np.inf), where=counts > 0)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of numbers from eight on, by Stirling's series."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+def log_rising(log_a: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Log of a(a + 1)...(a + times - 1), from the log of a."""
+    out = np.where(times > 0, log_a, 0.0)
+    for j in range(1, 8):
+        more = np.flatnonzero(times > j)
+        out[more] += np.log(np.exp(log_a[more]) + j)
+    far = np.flatnonzero(times > 8)
+    a = np.exp(log_a[far])
+    out[far] += _log_gamma(a + times[far]) - _log_gamma(a + 8)
+    return out
+
+
+@dataclass(frozen=True)
+class Mixture:
+    """Training documents, words and distinct words by class, and distinct words of all."""
+
+    docs: np.ndarray
+    words: np.ndarray
+    types: np.ndarray
+    all_types: int
+
+    def shared(self, n: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """Log probability of words seen ``n`` times in training, from their lattice's."""
+        spelt = self.all_types + 1
+        return np.logaddexp(_log(n), math.log(spelt) + lattice) - math.log(self.words.sum() + spelt)
+
+    def draws(self, k: int, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Log weight of words seen ``n`` times in class ``k``, to be drawn with ``log_rising``."""
+        other = self.types[k] + 1
+        p = np.logaddexp(_log(n), math.log(other) + shared) - math.log(self.words[k] + other)
+        return p + math.log(CONCENTRATION)
+
+    def frame(self, k: int, length: np.ndarray) -> np.ndarray:
+        """Log probability of class ``k`` and of a text of ``length`` words, without the words' own."""
+        end = (self.docs[k] + 1) / (self.docs[k] + self.words[k] + 2)
+        prior = (self.docs[k] + 1) / (self.docs.sum() + len(self.docs))
+        total = log_rising(np.full(len(length), math.log(CONCENTRATION)), length)
+        return math.log(prior) + math.log(end) + length * math.log1p(-end) - total
+
+
+def _classes(training: DataFrame, column: str | None) -> tuple[list, list[int]]:
+    """The most frequent values of a column, and the number of rows of each and, last, of all others."""
+    if column is None:
+        return [], [training.count()]
+    by_class = training.groupBy("label").count().orderBy(F.col("count").desc(), "label")
+    rows = by_class.limit(CLASSES - 1).collect()
+    others = training.count() - sum(r["count"] for r in rows)
+    return [r["label"] for r in rows], [r["count"] for r in rows] + [others]
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(path: str) -> tuple[list[bytes], dict[int, int]]:
     """Distinct byte strings of a subword model's pieces, and each piece id's place among them.
@@ -194,31 +264,48 @@ def score(
     vocabulary: str,
     id_column: str = "doc_id",
     text_column: str = "text",
+    class_column: str | None = "lang",
 ) -> DataFrame:
-    """Score every text under both models, learnt from the rows that are not held out.
+    """Score every text under all models, learnt from the rows that are not held out.
 
     A-Z are lower-cased; tokens are the words (bytes other than 0x20 and 0x09-0x0D) and one
     end. Null and empty texts are the end alone. Rows are scored each, also those that
-    share an id. Without training rows the base model knows no token (N and V are 0), and
-    all pieces are equally likely.
+    share an id. ``class_column`` is read of training rows only; null is a class like any
+    other, and without a column there is one class. Without training rows the base model
+    knows no token (N and V are 0), all pieces are equally likely and the lattice spells every word.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known`` (tokens seen in training),
-    ``train_tokens``, ``base_score`` and ``score``, both log10 of the text's probability.
-    The lattice model's probabilities add up to one over all token sequences.
+    ``train_tokens``, and log10 of the text's probability as ``base_score``, ``score`` (the
+    mixture) and ``lattice_score`` (the lattice alone). The probabilities of the mixture, and
+    of the lattice, add up to one at most over all token sequences.
     """
     steps = Steps(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    label = F.col(class_column) if class_column else F.lit(None)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), label.alias("label"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     training = rows.where("NOT held_out")
-    ends = training.count()
-    counts = training.select("text").mapInArrow(_word_counts, "word string, n long")
-    counts = steps.land("counts", counts.groupBy("word").agg(F.sum("n").alias("n")))
-    sums = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
-    tokens, types = (sums["tokens"] or 0) + ends, sums["types"] + (ends > 0)
+    labels, class_rows = _classes(training, class_column)
+    ends, ks = sum(class_rows), range(len(class_rows))
+    of_row = F.lit(len(labels))
+    for k, value in enumerate(labels):
+        of_row = F.when(F.col("label").eqNullSafe(F.lit(value)), k).otherwise(of_row)
+    counts = training.select(of_row.alias("class"), "text").mapInArrow(_word_counts, "word string, class int, n long")
+    by_class = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in ks]
+    counts = steps.land("counts", counts.groupBy("word").agg(F.sum("n").alias("n"), *by_class))
+    totals = [F.sum(c).alias(f"sum_{c}") for c in ["n", *(f"n{k}" for k in ks)]]
+    totals += [F.count_if(F.col(f"n{k}") > 0).alias(f"types{k}") for k in ks]
+    sums = counts.agg(F.count(F.lit(1)).alias("types"), *totals).first()
+    tokens, types = (sums["sum_n"] or 0) + ends, sums["types"] + (ends > 0)
     denominator = math.log10(tokens + types + 1)
+    mixture = Mixture(
+        np.array(class_rows),
+        np.array([sums[f"sum_n{k}"] or 0 for k in ks]),
+        np.array([sums[f"types{k}"] for k in ks]),
+        sums["types"],
+    )
 
     strings, _ = _vocabulary(vocabulary)
-    pieces = counts.mapInArrow(_piece_counts(vocabulary), "piece int, n long")
+    pieces = counts.select("word", "n").mapInArrow(_piece_counts(vocabulary), "piece int, n long")
     used = pieces.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row per piece at most
     weights = np.full(len(strings) + 1, 0.1)
     weights[np.asarray(used.column("piece").combine_chunks())] += np.asarray(used.column("n").combine_chunks())
@@ -226,24 +313,30 @@ def score(
     logs = np.log(weights / weights.sum())
     model = Pieces(strings, logs[:-1])
 
-    head, least = _head(counts)
+    head, least = _head(counts, len(ks))
     known_end = math.log10(ends + 1)
-    scored = rows.mapInArrow(
-        _scored(model, float(logs[-1]), head, known_end, ends > 0),
-        "row long, doc_id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "words array<struct<word:string,n:int>>".format(docs.schema[id_column].dataType.simpleString()),
+    class_columns = ", ".join(f"s{k} double" for k in ks)
+    scored = rows.select("doc_id", "held_out", "text").mapInArrow(
+        _scored(model, mixture, float(logs[-1]), head, known_end, ends > 0),
+        "row long, doc_id {0}, held_out boolean, n_tokens long, n_known long, base double, lattice_score double, "
+        "{1}, words array<struct<word:string,times:int,lattice:double>>".format(
+            docs.schema[id_column].dataType.simpleString(), class_columns
+        ),
     )
     numbered = scored.withColumn("row", F.monotonically_increasing_id())
     numbered = steps.land("scored", numbered)
-    rare = numbered.select("row", F.explode("words").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
+    rare = numbered.select("row", F.explode("words").alias("w")).select("row", "w.*")
     # Words above the head's least count are in the head; a joined word has at most ``least`` occurrences.
     tail = counts.where(F.col("n") < least)
-    met = rare.join(tail, "word")
-    found = met.groupBy("row").agg(
-        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more")
+    met = rare.join(tail, "word").drop("word").mapInArrow(
+        _known(mixture), f"row long, more_known long, more double, {class_columns}"
     )
-    result = numbered.drop("words").join(found, "row", "left")
+    sums_of = [F.sum(c).alias(c) for c in ("more_known", "more")] + [F.sum(f"s{k}").alias(f"more{k}") for k in ks]
+    result = numbered.drop("words").join(met.groupBy("row").agg(*sums_of), "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)
+    by_class = F.array(*(F.col(f"s{k}") + F.coalesce(f"more{k}", F.lit(0.0)) for k in ks))
+    likeliest = F.array_max(by_class)
+    rest = F.aggregate(by_class, F.lit(0.0), lambda total, s: total + F.exp(s - likeliest))
     return result.select(
         "doc_id",
         "held_out",
@@ -251,13 +344,16 @@ def score(
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        ((likeliest + F.log(rest)) / F.lit(_LOG10)).alias("score"),
+        "lattice_score",
     )
 
 
-def _head(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+def _head(counts: DataFrame, classes: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """Hashes and counts of all words with ``least`` occurrences or more, ``HEAD_WORDS`` at most; ``least``.
 
+    A row of counts has the word's count in all, then those by class.
+
     The number of words by count is a short list: its rows have distinct counts that add
     up to the number of tokens.
     """
@@ -268,50 +364,85 @@ def _head(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
             break
         total, least = total + row["words"], row["n"]
     if least is None:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 1 << 62
+        return (np.zeros(0, np.uint64), np.zeros((0, classes + 1), np.int64)), 1 << 62
     table = counts.where(F.col("n") >= least).toArrow()
     word = table.column("word").combine_chunks()
     raw = [w.as_py().encode() for w in word]
     spans = np.cumsum([0, *map(len, raw)])
     hashes = texts.Rolling(np.frombuffer(b"".join(raw), np.uint8)).spans(spans[:-1], spans[1:])
     order = np.argsort(hashes)
-    return (hashes[order], np.asarray(table.column("n").combine_chunks())[order]), least
+    columns = ["n", *(f"n{k}" for k in range(classes))]
+    rows = np.stack([np.asarray(table.column(c).combine_chunks()) for c in columns], axis=1)
+    return (hashes[order], rows[order]), least
 
 
-def _scored(model: Pieces, end_log: float, head: tuple[np.ndarray, np.ndarray], known_end: float, seen_end: bool):
+def _known(mixture: Mixture):
+    """What a rare word's counts add to its row, over a word never seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lattice, times, n = (np.asarray(batch.column(c)) for c in ("lattice", "times", "n"))
+            seen, unseen = mixture.shared(n, lattice), mixture.shared(np.zeros_like(n), lattice)
+            columns = [batch.column("row"), pa.array(times.astype(np.int64)), pa.array(times * np.log10(n + 1.0))]
+            for k in range(len(mixture.docs)):
+                of_class = np.asarray(batch.column(f"n{k}"))
+                more = log_rising(mixture.draws(k, of_class, seen), times)
+                columns.append(pa.array(more - log_rising(mixture.draws(k, np.zeros_like(n), unseen), times)))
+            names = ["row", "more_known", "more", *(f"s{k}" for k in range(len(mixture.docs)))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def _scored(
+    model: Pieces,
+    mixture: Mixture,
+    end_log: float,
+    head: tuple[np.ndarray, np.ndarray],
+    known_end: float,
+    seen_end: bool,
+):
     hashes, counts = head
+    ks = range(len(mixture.docs))
 
     def one(block: texts.Block):
         words = _Words(block)
         n, distinct = len(block), len(words.hashes)
         per_word = model.word_logs(words.data, words.starts, words.ends)
         lattice = np.bincount(words.rows, weights=per_word[words.of], minlength=n) + end_log
-        seen = np.zeros(distinct, dtype=np.int64)
+        seen = np.zeros((distinct, len(ks) + 1), dtype=np.int64)
         if len(hashes):
             at = np.minimum(np.searchsorted(hashes, words.hashes), len(hashes) - 1)
-            seen = np.where(hashes[at] == words.hashes, counts[at], 0)
-        frequent = seen > 0
-        tokens = np.bincount(words.rows, minlength=n)
-        known = np.bincount(words.rows, weights=frequent[words.of], minlength=n)
-        base = np.bincount(words.rows, weights=np.log10(seen + 1.0)[words.of], minlength=n)
-        rare = ~frequent[words.of]
-        pairs, times = np.unique(words.rows[rare] * max(1, distinct) + words.of[rare], return_counts=True)
+            found = hashes[at] == words.hashes
+            seen[found] = counts[at[found]]
+        pairs, times = np.unique(words.rows * max(1, distinct) + words.of, return_counts=True)
         row, word = pairs // max(1, distinct), pairs % max(1, distinct)
+        tokens = np.bincount(words.rows, minlength=n)
+        frequent = seen[:, 0] > 0
+        known = np.bincount(row, weights=times * frequent[word], minlength=n)
+        base = np.bincount(row, weights=times * np.log10(seen[:, 0] + 1.0)[word], minlength=n)
+        shared = mixture.shared(seen[:, 0], per_word)
+        scores = []
+        for k in ks:
+            drawn = log_rising(mixture.draws(k, seen[:, k + 1], shared)[word], times)
+            scores.append(pa.array(np.bincount(row, weights=drawn, minlength=n) + mixture.frame(k, tokens)))
+        rare = ~frequent[word]
+        row, word, times = row[rare], word[rare], times[rare]
         offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(
-            pa.array(offsets),
-            pa.StructArray.from_arrays([words.texts(word), pa.array(times.astype(np.int32))], ["word", "n"]),
-        )
+        parts = [words.texts(word), pa.array(times.astype(np.int32)), pa.array(per_word[word])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["word", "times", "lattice"]))
         return [
             pa.array((tokens + 1).astype(np.int64)),
             pa.array(known.astype(np.int64) + int(seen_end)),
             pa.array(base + known_end),
             pa.array(lattice / _LOG10),
+            *scores,
             lists,
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lattice_score"]
+        names += [*(f"s{k}" for k in ks), "words"]
         for batch in batches:
             for block in texts.blocks(batch.column("text"), 4 * texts.BLOCK_BYTES):
                 part = batch.slice(block.lo, len(block))

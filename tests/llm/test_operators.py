@@ -415,15 +415,79 @@ def test_scores(spark, docs, empty):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (i in out, len(words), n)
         assert r.n_known == sum(w in counts for w in words)
         assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words))
-        assert r.score < 0
+        assert r.score < 0 and r.lattice_score < 0
     assert lm_scoring.score(empty, path).count() == 0
 
 
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     path = queries.tokenizer_path(queries.SCORING_VOCABULARY)
-    whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm_scoring.score(docs, path).collect()}
+    columns = ["doc_id", "n_known", F.round("base_score", 6), F.round("score", 6)]
+    whole = sorted(lm_scoring.score(docs, path).select(*columns).collect())
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)
-    assert whole == {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm_scoring.score(docs, path).collect()}
+    assert whole == sorted(lm_scoring.score(docs, path).select(*columns).collect())
+
+
+@pytest.mark.parametrize("column", ["lang", None])
+def test_mixture_draws_words_one_by_one(spark, column):
+    path = queries.tokenizer_path(queries.SCORING_VOCABULARY)
+    texts = [" ".join(f"{'ab' if i % 3 else 'cd'}{(i * j) % 11}" for j in range(i)) for i in range(24)]
+    langs = [None if i == 9 else "x" if i % 3 else "y" for i in range(24)]
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r for r in lm_scoring.score(table, path, class_column=column).collect()}
+    one = spark.createDataFrame([(i, w, None, None, 0) for i, w in enumerate({w for t in texts for w in t.split()})], SCHEMA)
+
+    train = [i for i in range(24) if zlib.crc32(str(i).encode()) % 7 != 2]
+    classes = [{i for i in train if langs[i] == v} for v in {langs[i] for i in train}] if column else [set(train)]
+    classes = [c for c in classes if c] + ([set()] if column else [])
+    counts = [{} for _ in classes]
+    for mine, c in zip(classes, counts, strict=True):
+        for i in mine:
+            for w in texts[i].split():
+                c[w] = c.get(w, 0) + 1
+    total = {w: sum(c.get(w, 0) for c in counts) for c in counts for w in c}
+    n, v, big = sum(total.values()), len(total), lm_scoring.CONCENTRATION
+    lattice = _lattice_of(path, total, len(train), [r.text for r in one.collect()])
+    for i, text in enumerate(texts):
+        whole = 0.0
+        for mine, c in zip(classes, counts, strict=True):
+            n_k, v_k = sum(c.values()), len(c)
+            end = (len(mine) + 1) / (len(mine) + n_k + 2)
+            p = (len(mine) + 1) / (len(train) + len(classes)) * end
+            before = []
+            for w in text.split():
+                shared = (total.get(w, 0) + (v + 1) * lattice[w]) / (n + v + 1)
+                of_class = (c.get(w, 0) + (v_k + 1) * shared) / (n_k + v_k + 1)
+                p *= (1 - end) * (before.count(w) + big * of_class) / (len(before) + big)
+                before.append(w)
+            whole += p
+        assert found[i].score == pytest.approx(math.log10(whole))
+
+
+def _lattice_of(path, total, ends, words):
+    """Probability of each word by a plain forward recursion over the counted pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    strings, place = lm_scoring._vocabulary(path)
+    weights = [0.1] * len(strings)
+    for w, times in total.items():
+        for i in model.encode(w):
+            weights[place[i]] += times
+    chance = {s: x / (sum(weights) + 0.1 + ends) for s, x in zip(strings, weights, strict=True)}
+    out = {}
+    for w in words:
+        raw, reach = b" " + w.encode(), [1.0]
+        for end in range(1, len(raw) + 1):
+            reach.append(sum(reach[a] * chance.get(raw[a:end], 0.0) for a in range(end)))
+        out[w] = reach[-1]
+    return out
+
+
+def test_rising_factorials():
+    a, times = np.array([1e-9, 0.5, 3.0, 700.0, 2.0, 1.0]), np.array([1, 8, 9, 40, 0, 3000])
+    expected = [math.lgamma(x + t) - math.lgamma(x) for x, t in zip(a, times, strict=True)]
+    assert lm_scoring.log_rising(np.log(a), times) == pytest.approx(expected, abs=1e-8)
 
 
 def test_lattice_sums_all_segmentations():
