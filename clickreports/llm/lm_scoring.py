@@ -313,7 +313,7 @@ def score(
     logs = np.log(weights / weights.sum())
     model = Pieces(strings, logs[:-1])
 
-    head, least = _head(counts, len(ks))
+    head, least = _head(counts, len(ks), model)
     known_end = math.log10(ends + 1)
     class_columns = ", ".join(f"s{k} double" for k in ks)
     scored = rows.select("doc_id", "held_out", "text").mapInArrow(
@@ -349,14 +349,30 @@ def score(
     )
 
 
-def _head(counts: DataFrame, classes: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Hashes and counts of all words with ``least`` occurrences or more, ``HEAD_WORDS`` at most; ``least``.
+@dataclass(frozen=True)
+class Head:
+    """Frequent words by hash: counts in all and by class, and the lattice's log probability."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    lattice: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are in the head, and the places of those."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        return found, at[found]
+
 
-    A row of counts has the word's count in all, then those by class.
+def _head(counts: DataFrame, classes: int, model: Pieces) -> tuple[Head, int]:
+    """All words with ``least`` occurrences or more, ``HEAD_WORDS`` at most; ``least``.
 
     The number of words by count is a short list: its rows have distinct counts that add
     up to the number of tokens.
     """
+    columns = ["n", *(f"n{k}" for k in range(classes))]
     by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     total, least = 0, None
     for row in by_count.orderBy(F.col("n").desc()).limit(HEAD_WORDS).collect():
@@ -364,16 +380,29 @@ def _head(counts: DataFrame, classes: int) -> tuple[tuple[np.ndarray, np.ndarray
             break
         total, least = total + row["words"], row["n"]
     if least is None:
-        return (np.zeros(0, np.uint64), np.zeros((0, classes + 1), np.int64)), 1 << 62
-    table = counts.where(F.col("n") >= least).toArrow()
-    word = table.column("word").combine_chunks()
-    raw = [w.as_py().encode() for w in word]
-    spans = np.cumsum([0, *map(len, raw)])
-    hashes = texts.Rolling(np.frombuffer(b"".join(raw), np.uint8)).spans(spans[:-1], spans[1:])
+        return Head(np.zeros(0, np.uint64), np.zeros((0, classes + 1), np.int64), np.zeros(0)), 1 << 62
+    schema = "hash long, " + "".join(f"{c} long, " for c in columns) + "lattice double"
+    table = counts.where(F.col("n") >= least).mapInArrow(_spelt(model, columns), schema).toArrow()
+    column = lambda c: np.asarray(table.column(c).combine_chunks())
+    hashes = column("hash").view(np.uint64)
     order = np.argsort(hashes)
-    columns = ["n", *(f"n{k}" for k in range(classes))]
-    rows = np.stack([np.asarray(table.column(c).combine_chunks()) for c in columns], axis=1)
-    return (hashes[order], rows[order]), least
+    return Head(hashes[order], np.stack([column(c) for c in columns], axis=1)[order], column("lattice")[order]), least
+
+
+def _spelt(model: Pieces, columns: list[str]):
+    """Words as hashes, with their counts and the lattice's log probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [w.encode() for w in batch.column("word").to_pylist()]
+            spans = np.cumsum([0, *map(len, raw)])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            hashes = texts.Rolling(data).spans(spans[:-1], spans[1:])
+            lattice = model.word_logs(data, spans[:-1], spans[1:])
+            found = [pa.array(texts.signed(hashes)), *(batch.column(c) for c in columns), pa.array(lattice)]
+            yield pa.RecordBatch.from_arrays(found, ["hash", *columns, "lattice"])
+
+    return run
 
 
 def _known(mixture: Mixture):
@@ -398,23 +427,22 @@ def _scored(
     model: Pieces,
     mixture: Mixture,
     end_log: float,
-    head: tuple[np.ndarray, np.ndarray],
+    head: Head,
     known_end: float,
     seen_end: bool,
 ):
-    hashes, counts = head
     ks = range(len(mixture.docs))
 
     def one(block: texts.Block):
         words = _Words(block)
         n, distinct = len(block), len(words.hashes)
-        per_word = model.word_logs(words.data, words.starts, words.ends)
-        lattice = np.bincount(words.rows, weights=per_word[words.of], minlength=n) + end_log
+        found, at = head.find(words.hashes)
         seen = np.zeros((distinct, len(ks) + 1), dtype=np.int64)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, words.hashes), len(hashes) - 1)
-            found = hashes[at] == words.hashes
-            seen[found] = counts[at[found]]
+        seen[found] = head.counts[at]
+        per_word = np.empty(distinct)
+        per_word[found] = head.lattice[at]
+        per_word[~found] = model.word_logs(words.data, words.starts[~found], words.ends[~found])
+        lattice = np.bincount(words.rows, weights=per_word[words.of], minlength=n) + end_log
         pairs, times = np.unique(words.rows * max(1, distinct) + words.of, return_counts=True)
         row, word = pairs // max(1, distinct), pairs % max(1, distinct)
         tokens = np.bincount(words.rows, minlength=n)
@@ -444,7 +472,7 @@ def _scored(
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lattice_score"]
         names += [*(f"s{k}" for k in ks), "words"]
         for batch in batches:
-            for block in texts.blocks(batch.column("text"), 4 * texts.BLOCK_BYTES):
+            for block in texts.blocks(batch.column("text")):
                 part = batch.slice(block.lo, len(block))
                 row = pa.array(np.zeros(len(block), np.int64))
                 columns = [row, part.column("doc_id"), part.column("held_out"), *one(block)]
