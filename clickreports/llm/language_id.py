@@ -140,6 +140,14 @@ def _counts(rows: DataFrame, key: Column, languages: int, by: list[str]) -> Data
     return rows.where(key.isNotNull()).groupBy(*by).agg(F.array(*sums).alias("sums"))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row: rows that differ in any have different ones, equal rows the same."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    # A null leaves a hash as it is, so which columns are null is hashed too.
+    nulls = [c.isNull() for c in columns]
+    return F.array(*[F.xxhash64(F.lit(seed), *nulls, *columns) for seed in (1, 2)])
+
+
 def identify(
     docs: DataFrame,
     model: TextModel,
@@ -148,8 +156,9 @@ def identify(
     text_column: str = "text",
     host_column: str | None = None,
 ) -> DataFrame:
-    """Language of every row of ``docs``: ``id``, ``lang``, ``probability``, the evidence, ``accepted``.
+    """Language of every row of ``docs``: ``id``, ``lang``, ``probability``, the evidence, ``accepted``, ``row``.
 
+    ``row`` is a key of the whole row, by which ``accepted_rows`` finds it again.
     ``evidence`` has ``doc_id``, ``declared`` and ``url``; of several rows with an id the smallest
     counts. ``host_column`` names a column of ``docs`` that stands for the host where there is no
     URL with one. A row is rejected if its text is null, empty or without three letters or
@@ -163,12 +172,16 @@ def identify(
     languages = len(model.languages)
     none = F.lit(None).cast("string")
     own_host = F.lower(F.trim(F.col(host_column).cast("string"))) if host_column else none
-    rows = docs.select(F.col(id_column).alias("id"), own_host.alias("own_host"), F.col(text_column).alias("__text"))
+    rows = docs.select(
+        F.col(id_column).alias("id"), own_host.alias("own_host"), _row_key(docs).alias("row"), F.col(text_column).alias("__text")
+    )
     kind = rows.schema["id"].dataType.simpleString()
     if not languages:
         blank = [none.alias(c) for c in ("declared", "suffix", "host")]
-        return rows.select("id", none.alias("lang"), none.cast("double").alias("probability"), *blank, F.lit(False).alias("accepted"))
-    schema = f"id {kind}, own_host string, letters long, scores array<double>"
+        return rows.select(
+            "id", none.alias("lang"), none.cast("double").alias("probability"), *blank, F.lit(False).alias("accepted"), "row"
+        )
+    schema = f"id {kind}, own_host string, row array<long>, letters long, scores array<double>"
     scored = steps.land("texts", rows.mapInArrow(_likelihoods(model), schema))
     if evidence is None:
         scored = scored.select("*", none.alias("said"), none.alias("url"))
@@ -181,6 +194,7 @@ def identify(
     host = F.coalesce(address, F.when(F.col("own_host") != "", F.col("own_host")))
     scored = scored.select(
         "id",
+        "row",
         "letters",
         "scores",
         F.when(said != "", said).alias("declared"),
@@ -230,6 +244,7 @@ def identify(
         "suffix",
         "host",
         ((F.col("letters") > 0) & (F.col("probability") >= THRESHOLD)).alias("accepted"),
+        "row",
     )
 
 
@@ -253,10 +268,11 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def accepted_rows(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id has no rejection in ``found``, the result for ``docs``.
+    """The rows of ``docs`` that are accepted in ``found``, the result for ``docs``.
 
-    Rows that share an id, or have none, stay or go together.
+    Every row goes by its own verdict, also where rows share an id or have none.
     """
-    gone = found.where("NOT accepted").select(F.col("id").alias("__id")).distinct()
+    gone = found.where("NOT accepted").select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
     gone = Steps(docs.sparkSession).land("rejected", gone)
-    return docs.join(gone, docs[id_column].eqNullSafe(gone["__id"]), "left_anti")
+    same = docs[id_column].eqNullSafe(gone["__id"]) & (_row_key(docs) == gone["__row"])
+    return docs.join(gone, same, "left_anti")

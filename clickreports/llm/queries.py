@@ -108,7 +108,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     evidence = language_id.page_evidence(table(spark, sf_dir, "pages"))
     found = language_id.identify(docs, language_id.fit(docs), evidence, host_column="source")
-    return found.withColumnsRenamed({"id": "doc_id", "accepted": "kept"})
+    return found.drop("row").withColumnsRenamed({"id": "doc_id", "accepted": "kept"})
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

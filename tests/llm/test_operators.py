@@ -396,6 +396,21 @@ def test_language(spark, empty):
     assert [r.accepted for r in language_id.identify(odd, language_id.fit(empty)).collect()] == [False] * 3
 
 
+def test_rows_go_by_their_own_verdict(spark):
+    table = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    good = "the people of the house and the time of the year were what they had all been waiting for"
+    rows = [(None, good), (None, ""), (None, None), (None, "12 34"), (7001, good), (7001, ""), (7002, None), (7002, good), (7003, " ")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    asked = table.where("doc_id % 2 = 1").unionByName(odd).unionByName(odd.limit(1))
+    evidence = language_id.page_evidence(queries.table(spark, "/root/testdata/sf0.01", "pages"))
+    found = language_id.identify(asked, language_id.fit(table), evidence, host_column="source")
+    kept = language_id.accepted_rows(asked, found)
+    assert kept.columns == asked.columns
+    left = sorted((r.doc_id or 0, r.text) for r in kept.where("doc_id IS NULL OR doc_id > 7000").collect())
+    assert left == [(0, good), (0, good), (7001, good), (7002, good)]
+    assert kept.count() == found.where("accepted").count()
+
+
 # --- scores ---
 
 
