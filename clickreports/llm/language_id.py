@@ -3,7 +3,7 @@
 For every language the posterior multiplies
 
 * the likelihood of the text's letter trigrams, from a multinomial model fitted on a
-  bounded sample of labelled rows (neighbouring trigrams depend on each other, so a
+  bounded sample of every label's rows (neighbouring trigrams depend on each other, so a
   text counts as ``EVIDENCE`` independent ones at most);
 * how often a declared markup language, and an address suffix, go with the language;
 * the host's prior, smoothed towards that of its domain, and that towards all rows'.
@@ -27,13 +27,21 @@ from clickreports.llm import texts
 from clickreports.llm.steps import Steps
 from clickreports.llm.url_filters import host_of
 
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 20_000  # of each label
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 400
 EVIDENCE = 40.0
 SMOOTHING = 1.0  # of declared languages and suffixes, in rows
 HOST_STRENGTH = 10.0  # rows of a domain's prior that a host's own rows outweigh
 THRESHOLD = 0.5
+DRAWS = 1 << 52  # of the hash that samples
+# A text with a trigram: three bytes in a row of letters and spaces, a letter among them.
+_WIDE = "\\x{80}-\\x{7FF}"  # letters of two bytes
+_NARROW = "A-Za-z \\x09-\\x0D"
+HAS_TRIGRAM = (
+    f"[\\x{{800}}-\\x{{10FFFF}}]|[{_WIDE}][{_NARROW}{_WIDE}]|[{_NARROW}][{_WIDE}]"
+    f"|[A-Za-z][{_NARROW}]{{2}}|[{_NARROW}][A-Za-z][{_NARROW}]|[{_NARROW}]{{2}}[A-Za-z]"
+)
 
 
 @dataclass(frozen=True)
@@ -65,18 +73,25 @@ def _trigrams(block: texts.Block) -> tuple[np.ndarray, np.ndarray]:
     return rows, (texts.mix(grams) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lang") -> TextModel:
-    """The trigram model of the labelled rows, a hash sample of about ``TRAINING_ROWS`` of them.
+def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lang", id_column: str | None = "doc_id") -> TextModel:
+    """The trigram model of the labelled rows, a hash sample of about ``TRAINING_ROWS`` of every label.
 
-    Rows without label or text are left out; at most ``MAX_LANGUAGES`` labels, the most
-    frequent. The driver gets one number per language and bucket.
+    Labels of fewer rows are learned whole; the hash is of id and text, and the row with a
+    label's smallest hash is always taken. Rows without label or trigrams are left out, and
+    so are labels without any other; at most ``MAX_LANGUAGES`` labels, the most frequent. The
+    driver gets one number per language and bucket.
     """
-    rows = labelled.select(F.col(label_column).alias("lang"), F.col(text_column).alias("text"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    keys = [F.col(c) for c in (id_column, text_column) if c in labelled.columns]
+    draw = F.pmod(F.xxhash64(*keys, F.lit("fit")), F.lit(DRAWS))
+    rows = labelled.select(F.col(label_column).alias("lang"), F.col(text_column).alias("text"), draw.alias("draw"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_TRIGRAM))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("draw").alias("least"))
+    sizes = sizes.orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES).collect()
     languages = tuple(sorted(r["lang"] for r in sizes))
-    share = min(1.0, TRAINING_ROWS / max(1, sum(r["count"] for r in sizes)))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    last = {r["lang"]: max(r["least"], int(min(1.0, TRAINING_ROWS / r["rows"]) * DRAWS)) for r in sizes}
+    lasts = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    sample = rows.where(F.col("draw") <= lasts[F.col("lang")]) if last else rows.limit(0)
+    sample = sample.select("lang", "text")
     number = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

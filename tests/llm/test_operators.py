@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from clickreports.llm import (
     packing,
     queries,
     repeats,
+    texts,
     topk,
     url_filters,
 )
@@ -411,6 +413,30 @@ def test_rows_go_by_their_own_verdict(spark):
     assert kept.count() == found.where("accepted").count()
 
 
+def test_rare_labels_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAINING_ROWS", 50)
+    rare = {"da": "bcd", "de": "fgh", "fi": "jkl", "fr": "mnp", "ga": "qrs"}
+    rows = [(i, f"aeio uaei {i % 7 * 'ou'} eiou", "en", "s", 0) for i in range(3000)]
+    rows += [(None, 9 * f"{x} ", lang, "s", 0) for lang, x in rare.items()]
+    rows += [(i, "12 34", lang, "s", 0) for i, lang in enumerate(["xx", "yy", *1000 * ["da"]])]
+    model = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == tuple(sorted({"en", *rare}))
+    learned = np.ptp(model.logs, axis=1)
+    assert (learned > 1).all()
+    asked = spark.createDataFrame([(i, f"{x} {x} {x}", None, "s", 0) for i, x in enumerate(rare.values())], SCHEMA)
+    found = {r.id: r for r in language_id.identify(asked, model).collect()}
+    assert [(found[i].lang, found[i].accepted) for i in range(5)] == [(lang, True) for lang in rare]
+
+
+def test_texts_with_trigrams_are_found(spark):
+    pieces = ["a", "Z", " ", "\t", "1", "-", "é", "漢", "😀", "\x1f", "\x7f"]
+    texts_of = ["".join(x) for n in range(5) for x in itertools.product(pieces, repeat=n)]
+    rows = spark.createDataFrame([(t,) for t in texts_of], "text string")
+    found = {r.text for r in rows.where(F.col("text").rlike(language_id.HAS_TRIGRAM)).collect()}
+    (block,) = texts.blocks(pa.array(texts_of))
+    assert found == {texts_of[i] for i in set(language_id._trigrams(block)[0])}
+
+
 # --- scores ---
 
 
