@@ -2,9 +2,10 @@
 
 A source whose documents should appear ``rate`` times on average gets, for every document,
 a number of copies drawn from a Poisson distribution of that mean: the distribution
-function is tabled per source, inverted at a uniform number that a hash of seed, id and
-text fixes, and the row is exploded by the result. Any machine draws the same counts, and
-no state passes between rows. The copies are then dealt to partitions and sorted within
+function is tabled per source, inverted at a uniform number that a hash of seed and id
+fixes, and the row is exploded by the result. Above a rate of ``WHOLE`` the count is the sum
+of several draws of equal smaller mean, which is Poisson too. Any machine draws the same
+counts, and no state passes between rows. The copies are then dealt to partitions and sorted within
 them by a hash of their own: a global shuffle without a global sort.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from clickreports.llm.steps import Steps, without
 
 UNIFORM_DIGITS = 13  # hexadecimal: 52 bits, exact in a double
+WHOLE = 700.0  # the largest rate drawn at once: from 708, exp(-rate) loses digits, from 746 it is zero
 
 
 def uniform(*parts: Column) -> Column:
@@ -27,7 +29,7 @@ def uniform(*parts: Column) -> Column:
 def poisson_table(rate: Column) -> Column:
     """The distribution function at 0, 1, ... up to where no uniform number lies above.
 
-    Rates up to 600 (beyond, exp underflows towards zero and the table would lose digits).
+    Rates up to ``WHOLE`` (beyond, exp underflows towards zero and the table would lose digits).
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
     first = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("table"))
@@ -67,7 +69,7 @@ def replicate(
 ) -> DataFrame:
     """Every row as often as its source's Poisson draw says, in a random global order.
 
-    ``rates`` has ``source`` and ``rate`` (0 to 600), one row per source; a null source is a
+    ``rates`` has ``source`` and ``rate`` (0 or more), one row per source; a null source is a
     source like any other. Rows of sources without a rate, or with a null one, do not
     appear. Rows that share an id draw alike. The draw needs the id alone: null ids all draw alike.
 
@@ -76,13 +78,22 @@ def replicate(
     """
     steps = Steps(docs.sparkSession)
     rates = rates.select(F.col("source").alias("__source"), F.col("rate").cast("double").alias("__rate"))
-    rates = rates.where("__rate >= 0").withColumn("__table", poisson_table(F.col("__rate")))
+    parts = F.greatest(F.ceil(F.col("__rate") / WHOLE), F.lit(1)).cast("int")
+    rates = rates.where("__rate >= 0").withColumn("__parts", parts)
+    rates = rates.withColumn("__table", poisson_table(F.col("__rate") / F.col("__parts")))
     # Landed, the few sources are known to be few; many are joined like any table.
-    rates = steps.land("rates", rates.select("__source", "__table"))
+    rates = steps.land("rates", rates.select("__source", "__parts", "__table"))
     joined = docs.join(rates, docs[source_column].eqNullSafe(rates["__source"]))
     name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    drawn = uniform(F.lit(seed), name)
-    copies = F.size(F.filter("__table", lambda below: below <= drawn))
+
+    def drawn(part: Column) -> Column:
+        return uniform(F.when(part == 0, F.lit(seed)).otherwise(F.concat(F.lit(f"{seed}/part "), part.cast("string"))), name)
+
+    def inverted(number: Column) -> Column:
+        return F.size(F.filter("__table", lambda below: below <= number))
+
+    draws = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), drawn)
+    copies = F.aggregate(draws, F.lit(0), lambda total, number: total + inverted(number))
     columns = without(docs, "copy", "shuffle_key")
     counted = joined.select(*columns, copies.alias("__copies")).where("__copies > 0")
     copied = counted.select(*columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))

@@ -232,6 +232,15 @@ def test_poisson_counts_have_the_rate_as_mean(spark):
     assert abs(mixing.replicate(many, rates).count() / 20_000 - 1.7) < 0.04
 
 
+@pytest.mark.parametrize("rate", [650.0, 800.0, 6000.0])
+def test_poisson_counts_of_high_rates(spark, rate):
+    many = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    rates = spark.createDataFrame([("s", rate)], "source string, rate double")
+    counts = np.array([r["count"] for r in mixing.replicate(many, rates).groupBy("doc_id").count().collect()])
+    assert len(counts) == 100 and abs(counts.mean() - rate) < 4 * math.sqrt(rate / 100)
+    assert 0.5 < counts.var() / rate < 1.7
+
+
 # --- near duplicates ---
 
 
