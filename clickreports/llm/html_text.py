@@ -8,8 +8,12 @@ token, the log of how much more often it occurs inside the marked region than ou
 Counts are grouped over all labelled pages of the table; kinds are tag names and the
 enclosing element of a word, a few hundred at most, so the model is small at any scale.
 
-Elements that are never content (``DROPPED`` and ``HINTS``) are left out before the scan,
-wherever they stand. Pages the parser cannot close are read as browsers do: an open
+Elements that are never content are left out before the scan: those of ``DROPPED``, of a role
+in ``DROPPED_ROLES`` or with a class or id in ``NEVER``, unless they hold an article or main
+element. Other names that hint at navigation and the like (``HINTS``) leave nothing out:
+words below them are a kind of their own, whose weight is learned like any. Classes and
+ids count as whole names. A role, or a name of ``HINTS``, says nothing on headings, sections
+and inline elements of the marked region. Pages the parser cannot close are read as browsers do: an open
 element ends with its parent, a new block ends a paragraph.
 """
 
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
 DROPPED = frozenset(
-    "head title script style noscript iframe noembed noframes template svg math object embed canvas audio video "
-    "nav footer aside form button select textarea input label fieldset dialog menu".split()
+    "head title script style noscript iframe noembed noframes template svg annotation annotation-xml embed canvas audio video "
+    "nav footer aside form button select textarea input fieldset dialog menu".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -39,14 +43,32 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"br"}
 INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd mark q s samp small span strong sub sup tt u var".split())
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header section".split())
+WRAPPERS = frozenset("form fieldset header".split())  # of DROPPED and the like, those that may stand around the article
+ADS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle ad-banner ad-box ad-container ad-slot "
+    "ad-unit ad-wrapper google-ad sponsored share share-bar share-buttons sharing sharing-buttons social-share".split()
+)
+COMMENTS = frozenset(
+    "comments comments-area comments-list comments-section comment-form comment-list commentlist comment-respond disqus "
+    "disqus-thread".split()
+)
+NEVER = ADS | COMMENTS
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside toc pagination pager "
-    "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus respond reply replies discussion "
-    "share sharing social related recommended recommendations widget toolbar search searchbox contentinfo complementary "
-    "hidden".split()
+    "adv banner sponsor promo promotion promoted "
+    "nav navbar nav-bar main-nav site-nav navigation main-navigation site-navigation menu menubar main-menu breadcrumb "
+    "breadcrumbs header site-header page-header masthead footer site-footer page-footer sidebar side-bar aside toc "
+    "pagination pager notice notices cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr alert popup "
+    "modal overlay newsletter newsletter-signup subscribe subscription signup login "
+    "comment respond reply replies discussion "
+    "social social-links related related-posts related-articles recommended recommendations widget widget-area toolbar "
+    "search searchbox search-box search-form hidden".split()
 )
+DROPPED_ROLES = frozenset("banner navigation menu menubar toolbar search contentinfo complementary alert".split())
 MAIN_ROLES = frozenset(["main", "article"])
 # --- End of fixed values. ---
 
@@ -56,7 +78,6 @@ MAX_KINDS = 2000
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _BARE = re.compile(r"\b(hidden)\b(?!\s*=)", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
 
 
 class Token:
@@ -76,28 +97,49 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _is_dropped(name: str, attributes: dict[str, str], in_main: bool) -> bool:
+KEPT, HINTED, DROPPED_UNLESS_MAIN, DROPPED_UNLESS_ARTICLE, GONE = range(5)
+
+
+def _fate(name: str, attributes: dict[str, str], in_main: bool) -> int:
+    """Whether an element stays, is of a hinted kind, goes unless it holds such an element, or goes."""
     if name in DROPPED or (name == "header" and not in_main):
-        return True
+        return DROPPED_UNLESS_ARTICLE if name in WRAPPERS else GONE
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return KEPT
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return GONE
     style = attributes.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True
-    marks = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).lower()
-    return bool(marks) and not HINTS.isdisjoint(_NAME.findall(marks))
+        return GONE
+    marks = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().replace("_", "-").split()
+    if not COMMENTS.isdisjoint(marks):
+        return DROPPED_UNLESS_MAIN
+    if not ADS.isdisjoint(marks):
+        return DROPPED_UNLESS_ARTICLE
+    if in_main and (name in SECTIONS or name in INLINE):
+        return KEPT
+    if not DROPPED_ROLES.isdisjoint(attributes.get("role", "").lower().split()):
+        return DROPPED_UNLESS_ARTICLE
+    return KEPT if HINTS.isdisjoint(marks) else HINTED
 
 
 def tokens(page: str) -> list[Token]:
     """The page's tags and texts that may be content, in order.
 
     ``inside`` says whether a token lies in the region that the page marks itself. A
-    text's kind names its block element, a tag's kind the tag.
+    text's kind names its block element and whether it is hinted at, a tag's kind the tag.
     """
+    holders: set[int] = set()
+    out = _tokens(page, holders)
+    return _tokens(page, holders) if holders else out
+
+
+def _tokens(page: str, holders: set[int]) -> list[Token]:
+    """The tokens, where elements that start at a place in ``holders`` stay; adds those found to hold an article."""
+    spared = frozenset(holders)
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped from here on, in marked region
+    # Name, dropped from here on, in marked region, of a hinted kind, own fate, start.
+    stack: list[tuple[str, bool, bool, bool, int, int]] = []
     position = 0
     while position < len(page):
         match = _TOKEN.match(page, position)
@@ -108,8 +150,9 @@ def tokens(page: str) -> list[Token]:
         dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if text is not None or cdata is not None:
             if not dropped:
-                block = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "page")
-                out.append(Token("word " + block, inside, cdata if text is None else html.unescape(text)))
+                block = next((s[0] for s in reversed(stack) if s[0] not in INLINE and s[0] not in MATH), "page")
+                kind = "hint " if stack and stack[-1][3] else "word "
+                out.append(Token(kind + block, inside, cdata if text is None else html.unescape(text)))
             continue
         if name is None:
             continue
@@ -122,7 +165,7 @@ def tokens(page: str) -> list[Token]:
                 continue
             was_dropped = stack[open_at][1]
             del stack[open_at:]
-            if not was_dropped:
+            if not was_dropped and name not in MATH:
                 out.append(Token("/" + name, stack[-1][2] if stack else False))
             continue
         if name in CLOSES_P:
@@ -144,8 +187,13 @@ def tokens(page: str) -> list[Token]:
                     break
             dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         attributes = _attributes(rest)
-        gone = dropped or _is_dropped(name, attributes, inside)
-        if not gone:
+        marked = name in ("article", "main") or attributes.get("role") in MAIN_ROLES
+        marked = marked or attributes.get("itemprop") == "articleBody"
+        fate = _fate(name, attributes, inside)
+        if match.start() in spared or (marked and fate == HINTED):
+            fate = KEPT
+        gone = dropped or fate > HINTED
+        if not gone and name not in MATH:
             out.append(Token(name, inside))
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, position)
@@ -153,9 +201,13 @@ def tokens(page: str) -> list[Token]:
             continue
         if name in VOID or rest.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        marked = name in ("article", "main") or attributes.get("role") in MAIN_ROLES
-        marked = marked or attributes.get("itemprop") == "articleBody"
-        stack.append((name, gone, inside or (marked and not gone)))
+        if marked and gone and fate <= HINTED and all(entry[4] != GONE for entry in stack):
+            if name == "main" or attributes.get("role") == "main":
+                holders.update(e[5] for e in stack if e[4] > HINTED)
+            elif all(entry[4] != DROPPED_UNLESS_MAIN for entry in stack):
+                holders.update(e[5] for e in stack if e[4] > HINTED)
+        hinted = fate == HINTED or (not marked and bool(stack) and stack[-1][3])
+        stack.append((name, gone, inside or (marked and not gone), hinted, fate, match.start()))
     return out
 
 
@@ -170,20 +222,25 @@ def counted(page: str) -> Counter:
     return counts
 
 
+def _start(kind: str) -> float:
+    """A kind's weight before anything is learned."""
+    return {"word": 1.0, "hint": -1.0}.get(kind.partition(" ")[0], -2.0) if " " in kind else -2.0
+
+
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Log odds of a kind's tokens lying inside, against all words' odds; smoothed, at most 6 either way.
 
-    Words score positive and tags negative unless the labelled pages clearly say
-    otherwise: a word's weight starts at 1, a tag's at -2.
+    Words score positive, hinted words and tags negative unless the labelled pages clearly
+    say otherwise: a word's weight starts at 1, a hinted one's at -1, a tag's at -2.
     """
     out = {}
     for kind in {k for k, _ in counts}:
         within, without = counts.get((kind, True), 0), counts.get((kind, False), 0)
-        prior = 1.0 if kind.startswith("word ") else -2.0
+        prior = _start(kind)
         learned = math.log((within + 0.5) / (without + 0.5))
         trust = (within + without) / (within + without + 20)
         out[kind] = max(-6.0, min(6.0, (1 - trust) * prior + trust * learned))
-        if not kind.startswith("word "):
+        if not kind.startswith(("word ", "hint ")):
             out[kind] = min(out[kind], -0.1)
     return out
 
@@ -209,7 +266,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if token.text is None:
             scores.append(weights.get(token.kind, -2.0))
         else:
-            scores.append(token.words * weights.get(token.kind, 1.0))
+            scores.append(token.words * weights.get(token.kind, _start(token.kind)))
     start, end = best_run(scores)
     lines, line = [], []
     for token in found[start:end]:

@@ -379,6 +379,52 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0), html_text.learn(pages.limit(0))).count() == 0
 
 
+TEXT = "Many plain words that make up the whole paragraph of the article."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='site-content has-sidebar'><article><p>{TEXT}</p></article></div></body>",
+        f"<body><div class='no-sidebar'><main><p>{TEXT}</p></main></div></body>",
+        f"<body><div class='sidebar'><article><p>{TEXT}</p></article></div></body>",
+        f"<body><div id='comments'><main><p>{TEXT}</p></main></div></body>",
+        f"<body><div class='ads'><form><article><p>{TEXT}</p></article></form></div></body>",
+        f"<body><div role='search'><article><p>{TEXT}</p></article></div></body>",
+        f"<body><div class='menu'>Home News Contact</div><div class='ad'>Buy now</div><article><p>{TEXT}</p></article></body>",
+        f"<body><article><p>{TEXT}</p><div class='comments'><article>Nice.</article></div></article></body>",
+        f"<body><article><p>{TEXT}</p><div class='share-buttons'>Tell friends</div></article></body>",
+        f"<body><article><p>{TEXT}</p></article><div class='sidebar'>Other pages of ours</div></body>",
+    ],
+)
+def test_article_within_hinted_elements(page):
+    assert html_text.main_text(page, {}) == TEXT
+
+
+@pytest.mark.parametrize("name", ["related-work", "search", "menu", "notices", "comments-on-method"])
+def test_sections_named_by_their_heading(name):
+    page = f"<article><p>{TEXT}</p><section id='{name}'><h2 id='{name}'>On this</h2><p>{TEXT}</p></section></article>"
+    assert html_text.main_text(page, {}) == f"{TEXT}\nOn this\n{TEXT}"
+
+
+def test_headers_formulas_and_labels_of_the_article():
+    for name in ("article-header", "entry-header", "header"):
+        page = f"<article><div class='{name}'><h1>The name of a thing</h1></div><p>{TEXT}</p></article>"
+        text = html_text.main_text(page, {"word h1": 2.0, "hint h1": 2.0})
+        assert text == f"The name of a thing\n{TEXT}"
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></math>"
+    page = f"<article><p>{TEXT} {formula} <label>a label</label> <object>an object</object></p><p>{TEXT}</p></article>"
+    assert html_text.main_text(page, {}) == f"{TEXT} x=2 a label an object\n{TEXT}"
+
+
+def test_weights_of_hinted_words_are_learned():
+    labelled = f"<article><p>{TEXT}</p><div class='menu'><p>Soup and bread</p></div></article><div class='sidebar'><b>Old news</b></div>"
+    counts = {k: 40 * n for k, n in html_text.counted(labelled).items()}
+    weights = html_text.weights_of(counts)
+    assert weights["hint p"] > 0 > weights["hint div"]
+    assert html_text.main_text(labelled, weights) == f"{TEXT}\nSoup and bread"
+
+
 def test_best_run():
     for scores in ([1, -2, 3, 4, -1, 2, -9, 5], [-1, -2], [], [2.0], [1, -1, 1]):
         start, end = html_text.best_run(scores)
