@@ -37,6 +37,7 @@ from clickreports.llm.steps import Steps
 
 REGISTERS = 320
 BAND = 8
+LEAST_PERCENT = 80  # below, pairs share no band too often, and sets of under four shingles may be near
 SLOTS = 1 << 20  # of shingle counts, which only order shingles
 SPACING = 1.1
 SHIFT = 14  # registers of the largest hash values, for the smallest sets, are just above 0
@@ -62,7 +63,10 @@ def near_duplicates(
 
     Returns one row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the
     smallest id reachable) and ``kept`` (the id is the component's; true without an id).
+    A ``percent`` below ``LEAST_PERCENT`` is refused.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent is {percent}; bands and least set size hold from {LEAST_PERCENT}")
     steps = Steps(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     sketched = steps.land("sketched", rows.mapInArrow(_sketches(words), _SKETCHED))

@@ -289,6 +289,11 @@ def test_near_duplicates_of_nothing(empty):
     assert near_dups.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_refuse_what_the_bands_would_miss(empty):
+    with pytest.raises(ValueError, match="79"):
+        near_dups.near_duplicates(empty, percent=79)
+
+
 # --- fingerprints ---
 
 
