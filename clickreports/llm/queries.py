@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickreports.llm import (
@@ -13,6 +14,7 @@ from clickreports.llm import (
     html_text,
     language_id,
     lm_scoring,
+    merkle,
     mixing,
     near_dups,
     packing,
@@ -115,6 +117,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), tokenizer_path(SCORING_VOCABULARY))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof under the manifest, and the root its content leads to.
+
+    Where 5 divides the CRC of the decimal id, the content at hand is the text in lower case.
+    """
+    docs = table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    present = F.when(struck, lower_ascii("text")).otherwise(F.col("text"))
+    found = merkle.audit(docs, ["doc_id", "source", "lang", "n_chars", "text"], {"text": present})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def lower_ascii(column: str) -> Column:
+    return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +153,7 @@ def queries() -> dict[str, Query]:
         op8_html_extraction,
         op9_language_id,
         op10_lm_scoring,
+        op12_merkle_manifest,
     )
     return {query.__name__: _shipped(query) for query in found}
 
@@ -254,10 +273,81 @@ FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 """
 
 
+_CRC_STEP = "CASE WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END"
+_CRC_BYTE = f"list_reduce(range(8), lambda crc, bit: {_CRC_STEP}, xor(sofar, ascii(digit)::BIGINT))"
+
+
+def _field_sql(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+_LEAF_SQL = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {text})"
+_OP12_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT *, coalesce('1' || source, '0') AS tree,
+         xor(list_reduce(string_split(CAST(doc_id AS VARCHAR), ''), lambda sofar, digit: {_CRC_BYTE}, 4294967295::BIGINT),
+             4294967295::BIGINT) % 5 = 0 AS struck
+  FROM documents
+), hashed AS (
+  SELECT doc_id, tree, {_LEAF_SQL.format(text=_field_sql("text"))} AS leaf,
+         {_LEAF_SQL.format(text=_field_sql("CASE WHEN struck THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"))} AS claim
+  FROM docs
+), leaves AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf, claim) AS id,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS place
+  FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS width FROM nodes) WHERE width > 1
+  GROUP BY tree, level, place // 16
+), subroots AS (
+  SELECT tree, arg_max(digest, level) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM nodes GROUP BY tree
+), tops AS (
+  SELECT 0 AS level, place, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS width FROM tops) WHERE width > 1
+  GROUP BY level, place // 16
+), forest AS (
+  SELECT tree, level, place, digest, count(*) OVER (PARTITION BY tree, level) AS width FROM nodes
+), tip AS (
+  SELECT level, place, digest, count(*) OVER (PARTITION BY level) AS width FROM tops
+), climbed AS (
+  SELECT id, tree, 0 AS level, place, claim AS digest, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.id, c.tree, c.level + 1, c.place // 16,
+         sha256(string_agg(CASE WHEN n.place = c.place THEN c.digest ELSE n.digest END, '' ORDER BY n.place)),
+         any_value(c.proof) || coalesce(string_agg(CASE WHEN n.place <> c.place THEN n.digest END, '' ORDER BY n.place), '')
+  FROM climbed c JOIN forest n ON n.tree = c.tree AND n.level = c.level AND n.place // 16 = c.place // 16
+  WHERE n.width > 1
+  GROUP BY c.id, c.tree, c.level, c.place // 16
+), below AS (
+  SELECT id, tree, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM climbed GROUP BY id, tree
+), topped AS (
+  SELECT id, 0 AS level, s.place, digest, proof FROM below JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT c.id, c.level + 1, c.place // 16,
+         sha256(string_agg(CASE WHEN n.place = c.place THEN c.digest ELSE n.digest END, '' ORDER BY n.place)),
+         any_value(c.proof) || coalesce(string_agg(CASE WHEN n.place <> c.place THEN n.digest END, '' ORDER BY n.place), '')
+  FROM topped c JOIN tip n ON n.level = c.level AND n.place // 16 = c.place // 16
+  WHERE n.width > 1
+  GROUP BY c.id, c.level, c.place // 16
+), ends AS (
+  SELECT id, arg_max(digest, level) AS folded_root, arg_max(proof, level) AS proof FROM topped GROUP BY id
+), top AS (SELECT arg_max(digest, level) AS root FROM tops)
+SELECT l.doc_id, l.leaf, s.subroot, top.root, sha256(e.proof) AS proof_sha256, e.folded_root, e.folded_root = top.root AS verified
+FROM leaves l JOIN subroots s USING (tree) JOIN ends e USING (id), top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": _OP1_SQL,
         "op3_top_k_search": _OP3_SQL,
         "op4_mixing": _OP4_SQL,
         "op5_near_duplicates": near_duplicates_sql("SELECT doc_id, text FROM documents", 2),
+        "op12_merkle_manifest": _OP12_SQL,
     }

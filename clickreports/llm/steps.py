@@ -30,11 +30,26 @@ class Steps(Store):
         self._spark.sparkContext._jvm.System.gc()
         return landed
 
-    def drop(self, name: str) -> None:
-        """Delete a landed table that no later step reads."""
-        jvm = self._spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete landed tables that no later step reads."""
+        for name in names:
+            path = self._path(name)
+            self._files(path).delete(path, True)
+
+    def result(self, table: DataFrame, name: str = "result") -> DataFrame:
+        """Land the operator's rows and delete every other table of this store."""
+        landed = self.land(name, table)
+        folder = self._path("")
+        for found in self._files(folder).listStatus(folder):
+            if found.getPath().getName() != name:
+                self._files(folder).delete(found.getPath(), True)
+        return landed
+
+    def _path(self, name: str):
+        return self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _files(self, path):
+        return path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def without(table: DataFrame, *names: str) -> list[str]:
