@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickreports.llm import (
+    collision_search,
     fingerprints,
     html_text,
     language_id,
@@ -129,6 +130,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def lower_ascii(column: str) -> Column:
     return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
 
@@ -154,6 +159,7 @@ def queries() -> dict[str, Query]:
         op9_language_id,
         op10_lm_scoring,
         op12_merkle_manifest,
+        op13_collision_search,
     )
     return {query.__name__: _shipped(query) for query in found}
 
