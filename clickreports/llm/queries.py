@@ -19,6 +19,7 @@ from clickreports.llm import (
     mixing,
     near_dups,
     packing,
+    ranked_search,
     repeats,
     topk,
     url_filters,
@@ -118,6 +119,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), tokenizer_path(SCORING_VOCABULARY))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof under the manifest, and the root its content leads to.
 
@@ -158,6 +163,7 @@ def queries() -> dict[str, Query]:
         op8_html_extraction,
         op9_language_id,
         op10_lm_scoring,
+        op11_ranked_search,
         op12_merkle_manifest,
         op13_collision_search,
     )
@@ -279,6 +285,36 @@ FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 """
 
 
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+_OP11_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents
+), sizes AS (
+  SELECT r, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), places AS (
+  SELECT r, doc_id, 50 + (50 * n * docs) // terms AS m FROM sizes, totals
+), tfs AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term
+), asked AS (
+  SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tfs, totals GROUP BY term
+), scored AS (
+  SELECT a.item_id, p.r, p.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * p.m))) AS BIGINT) AS score
+  FROM asked a JOIN weights w USING (term) JOIN tfs t USING (term) JOIN places p ON p.r = t.r
+  GROUP BY a.item_id, p.r, p.doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 _CRC_STEP = "CASE WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END"
 _CRC_BYTE = f"list_reduce(range(8), lambda crc, bit: {_CRC_STEP}, xor(sofar, ascii(digit)::BIGINT))"
 
@@ -355,5 +391,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_top_k_search": _OP3_SQL,
         "op4_mixing": _OP4_SQL,
         "op5_near_duplicates": near_duplicates_sql("SELECT doc_id, text FROM documents", 2),
+        "op11_ranked_search": _OP11_SQL,
         "op12_merkle_manifest": _OP12_SQL,
     }

@@ -63,7 +63,11 @@ def is_space(data: np.ndarray) -> np.ndarray:
 
 def words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word, a run of bytes other than 0x20 and 0x09-0x0D."""
-    inside = ~is_space(block.data)
+    return runs(block, ~is_space(block.data))
+
+
+def runs(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes marked ``inside``, within rows."""
     first = np.zeros(len(inside) + 1, dtype=bool)
     first[block.offsets] = True
     before = np.concatenate(([False], inside[:-1])) & ~first[:-1]
