@@ -240,25 +240,31 @@ def _fold(siblings: bool):
         for digests, states, path in own:
             steps = [] if digests is None else [(-1, digests, states)]
             runs.append(steps + [(s["slot"], s["digests"], s["states"]) for s in path])
-        values = claims.copy()
+        values, owner = claims.copy(), run_of
         depth = np.array([len(x) for x in runs])
         for step in range(int(depth.max())):
-            on = np.flatnonzero(depth[run_of] > step)
+            on = np.flatnonzero(depth[owner] > step)
             used = [x[step] if len(x) > step else (0, b"", b"") for x in runs]
             sizes = np.array([len(x[1]) // 32 for x in used])
             starts = np.cumsum(sizes) - sizes
             digests, states = (np.frombuffer(b"".join(x[k] for x in used), np.uint8).reshape(-1, 32) for k in (1, 2))
-            fixed = np.array([x[0] for x in used])[run_of[on]]
-            slots = np.where(fixed < 0, place[on], fixed)
-            values[on] = _resume(values[on], slots, sizes[run_of[on]], digests, states, starts[run_of[on]])
+            fixed = np.array([x[0] for x in used])[owner[on]]
+            slots = np.where(fixed < 0, place[on], fixed) if step == 0 else fixed
+            values[on] = _resume(values[on], slots, sizes[owner[on]], digests, states, starts[owner[on]])
+            if step == 0:
+                # Leaves of a run that lead to one digest share the way from there.
+                named = np.concatenate((owner.astype(">i8").view(np.uint8).reshape(-1, 8), values), axis=1)
+                _, first, back = np.unique(named.view("V40").ravel(), return_index=True, return_inverse=True)
+                values, owner = values[first], owner[first]
         proofs, listed = _proofs(runs, run_of, place, siblings)
-        pick = lambda name: [batch.column(name).to_pylist()[i].hex() for i in run_of]
-        root, found = pick("root"), [x.tobytes().hex() for x in values]
+        subroots, roots = ([x.hex() for x in batch.column(name).to_pylist()] for name in ("subroot", "root"))
+        ends = [x.tobytes().hex() for x in values]
+        root, found = [roots[i] for i in run_of], [ends[i] for i in (back if depth.max() else range(len(ends)))]
         columns = {
             "key": flat.field("key"),
             "leaf": [x.tobytes().hex() for x in leaves],
             "claim": [x.tobytes().hex() for x in claims],
-            "subroot": pick("subroot"),
+            "subroot": [subroots[i] for i in run_of],
             "root": root,
             "proof_sha256": proofs,
             "folded_root": found,
