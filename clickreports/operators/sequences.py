@@ -38,14 +38,24 @@ def with_slice(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
     return events.withColumn("slice", F.struct(time.alias("time"), F.when(time.isNull(), unknown).alias("part")))
 
 
-def _in_sequence(events: DataFrame) -> DataFrame:
-    """The columns that order and name a user's events."""
-    return events.select("uid", "event_ts", *([EVENT_ID] if EVENT_ID in events.columns else []), "event_name")
+def run_lengths(events: DataFrame) -> DataFrame:
+    """The columns that order and name a user's events, and ``repeats``, the events a row stands for.
+
+    Without ids, a user's events of one time and name follow each other and cannot be told
+    apart: they become one row, counted on the map side, before any window. So however many
+    events a user has at one time (or at unknown times), they are as many rows as names.
+    """
+    if EVENT_ID in events.columns:
+        return events.select("uid", "event_ts", EVENT_ID, "event_name", F.lit(1).cast("long").alias("repeats"))
+    return events.groupBy("uid", "event_ts", "event_name").agg(F.count(F.lit(1)).alias("repeats"))
 
 
 def with_previous(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Add ``previous``, the name of the user's preceding event (NULL for the first)."""
-    events = _in_sequence(events)
+    """``run_lengths`` with ``previous``, the name of the event before the row's first (NULL for the user's first).
+
+    A row's further ``repeats`` follow an event of their own name.
+    """
+    events = run_lengths(events)
     rows = with_slice(events, seconds)
     within = _in_order(events, "uid", "slice")
     rows = rows.withColumn("previous", F.lag("event_name").over(within)).withColumn(
@@ -63,7 +73,7 @@ def with_previous(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
 def collapse_repeats(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
     """Drop events that repeat the user's preceding one."""
     rows = with_previous(events, seconds)
-    return rows.where(_changed("previous")).drop("previous")
+    return rows.where(_changed("previous")).drop("previous", "repeats")
 
 
 def transitions(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -76,14 +86,14 @@ def transitions(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
     return rows.select("uid", F.col("previous").alias("source_event"), F.col("event_name").alias("target_event"))
 
 
-def transition_users(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Distinct users per transition."""
-    return (
-        transitions(events, seconds)
-        .distinct()
-        .groupBy("source_event", "target_event")
-        .agg(F.count(F.lit(1)).alias("user_count"))
-    )
+def user_transitions(events: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Each user's transitions once, whatever their number."""
+    return transitions(events, seconds).distinct()
+
+
+def transition_users(user_transitions: DataFrame) -> DataFrame:
+    """Distinct users per transition; ``user_transitions`` has each user's pairs once."""
+    return user_transitions.groupBy("source_event", "target_event").agg(F.count(F.lit(1)).alias("user_count"))
 
 
 def first_n(rows: DataFrame, n: int, by: Sequence[str] = ("uid",)) -> DataFrame:
@@ -97,7 +107,7 @@ def first_steps(events: DataFrame, n: int, seconds: int = SLICE_SECONDS) -> Data
     ``n + 1`` collapsed rows per slice suffice: joining slices drops at most the first
     row of each, so a slice cut short still supplies all ``n`` steps on its own.
     """
-    rows = with_slice(_in_sequence(events), seconds)
+    rows = with_slice(run_lengths(events), seconds).drop("repeats")
     heads = first_n(_collapse(rows, "uid", "slice"), n + 1, ("uid", "slice"))
     return first_n(_collapse(heads, "uid"), n).drop("slice")
 
@@ -120,7 +130,7 @@ def forward_edges(
 
 
 def transition_links(
-    events: DataFrame,
+    user_transitions: DataFrame,
     min_users: int = config.LIMITS.transition_min_users,
     limit: int = config.LIMITS.transition_links,
     labels: Mapping[str, str] = config.EVENT_LABELS,
@@ -128,10 +138,11 @@ def transition_links(
 ) -> DataFrame:
     """Most common forward transitions between labelled events.
 
+    ``user_transitions`` has each user's pairs of labelled events once (see ``transitions``).
     With ``limit_first`` the limit counts backward transitions too, which then go, so
     that fewer than ``limit`` may come out.
     """
-    counted = transition_users(only_events(events, labels)).where(F.col("user_count") >= min_users)
+    counted = transition_users(user_transitions).where(F.col("user_count") >= min_users)
     order = ["-user_count", "source_event", "target_event"]
     counted = counted.withColumn("source", relabel("source_event", labels))
     counted = counted.withColumn("target", relabel("target_event", labels))

@@ -1,17 +1,19 @@
-"""The report bundle: every section in one nested JSON document.
+"""The report document: every section in one nested JSON text, written in parallel.
 
-Each section becomes one JSON text inside Spark; only those texts, whose size is
-bounded by the reports' own shapes, meet in the single row of the document.
+The document is a table of pieces of text, one per entry and one per opening or closing
+line of a list or object. One range-partitioned sort puts all pieces in order; their
+numbers come from the sort's row ids and a count per part. Nothing, neither a section nor
+the document, is gathered into a row or a task: the written parts follow each other by name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickreports.functions.metrics import iso_date
-from clickreports.operators.ranking import ordering
+from clickreports.operators.cells import by_first_source
 from clickreports.plans.catalog import BY_SOURCE, OVERALL, SOURCE, Report
 from clickreports.plans.marts import Marts
 
@@ -78,26 +80,52 @@ SOURCE_SECTIONS = (
 # End of fixed values.
 SANKEY_PARTS = {"nodes": "sankey_nodes", "links": "sankey_links"}
 SINGLE_ROW = ("meta", "kpi")
+ALL = "all"
 
 _JSON = {"ignoreNullFields": "false", "pretty": "true"}
 _JSON_LINE = {"ignoreNullFields": "false"}
+_KEYS = 4  # most columns that a report is ordered by
+_LAST = 1 << 20  # a place after all others
+
+# What a piece is sorted by: section, part of it, source and section within it, opening, entry or closing.
+_PLACES = ("at", "part", "ranked", "source", "inner", "kind")
 
 
 def bundle(m: Marts) -> DataFrame:
-    """One row with the whole document in column ``json``.
+    """The document's pieces: ``line``, ``scope``, ``section``, ``is_entry``, ``text``.
 
-    The document is one text and is put together in one task, so it is for lists that fit
-    one; ``write_tables`` and ``write_sections`` have no such limit.
+    The texts in the order of ``line``, from 0, one per line or several, are the document. An
+    entry's piece is its JSON text, followed by a comma unless it is its list's last;
+    ``scope`` is ``all`` or a source. The pieces of an empty list are its brackets.
     """
-    overall = _union([_section(m, name, OVERALL[name], ()) for name in OVERALL])
-    per_source = _union([_section(m, name, BY_SOURCE[name], (SOURCE,)) for name in BY_SOURCE])
-    by_source = assemble_by_source(per_source).select(F.lit("by_source").alias("section"), "body")
-    return _document(overall.unionByName(by_source))
+    land = m.store.land
+    pieces = land("document_pieces", _union([_entries(m, name, s) for name, s in _sections()] + [_brackets(m)]))
+    order = [*_PLACES, *(f"{kind}_{k}" for k in range(_KEYS) for kind in ("null", "whole", "real", "name"))]
+    in_order = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    in_order = in_order.select("scope", "section", "inside", "ends", "kind", "text", F.monotonically_increasing_id().alias("row"))
+    in_order = land("document_order", in_order)
+    part = F.shiftright("row", 33)
+    counts = in_order.groupBy(part.cast("int").alias("part")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    # One row per part of the sort, at most as many as there are shuffle partitions.
+    parts, before = [], 0
+    for one in sorted(counts.collect()):
+        parts.append((one["part"], before - one["first"]))
+        before += one["n"]
+    parts = in_order.sparkSession.createDataFrame(parts, "part int, offset long")
+    last = in_order.where("ends").groupBy("inside").agg(F.max("row").alias("last"))
+    numbered = in_order.withColumn("part", part.cast("int")).join(F.broadcast(parts), "part")
+    numbered = numbered.join(land("document_lists", last), "inside", "left")
+    comma = F.when(F.col("ends") & (F.col("row") < F.col("last")), ",").otherwise("")
+    line = F.col("row") + F.col("offset")
+    return numbered.select(
+        line.alias("line"), "scope", "section", (F.col("kind") == 1).alias("is_entry"), F.concat("text", comma).alias("text")
+    )
 
 
 def write_bundle(m: Marts, path: str) -> None:
-    """Write the document as the one text file in folder ``path``."""
-    bundle(m).write.mode("overwrite").text(path)
+    """Write the document as text files in folder ``path``: their contents in the order of their names."""
+    lines = bundle(m).repartitionByRange("line").sortWithinPartitions("line")
+    lines.select("text").write.mode("overwrite").text(path)
 
 
 def write_tables(m: Marts, folder: str) -> None:
@@ -130,64 +158,127 @@ def write_sections(m: Marts, folder: str) -> None:
     section_rows(m).write.mode("overwrite").partitionBy("section").json(folder)
 
 
-def assemble_by_source(sections: DataFrame) -> DataFrame:
-    """Nest section texts as one object per first-touch source, sources sorted.
-
-    A source without rows in a section gets an empty list there.
-    """
-    texts = sections.groupBy(SOURCE).agg(_texts().alias("texts"))
-    known = texts.where(F.element_at("texts", "kpi").isNotNull())
-    bodies = [(name, F.coalesce(F.element_at("texts", name), F.lit("[ ]"))) for name in SOURCE_SECTIONS]
-    objects = known.select(SOURCE, _object(bodies).alias("body"))
-    entries = F.sort_array(F.collect_list(F.struct(SOURCE, "body")))
-    members = F.transform(entries, lambda e: _member(e[SOURCE], e["body"]))
-    return objects.agg(_braced(members).alias("body"))
+def _sections() -> list[tuple[str, bool]]:
+    listed = [part for name in SECTIONS for part in (SANKEY_PARTS.values() if name == "sankey" else (name,))]
+    return [(name, False) for name in listed] + [(name, True) for name in SOURCE_SECTIONS]
 
 
-def _document(sections: DataFrame) -> DataFrame:
-    texts = sections.agg(_texts().alias("texts"))
-    part = lambda name: F.element_at("texts", name)
-    sankey = _object([(key, part(source)) for key, source in SANKEY_PARTS.items()])
-    bodies = [(name, sankey if name == "sankey" else part(name)) for name in SECTIONS]
-    return texts.select(_object([*bodies, ("by_source", part("by_source"))]).alias("json"))
+def _place(name: str) -> tuple[int, int, int]:
+    """Section, part of it, and depth of an overall section's brackets."""
+    for number, part in enumerate(SANKEY_PARTS.values(), start=1):
+        if name == part:
+            return SECTIONS.index("sankey"), number, 2
+    return SECTIONS.index(name), 0, 1
 
 
-def _section(m: Marts, name: str, report: Report, by: tuple[str, ...]) -> DataFrame:
-    """A report as JSON text: ``section``, ``body`` and the ``by`` columns."""
+def _entries(m: Marts, name: str, by_source: bool) -> DataFrame:
+    """The pieces of one section's entries, or of its only row."""
+    report: Report = (BY_SOURCE if by_source else OVERALL)[name]
     rows = report.rows(m)
-    fields = [c for c in report.columns if c not in by]
-    body = F.struct(*[_field(rows, c).alias(c) for c in fields])
-    if name in SINGLE_ROW:
-        return rows.select(F.lit(name).alias("section"), *by, F.to_json(body, _JSON).alias("body"))
-    order = [key for key in report.order if key not in by]
-    window = Window.partitionBy(*by, F.lit(name)).orderBy(*ordering(*order))
-    ranked = rows.select(*by, F.row_number().over(window).alias("rank"), body.alias("row"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "row"))), lambda e: e["row"])
-    grouped = ranked.groupBy(*by).agg(F.to_json(listed, _JSON).alias("body"))
-    return grouped.select(F.lit(name).alias("section"), *by, "body")
+    if by_source and name in ("funnel", "funnel_by_source"):  # by the event's own source
+        rows = rows.join(_known_sources(m), SOURCE, "left_semi")
+    fields = F.struct(*[_field(rows, c).alias(c) for c in report.columns if c != SOURCE])
+    source = F.col(SOURCE) if by_source else F.lit(None).cast("string")
+    at, part, depth = (len(SECTIONS), 0, 3) if by_source else _place(name)
+    single = name in SINGLE_ROW
+    text = F.to_json(fields, _JSON)
+    if single:
+        text = F.concat(F.lit(f'"{name}" : '), text)
+    inside = _inside(name, source, by_source, outer=single)
+    places = [F.lit(at), F.lit(part), F.lit(1 if by_source else 0), source, F.lit(SOURCE_SECTIONS.index(name) if by_source else 0)]
+    keys = [key for key in report.order if key != SOURCE]
+    return rows.select(
+        *[p.alias(c) for p, c in zip((*places, F.lit(1)), _PLACES, strict=True)],
+        *[column for k in range(_KEYS) for column in _key(rows, keys[k] if k < len(keys) else None, k)],
+        (source if by_source else F.lit(ALL)).alias("scope"),
+        F.lit(name).alias("section"),
+        inside.alias("inside"),
+        F.lit(True).alias("ends"),
+        _indented(text, depth if single else depth + 1).alias("text"),
+    )
+
+
+def _key(rows: DataFrame, key: str | None, number: int) -> list[Column]:
+    """One of a report's order columns in a form that all reports share: NULLs first when ascending."""
+    null, whole, real, name = F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if key is not None:
+        falls, column = key.startswith("-"), F.col(key.removeprefix("-"))
+        kind = rows.schema[key.removeprefix("-")].dataType
+        null = (column.isNull() if falls else column.isNotNull()).cast("int")
+        sign = F.lit(-1 if falls else 1)
+        if isinstance(kind, T.StringType):
+            if falls:
+                raise ValueError(f"{key}: texts ascend")
+            name = column
+        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+            real = column.cast("double") * sign
+        else:
+            whole = (F.unix_date(column) if isinstance(kind, T.DateType) else column).cast("long") * sign
+    columns = {"null": null, "whole": whole, "real": real, "name": name}
+    return [column.alias(f"{kind}_{number}") for kind, column in columns.items()]
+
+
+def _brackets(m: Marts) -> DataFrame:
+    """The pieces around the entries; those of every source that has users, also for its empty lists."""
+    rows = [(-1, 0, 0, 0, 0, "", "", False, "{"), (_LAST, 0, 0, 0, 2, "", "", False, "}")]
+    for name in SECTIONS:
+        at = SECTIONS.index(name)
+        if name == "sankey":
+            rows += [(at, 0, 0, 0, 0, name, "", False, '  "sankey" : {'), (at, _LAST, 0, 0, 2, name, "document", True, "  }")]
+        for part in SANKEY_PARTS if name == "sankey" else (name,):
+            section = SANKEY_PARTS.get(part, part)
+            if section not in SINGLE_ROW:
+                place, number, depth = _place(section)
+                outer = "sankey" if name == "sankey" else "document"
+                rows += _list(place, number, 0, 0, section, part, outer, depth)
+    at = len(SECTIONS)
+    rows += [(at, 0, 0, 0, 0, "by_source", "", False, '  "by_source" : {'), (at, 0, 2, 0, 2, "by_source", "document", True, "  }")]
+    fields = "at int, part int, ranked int, inner int, kind int, section string, inside string, ends boolean, text string"
+    spark = m.users.sparkSession
+    overall = spark.createDataFrame(rows, fields).withColumn("scope", F.lit(ALL)).withColumn("source", F.lit(None).cast("string"))
+    rows = [(at, 0, 1, -1, 0, "", "", False, '    "{source}" : {'), (at, 0, 1, _LAST, 2, "", "by_source", True, "    }")]
+    for number, name in enumerate(SOURCE_SECTIONS):
+        if name not in SINGLE_ROW:
+            rows += _list(at, 0, 1, number, name, name, "{source}", 3)
+    names = [field.split()[0] for field in fields.split(", ")]
+    listed = F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row, strict=True)]) for row in rows])
+    per_source = _known_sources(m).select(F.col(SOURCE).alias("source"), F.inline(listed))
+    filled = {c: F.replace(F.col(c), F.lit("{source}"), F.col("source")) for c in ("inside", "text")}
+    per_source = per_source.withColumns({**filled, "scope": F.col("source")})
+    both = overall.unionByName(per_source)
+    unused = [column for k in range(_KEYS) for column in _key(both, None, k)]
+    return both.select(*_PLACES, *unused, "scope", "section", "inside", "ends", "text")
+
+
+def _known_sources(m: Marts) -> DataFrame:
+    """Sources that touched somebody first; only these stand under ``by_source``."""
+    return by_first_source(m.users).select(SOURCE).distinct()
+
+
+def _list(at: int, part: int, ranked: int, inner: int, section: str, name: str, outer: str, depth: int) -> list[tuple]:
+    margin = "  " * depth
+    return [
+        (at, part, ranked, inner, 0, section, "", False, f'{margin}"{name}" : ['),
+        (at, part, ranked, inner, 2, section, outer, True, f"{margin}]"),
+    ]
+
+
+def _inside(name: str, source: Column, by_source: bool, outer: bool) -> Column:
+    """The list or object that a piece is a member of."""
+    if by_source:
+        return source if outer else F.concat(source, F.lit(f"/{name}"))
+    return F.lit("document" if outer else f"document/{name}")
+
+
+def _indented(text: Column, depth: int) -> Column:
+    margin = "  " * depth
+    return F.concat(F.lit(margin), F.regexp_replace(text, "\n", f"\n{margin}"))
 
 
 def _field(rows: DataFrame, name: str) -> Column:
     return iso_date(name) if isinstance(rows.schema[name].dataType, T.DateType) else F.col(name)
 
 
-def _texts() -> Column:
-    return F.map_from_entries(F.collect_list(F.struct("section", "body")))
-
-
-def _object(members: list[tuple[str, Column]]) -> Column:
-    return _braced(F.array(*[_member(F.lit(name), body) for name, body in members]))
-
-
-def _member(name: Column, body: Column) -> Column:
-    """``"name" : body``, with the body's own lines indented one step further."""
-    return F.concat(F.lit('  "'), name, F.lit('" : '), F.regexp_replace(body, "\n", "\n  "))
-
-
-def _braced(members: Column) -> Column:
-    return F.concat(F.lit("{\n"), F.array_join(members, ",\n"), F.lit("\n}"))
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     """Union in pairs: every step analyses its whole plan, so a chain would be quadratic."""
     while len(parts) > 1:

@@ -13,9 +13,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickreports.config import EVENT_LABELS
 from clickreports.functions import metrics as M
 from clickreports.functions.categories import page_path
 from clickreports.operators.cells import attribute, user_cells
+from clickreports.operators.sequences import only_events, user_transitions
 from clickreports.operators.users import user_profile
 from clickreports.sources.store import Store
 
@@ -46,6 +48,11 @@ class Marts:
         self.events = events
         self._store = store
 
+    @cached_property
+    def store(self) -> Store:
+        """The store of the pre-aggregates, or one of its own for what must be landed."""
+        return self._store or Store(self.events.sparkSession)
+
     @cached_property
     def users(self) -> DataFrame:
         """One row per user."""
@@ -114,10 +121,15 @@ class Marts:
         )
         return self._land("purchases", attribute(rows, self.users))
 
+    @cached_property
+    def user_transitions(self) -> DataFrame:
+        """User and pair of successive different events, of the events that have a label."""
+        return self._land("user_transitions", user_transitions(only_events(self.events, EVENT_LABELS)))
+
     def close(self) -> None:
         """Delete the landed pre-aggregates; nothing built on them can be read after."""
-        if self._store is not None:
-            self._store.close()
+        if self._store is not None or "store" in self.__dict__:
+            self.store.close()
 
     def _attributed(self, name: str, by, *measures) -> DataFrame:
         return self._land(name, attribute(user_cells(self.events, by, *measures), self.users))

@@ -111,7 +111,7 @@ def sankey_links(
     limit: int = config.LIMITS.transition_links,
     limit_first: bool = False,
 ) -> DataFrame:
-    return transition_links(m.events, min_users, limit, limit_first=limit_first)
+    return transition_links(m.user_transitions, min_users, limit, limit_first=limit_first)
 
 
 def sankey_nodes(

@@ -80,7 +80,7 @@ def test_ordered_operators_read_five_columns_at_most(spark, raw, tmp_path):
     for src in (table, table.drop(EVENT_ID)):
         view = load_events(spark, src, "2024-01-01")
         for frame in (
-            sequences.transition_links(view),
+            sequences.transition_links(sequences.user_transitions(view)),
             sequences.common_journeys(view),
             users.first_touch(view),
             users.purchase_sequence(view),

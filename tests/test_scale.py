@@ -37,7 +37,7 @@ def test_no_report_multiplies_rows_or_runs_python(m, name, by_source):
     assert not re.search(r"Window \[[^\n]*\], \[\], \[", plan)
 
 
-@pytest.mark.parametrize("name", sorted(OVERALL.keys() - {"sankey_links", "sankey_nodes", "journeys"}))
+@pytest.mark.parametrize("name", sorted(OVERALL.keys() - {"journeys"}))
 def test_reports_read_pre_aggregates_only(m, name):
     assert "raw_events" not in plan_of(report(m, name)), name
 
@@ -53,11 +53,18 @@ def test_top_values_per_source_are_cut_before_the_shuffle(m):
     assert "TakeOrderedAndProject" in plan_of(report(m, "browser_cvr"))
 
 
-def test_transitions_scan_and_shuffle_the_events_once(spark, m):
-    links = report(m, "sankey_links")
-    links.collect()
-    final = plan_of(links).split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final
+def test_links_and_nodes_share_one_scan_of_the_events(m):
+    from clickreports.operators.sequences import only_events, user_transitions
+    from clickreports.config import EVENT_LABELS
+
+    m.user_transitions  # noqa: B018
+    for name, limits in (("sankey_links", {}), ("sankey_nodes", {}), ("sankey_links", {"min_users": 5})):
+        plan = plan_of(report(m, name, **limits))
+        assert "raw_events" not in plan and "user_transitions" in plan
+    # The landed table itself: one scan and one shuffle of the events, used twice.
+    pairs = user_transitions(only_events(m.events, EVENT_LABELS))
+    pairs.collect()
+    assert "ReusedExchange" in plan_of(pairs).split("== Initial Plan ==")[0]
 
 
 def test_a_hot_user_is_split_when_cells_meet_users(spark, raw, tmp_path):
@@ -160,6 +167,43 @@ def test_section_rows_gather_nothing(m):
         assert "SinglePartition" not in plan and "collect_list" not in plan
 
 
+def test_the_document_is_put_together_in_many_tasks(m):
+    from clickreports.plans.bundle import bundle
+
+    lines = bundle(m)
+    plan = plan_of(lines)
+    assert "SinglePartition" not in plan and "collect_list" not in plan and "Window" not in plan
+    numbers = [r.line for r in lines.select("line").collect()]
+    assert sorted(numbers) == list(range(len(numbers)))
+
+
+def test_without_ids_a_hot_moment_is_a_row_per_name(spark):
+    """A third of the events are one user's, at unknown time and of one name, and none has an id."""
+    from pyspark.sql import functions as F
+
+    from clickreports.operators import sequences
+
+    number = F.col("id")
+    rows = spark.range(0, 60_000, 1, 12).select(
+        F.when(number % 3 == 0, "U0").otherwise(F.concat(F.lit("U"), number)).alias("uid"),
+        F.when(number % 3 != 0, F.timestamp_seconds(F.lit(1_704_067_200) + number)).cast("timestamp_ntz").alias("event_ts"),
+        F.lit("login").alias("event_name"),
+    )
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # The window's shuffle deals by user and slice, or by user: count the rows that meet.
+        for key in (["uid", "slice"], ["uid"]):
+            met = sequences.with_slice(sequences.run_lengths(rows)).repartition(*key)
+            counts = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(counts) <= 2 * sum(counts) / 16
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sequences.collapse_repeats(rows).where("uid = 'U0'").count() == 1
+
+
 @pytest.mark.parametrize("known_times", [True, False])
 def test_a_hot_user_in_one_hour_is_cut_in_slices(spark, events, known_times):
     """One user with a third of the events, all in an hour or all at unknown times."""

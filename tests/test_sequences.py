@@ -55,7 +55,7 @@ def test_slices_do_not_change_results(events, random_rows, seconds):
     kept = S.collapse_repeats(view, seconds).collect()
     assert Counter(r.uid for r in kept) == {uid: len(names) for uid, names in expected.items()}
 
-    pairs = {(r.source_event, r.target_event): r.user_count for r in S.transition_users(view, seconds).collect()}
+    pairs = {(r.source_event, r.target_event): r.user_count for r in S.transition_users(S.user_transitions(view, seconds)).collect()}
     seen = Counter(pair for names in expected.values() for pair in set(zip(names, names[1:])))
     assert pairs == seen
 
@@ -71,7 +71,7 @@ def test_unlisted_events_do_not_break_neighbours(events):
 
 def test_links_lead_forward_only_and_the_limit_counts_them(events):
     rows = walk("U1", "page_view", "login", "page_view") + walk("U2", "login", "page_view")
-    view = events(rows)
+    view = S.user_transitions(events(rows))
     links = [tuple(r) for r in S.transition_links(view, min_users=1).collect()]
     assert links == [("Page View", "Login", 1)]
     assert S.transition_links(view, min_users=1, limit=1).count() == 1
@@ -81,7 +81,7 @@ def test_links_lead_forward_only_and_the_limit_counts_them(events):
 
 
 def test_nodes_by_depth(events):
-    links = S.transition_links(events(walk("U1", "first_visit", "login", "purchase")), min_users=1)
+    links = S.transition_links(S.user_transitions(events(walk("U1", "first_visit", "login", "purchase"))), min_users=1)
     nodes = S.link_nodes(links).orderBy("depth").collect()
     assert [r.name for r in nodes] == ["First Visit", "Login", "Purchase"]
 
@@ -110,3 +110,20 @@ def test_journeys_keep_the_most_common_with_ties_by_path(events):
     rows += walk("U8", "signup") + walk("U9", "signup")
     found = S.common_journeys(events(rows), limit=3).orderBy(F.desc("users"), "raw_path").collect()
     assert [r.path for r in found] == [["Signup"], ["Login"], ["Purchase"]]
+
+
+@pytest.mark.parametrize("seconds", [600, 10**9])
+def test_without_ids_ties_count_once(events, random_rows, seconds):
+    """Events of one time and name follow each other, whatever their number."""
+    view = events([{**row, "id": None} for row in random_rows]).drop("event_id")
+    in_order = sorted(random_rows, key=lambda r: (r["ts"] is not None, r["ts"] or "", r["name"]))
+    expected = {}
+    for row in in_order:
+        names = expected.setdefault(row["uid"], [])
+        if not names or names[-1] != row["name"]:
+            names.append(row["name"])
+    paths = {r.uid: r.path for r in S.user_paths(S.first_steps(view, 10, seconds)).collect()}
+    assert paths == {uid: names[:10] for uid, names in expected.items()}
+    kept = S.collapse_repeats(view, seconds).collect()
+    assert Counter(r.uid for r in kept) == {uid: len(names) for uid, names in expected.items()}
+    assert S.with_previous(view, seconds).agg(F.sum("repeats")).first()[0] == len(random_rows)

@@ -47,7 +47,7 @@ typed AS (
          first_item_name, device_category, os, browser_final, geo_region, page_location, user_pseudo_id,
          traffic_source_name, traffic_source_medium, geo_country, page_referrer, event_id
   FROM raw_table
-  WHERE starts_with(user_id_final, 'U') AND p_event_date >= DATE '{DATE_FROM}'
+  WHERE starts_with(user_id_final, 'U')
 ),
 ga AS MATERIALIZED (SELECT *, {_GROUP} AS source_group FROM typed),
 touch AS (
@@ -331,6 +331,7 @@ _OVERALL_ONLY = {
 
 _BLOCKS = {
     "base_view": "SELECT * FROM ga",
+    "base_view_since": f"SELECT * FROM ga WHERE event_date >= DATE '{DATE_FROM}'",
     "registered_view": """SELECT uid, event_date, event_name, count(*) AS events, max(source_group) AS last_group
         FROM ga GROUP BY uid, event_date, event_name""",
     "source_group_of": "SELECT source, source_group, count(*) AS events FROM ga GROUP BY ALL",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from clickreports.functions import categories as C
 from clickreports.functions import metrics as M
 from clickreports.operators import sequences, users
 from clickreports.plans import dimensions, overview, segments
-from clickreports.plans.bundle import bundle, section_entries
+from clickreports.plans.bundle import ALL, SANKEY_PARTS, SINGLE_ROW, bundle
 from clickreports.plans.catalog import BY_SOURCE, OVERALL, Report, report
 from clickreports.plans.marts import Marts
 from clickreports.sources.events import load_events, register
@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 VIEW_SQL = """SELECT uid, event_date, event_name, count(*) AS events, max(source_group) AS last_group
 FROM ga_events GROUP BY uid, event_date, event_name"""
 
-_OPEN: dict[tuple[str, str], Marts] = {}
+_OPEN: dict[tuple[str, str], tuple[Marts, DataFrame]] = {}
 
 
 def marts(spark: SparkSession, sf_dir: str) -> Marts:
@@ -35,15 +35,23 @@ def marts(spark: SparkSession, sf_dir: str) -> Marts:
     The derived event table is written once per session and folder; the
     pre-aggregates follow as queries first ask for them.
     """
+    return _opened(spark, sf_dir)[0]
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[Marts, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
         store = Store(spark)
         raw = store.land("raw_events", raw_events(spark, sf_dir))
-        events = register(load_events(spark, raw, DATE_FROM))
-        _OPEN[key] = Marts(events, store)
+        _OPEN[key] = Marts(register(load_events(spark, raw)), store), raw
     return _OPEN[key]
 
 
+def _base_view_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base view from a date on."""
+    return load_events(spark, _opened(spark, sf_dir)[1], DATE_FROM)
+
+
 def _over_marts(build: Callable[[Marts], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(marts(spark, sf_dir))
 
@@ -96,20 +104,15 @@ def _purchase_delays(m: Marts) -> DataFrame:
 
 
 def _bundle_items(m: Marts) -> DataFrame:
-    """Number of entries of every list in the document, read back from its text."""
-    entries = "map<string,string>"
-    sections = bundle(m).select(F.explode(F.from_json("json", entries)).alias("section", "text"))
-    nested = sections.where("section IN ('sankey', 'by_source')").select(
-        "section", F.explode(F.from_json("text", entries)).alias("name", "part")
-    )
-    sankey = nested.where("section = 'sankey'").selectExpr("section AS scope", "name AS section", "part")
-    per_source = nested.where("section = 'by_source'").select(
-        F.col("name").alias("scope"), F.explode(F.from_json("part", entries)).alias("section", "part")
-    )
-    overall = sections.select(F.lit("all").alias("scope"), "section", F.col("text").alias("part"))
-    lists = overall.unionByName(sankey).unionByName(per_source)
-    return lists.select("scope", "section", F.json_array_length("part").cast("bigint").alias("items")).where(
-        F.col("items").isNotNull()
+    """Number of entries of every list in the document, counted on its lines."""
+    lists = bundle(m).where(~F.col("section").isin("", "sankey", "by_source", *SINGLE_ROW))
+    counted = lists.groupBy("scope", "section").agg(F.count_if("is_entry").alias("items"))
+    parts = F.create_map(*[F.lit(x) for name, part in SANKEY_PARTS.items() for x in (part, name)])
+    nested = F.col("section").isin(*SANKEY_PARTS.values())
+    return counted.select(
+        F.when(nested, "sankey").otherwise(F.col("scope")).alias("scope"),
+        F.when(nested, parts[F.col("section")]).otherwise(F.col("section")).alias("section"),
+        "items",
     )
 
 
@@ -118,24 +121,23 @@ def _report_rows(m: Marts) -> DataFrame:
 
     Decimals are written in hundredths, so that engines need not agree on their digits.
     """
-    parts = []
-    for reports, by_source in ((OVERALL, False), (BY_SOURCE, True)):
+    columns = []
+    for reports, scope in ((OVERALL, ALL), (BY_SOURCE, "source")):
         for name, one in reports.items():
-            rows = section_entries(m, name, by_source)
-            columns = [c for c in one.columns if c != "source_group"]
-            kinds = ", ".join(f"`{c}` " + ("array<string>" if c == "path" and name == "journeys" else "string") for c in columns)
-            entry = rows.select("scope", "section", F.from_json("entry", kinds).alias("e"))
-            texts = [_as_text(F.col("e")[c], c, c == "path" and name == "journeys") for c in columns]
-            parts.append(entry.select("scope", "section", F.concat_ws("|", *texts).alias("entry")))
-    return reduce(DataFrame.unionByName, parts)
+            columns += [F.lit(f"{scope}/{name}"), F.array(*[F.lit(c) for c in one.columns if c != "source_group"])]
+    text = F.regexp_replace(F.regexp_replace("text", '^\\s*"(meta|kpi)" : ', ""), ",$", "")
+    entries = bundle(m).where("is_entry").select("scope", "section", F.from_json(text, "map<string,string>").alias("e"))
+    scope = F.when(F.col("scope") == ALL, ALL).otherwise("source")
+    entries = entries.withColumn("columns", F.create_map(*columns)[F.concat_ws("/", scope, "section")])
 
+    def as_text(name):
+        value = F.col("e")[name]
+        hundredths = F.round(value.cast("double") * 100).cast("bigint").cast("string")
+        path = F.array_join(F.from_json(value, "array<string>"), PATH_SEPARATOR)
+        listed = (F.col("section") == "journeys") & (name == "path")
+        return F.coalesce(F.when(name.isin(*DECIMALS), hundredths).when(listed, path).otherwise(value), F.lit("null"))
 
-def _as_text(value, name: str, is_path: bool):
-    if is_path:
-        return F.array_join(value, PATH_SEPARATOR)
-    if name in DECIMALS:
-        value = F.round(value.cast("double") * 100).cast("bigint").cast("string")
-    return F.coalesce(value, F.lit("null"))
+    return entries.select("scope", "section", F.array_join(F.transform("columns", as_text), "|").alias("entry"))
 
 
 def _labelled(column: str, label: str, value) -> Callable[[Marts], DataFrame]:
@@ -189,11 +191,12 @@ def queries() -> dict[str, Query]:
         "page_path_of": _labelled("page_location", "page_path", C.page_path),
         "referrer_domain_of": _labelled("page_referrer", "domain", C.domain_of),
         "collapsed_events": lambda m: sequences.collapse_repeats(_listed(m)),
-        "event_transitions": lambda m: sequences.transition_users(_listed(m)),
+        "event_transitions": lambda m: sequences.transition_users(m.user_transitions),
         "first_steps": lambda m: sequences.first_steps(_listed(m), 10),
         "user_paths": _user_paths,
         "report_bundle": bundle,
         "report_bundle_items": _bundle_items,
         "report_rows": _report_rows,
     }
-    return {name: _over_marts(build) for name, build in {**reports, **blocks}.items()}
+    over_marts = {name: _over_marts(build) for name, build in {**reports, **blocks}.items()}
+    return {**over_marts, "base_view_since": _base_view_since}
