@@ -1,6 +1,6 @@
 """Nearest neighbours by collision counting over sorted projections.
 
-Vectors are dealt into shards of ``SHARD_VALUES`` components. A shard's index holds, for
+Vectors are dealt into shards of bounded size (``tiles``). A shard's index holds, for
 each of ``PROJECTIONS`` random directions, the shard's vectors sorted by their projection.
 A query opens a window centred at its own projection in every array and counts, per
 vector, the windows that hold it. Windows widen by steps of ``WIDEN`` (virtual rehashing:
@@ -14,8 +14,8 @@ probability of at least 1 - ``MISS``, the threshold being that quantile of the b
 distribution. There is no cap on candidates.
 
 The index covers every row and is landed; it needs no fitting. Queries come in blocks of
-``BLOCK_VALUES`` components, each of which is broadcast to the shards in turn. Lists of a
-query are merged as a tree, ``FAN`` shards at a time.
+bounded size, each of which is broadcast to the shards in turn, and the shards' lists of a
+query are merged as a tree.
 """
 
 from __future__ import annotations
@@ -26,20 +26,19 @@ from math import comb, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickreports.llm import tiles
 from clickreports.llm.steps import Steps
+from clickreports.llm.tiles import numbers
 
 PROJECTIONS = 64
 REACH = 1.2
 MISS = 0.05
 WIDEN = 1.4
 OPENING = 0.4  # the first windows' half-width, in spreads of the shard's projections
-SHARD_VALUES = 1 << 18
-BLOCK_VALUES = 1 << 20  # 8 MB a broadcast
 QUERIES = 256  # that widen together within a task
-FAN = 16
 LARGE = 1e100  # vectors with a component beyond it are verified without counting
 
 _INDEX = "shard int, dims int, ids binary, rows binary, points binary, places binary, projections binary"
@@ -60,52 +59,9 @@ def nearest(
     double precision, nearest first, ties to the smaller id. Fewer candidates than ``k`` all
     come out; an empty table has no rows.
     """
-    steps = Steps(vectors.sparkSession)
-    doubles = F.col(vector_column).cast("array<double>")
-    limit = F.lit(float("inf"))
-    whole = F.forall(doubles, lambda x: F.coalesce(F.abs(x) < limit, F.lit(False))) & F.exists(doubles, lambda x: x != 0)
-    points = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & whole)
-    points = points.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_column).cast("long").alias("id"),
-        doubles.alias("point"),
-        F.size(vector_column).alias("dims"),
-        F.coalesce(asked, F.lit(False)).alias("asked"),
-    )
-    points = steps.land("points", points)
-    sizes = points.agg(F.coalesce(F.sum("dims"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asked"), F.col("dims"))), F.lit(0)))
-    values, query_values = sizes.first()
-    shards, blocks = (max(1, -(-n // each)) for n, each in ((values, SHARD_VALUES), (query_values, BLOCK_VALUES)))
-    index = steps.land("index", _gathered(points, "shard", shards).mapInArrow(_indexed, _INDEX))
-    queries = _gathered(points.where("asked"), "block", blocks)
-    queries = steps.land("queries", queries.select("block", "dims", F.struct("ids", "rows", "points").alias("q")))
-    lists = []
-    for block in range(blocks):
-        # BLOCK_VALUES bounds the rows of a block.
-        held = F.broadcast(queries.where(F.col("block") == block).drop("block"))
-        lists.append(steps.land(f"lists_{block}", index.join(held, "dims").mapInArrow(_searched(k), _LIST)))
-    found = lists[0]
-    for more in lists[1:]:
-        found = found.unionByName(more)
-    order = ("score", "vec_id", "row")
-    width = shards
-    while width > FAN:
-        width = -(-width // FAN)
-        found = found.withColumn("shard", (F.col("shard") / FAN).cast("int"))
-        best = Window.partitionBy("query_row", "shard").orderBy(*order)
-        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-    best = Window.partitionBy("query_row").orderBy(*order)
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return steps.result(found.select("query_id", "rank", "vec_id", "score"))
-
-
-def _gathered(points: DataFrame, key: str, parts: int) -> DataFrame:
-    """Rows dealt by a hash of their number into ``parts``, each a row of lists per length."""
-    dealt = points.withColumn(key, F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    rows = dealt.groupBy(key, "dims").agg(F.collect_list(F.struct("id", "row", "point")).alias("all"))
-    return rows.select(
-        key, "dims", F.col("all.id").alias("ids"), F.col("all.row").alias("rows"), F.flatten("all.point").alias("points")
-    )
+    found = tiles.points(vectors, asked, id_column, vector_column, zeros=False)
+    order = (F.col("score").asc(), F.col("vec_id").asc(), F.col("row").asc())
+    return tiles.best_lists(Steps(vectors.sparkSession), found, order, (_indexed, _INDEX), (_searched(k), _LIST), k)
 
 
 @lru_cache(maxsize=4)
@@ -118,20 +74,16 @@ def _projected(points: np.ndarray) -> np.ndarray:
     return (np.where(np.abs(points) > LARGE, 0.0, points) @ _directions(points.shape[1])).T
 
 
-def _numbers(cell: pa.Scalar, kind) -> np.ndarray:
-    return np.asarray(cell.values).astype(kind)
-
-
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             dims = batch.column("dims")[i].as_py()
-            points = _numbers(batch.column("points")[i], np.float64).reshape(-1, dims)
+            points = numbers(batch.column("points")[i], np.float64).reshape(-1, dims)
             projections = _projected(points)
             places = np.argsort(projections, axis=1, kind="stable")
             cells = [
-                _numbers(batch.column("ids")[i], np.int64),
-                _numbers(batch.column("rows")[i], np.int64),
+                numbers(batch.column("ids")[i], np.int64),
+                numbers(batch.column("rows")[i], np.int64),
                 points,
                 places.astype(np.int32),
                 np.take_along_axis(projections, places, axis=1),
@@ -241,8 +193,8 @@ def _searched(k: int):
         projections = cell("projections", np.float64).reshape(PROJECTIONS, len(ids))
         shard = Shard(ids, cell("rows", np.int64), cell("points", np.float64).reshape(-1, dims), places, projections)
         q = batch.column("q")[i]
-        query_ids, query_rows = _numbers(q["ids"], np.int64), _numbers(q["rows"], np.int64)
-        queries = _numbers(q["points"], np.float64).reshape(-1, dims)
+        query_ids, query_rows = numbers(q["ids"], np.int64), numbers(q["rows"], np.int64)
+        queries = numbers(q["points"], np.float64).reshape(-1, dims)
         centres = _projected(queries).T
         lists = []
         for lo in range(0, len(queries), QUERIES):

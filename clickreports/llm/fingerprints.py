@@ -6,7 +6,7 @@ in or taken out by adding or subtracting its vector. The vector has two parts:
 
 * ``EXACT`` lanes modulo 2^64, uniform numbers from the paragraph's digest. Equal multisets
   have equal lanes, and different ones differ but for a chance of about 2^-256.
-* ``COUNTED`` lanes modulo 2^16, into which each pair of neighbouring words of the
+* ``COUNTED`` lanes modulo 2^32, into which each pair of neighbouring words of the
   paragraph adds or subtracts one, lane and sign by a hash (a single word counts as a
   pair with nothing). The sum over lanes of squares estimates a sum of squared
   counts, and that of two fingerprints' difference how far the multisets are apart.
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +69,12 @@ class Sums:
 
 def encoded(exact: np.ndarray, counted: np.ndarray) -> str:
     """A fingerprint as text: both parts in hexadecimal, lanes little-endian."""
-    return exact.astype("<u8").tobytes().hex() + (counted % (1 << 16)).astype("<u2").tobytes().hex()
+    return exact.astype("<u8").tobytes().hex() + (counted % (1 << 32)).astype("<u4").tobytes().hex()
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<i2").astype(np.int64)
+    return np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<i4").astype(np.int64)
 
 
 def fingerprint(text: str | None) -> str:
@@ -89,76 +91,92 @@ def plus(one: str, other: str, sign: int = 1) -> str:
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
     """Of the counted lanes of two fingerprints, 0 to 1; two empty texts are alike."""
-    both = float((one * one).sum() + (other * other).sum())
-    apart = float(((one - other) ** 2).sum())
+    one, other = one.astype(float), other.astype(float)
+    both, apart = float(one @ one + other @ other), float(((one - other) ** 2).sum())
     return 1.0 if both == 0 else min(1.0, max(0.0, 1.0 - apart / both))
 
 
-def _wrapped(counted: np.ndarray) -> np.ndarray:
-    """Lanes as they are stored: modulo 2^16, read as signed."""
-    return ((counted + (1 << 15)) % (1 << 16)) - (1 << 15)
-
-
 def edited_text(text: str, following: str) -> str:
     """``text`` with its last third (rounded down) replaced by as much of ``following``'s beginning."""
     third = len(text) // 3
     return text[: len(text) - third] + following[:third]
 
 
-def _part_of(doc_id: Column, borders: list, kind: str) -> Column:
-    """How many of the falling borders are at least the id; null ids come after all.
+def _parts_of(doc_id: Column, spread: Column, borders: list, kind: str, unnamed: int) -> Column:
+    """The part of a row: parts follow each other by falling id, null ids last.
 
-    Found in two steps, over every ``stride``-th border and then between two of those.
+    ``borders`` fall; an id that is several borders holds about as many shares of the rows,
+    and these are dealt by ``spread``, from 0 to 1, over as many parts in its order.
+    ``unnamed`` parts take the null ids.
     """
-    if not borders:
-        return F.lit(0)
-    stride = max(1, math.isqrt(len(borders)))
-    listed = F.array(*[F.lit(b) for b in borders]).cast(f"array<{kind}>")
-    coarse = F.array(*[F.lit(b) for b in borders[stride - 1 :: stride]]).cast(f"array<{kind}>")
-    passed = F.size(F.filter(coarse, lambda border: border >= doc_id)) * stride
-    between = F.size(F.filter(F.slice(listed, passed + 1, F.lit(stride)), lambda border: border >= doc_id))
-    return F.when(doc_id.isNull(), F.lit(len(borders))).otherwise(passed + between)
+    distinct = sorted(set(borders), reverse=True)
+    times = Counter(borders)
+    # Part k holds the ids from border k - 1 downwards; before them come the shares of that border itself.
+    shares = [0] + [times[border] if times[border] > 1 else 0 for border in distinct]
+    starts = [0, *accumulate(1 + n for n in shares)]
+    listed = lambda values, of="int": F.array(*[F.lit(v) for v in values]).cast(f"array<{of}>")
+    if distinct:
+        # Found in two steps, over every ``stride``-th border and then between two of those.
+        stride = max(1, math.isqrt(len(distinct)))
+        passed = F.size(F.filter(listed(distinct[stride - 1 :: stride], kind), lambda border: border >= doc_id)) * stride
+        between = F.slice(listed(distinct, kind), passed + 1, F.lit(stride))
+        k = passed + F.size(F.filter(between, lambda border: border >= doc_id))
+        mine = F.get(listed(shares), k)
+        own = F.get(listed(distinct, kind), k - 1) == doc_id
+        share = F.least(F.floor(spread * mine).cast("int"), mine - 1)
+        part = F.get(listed(starts), k) + F.when(own & (mine > 0), share).otherwise(mine)
+    else:
+        part = F.lit(0)
+    last = F.least(F.floor(spread * unnamed).cast("int"), F.lit(unnamed - 1))
+    return F.when(doc_id.isNull(), F.lit(starts[-1]) + last).otherwise(part).cast("int")
 
 
 def compare_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprint every text, its edited form and its neighbour.
 
     The neighbour is the next row by falling id; after the last comes the first. Rows
-    that share an id follow by rising text; null ids come last. Null texts are empty, and
-    a single row is its own neighbour. Paragraphs are the non-empty lines.
+    that share an id follow by a hash of their text, and so do null ids, which come last.
+    Null texts are empty, and a single row is its own neighbour. Paragraphs are the non-empty lines.
 
-    Texts move once: partitions are ranges of the id, and each also gets the row that
-    follows its last one, so that neighbours meet without joining texts to texts.
-    Returns ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
-    ``edited_fingerprint``, ``near_edited``, ``near_next``.
+    Texts move once: partitions are ranges of the id, and of the text's hash where one id
+    fills several, and each also gets the row that follows its last one, so that neighbours
+    meet without joining texts to texts. Returns ``doc_id``, ``n_chars``, ``edited_sha256``,
+    ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
     """
     spark = docs.sparkSession
     steps = Steps(spark)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     # As many parts as the cluster's partitions ask for, whatever the table's size.
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)]
-    borders = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("at")).first()["at"] or []
-    part = _part_of(F.col("doc_id"), sorted(set(borders), reverse=True), kind)
+    found = rows.agg(
+        F.percentile_approx("doc_id", shares, 20 * parts).alias("at"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")
+    ).first()
+    unnamed = max(1, math.ceil(parts * (found["n"] - found["named"]) / max(1, found["n"])))
+    spread = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+    part = _parts_of(F.col("doc_id"), spread, found["at"] or [], kind, unnamed)
     placed = rows.withColumn("part", part)
     # The first row of every part goes to the part before it as well, as its closing row.
-    tops = placed.groupBy("part").agg(F.max("doc_id").alias("doc_id"))
-    tops = steps.land("tops", tops.select(F.col("part").alias("top_part"), F.col("doc_id").alias("top")))
+    tops = placed.groupBy("part").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("hash"))).alias("top"))
+    tops = steps.land("tops", tops.select(F.col("part").alias("top_part"), "top"))
     # One row per part.
-    same = (F.col("part") == F.col("top_part")) & F.col("doc_id").eqNullSafe(F.col("top"))
+    first = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("hash") == F.bitwise_not("top.hash"))
+    same = (F.col("part") == F.col("top_part")) & first
     heads = placed.join(F.broadcast(tops), same).groupBy("part").agg(F.min("text").alias("text"))
     heads = steps.land("heads", heads)
     present = sorted(r["part"] for r in heads.select("part").collect())
     before = {p: present[i - 1] for i, p in enumerate(present)}
     moved = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map()
     closing = heads.select(
-        F.element_at(moved, F.col("part")).alias("part"), F.lit(1).alias("last"), F.lit(None).cast(kind).alias("doc_id"), "text"
+        F.element_at(moved, F.col("part")).alias("part"), F.lit(1).alias("last"), F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("hash"), "text"
     )
-    all_rows = placed.select("part", F.lit(0).alias("last"), "doc_id", "text").unionByName(closing)
+    all_rows = placed.select("part", F.lit(0).alias("last"), "doc_id", "hash", "text").unionByName(closing)
     dealt = all_rows.repartition("part").sortWithinPartitions(
-        "part", "last", F.col("doc_id").desc_nulls_last(), F.col("text").asc()
+        "part", "last", F.col("doc_id").desc_nulls_last(), "hash", "text"
     )
+    dealt = dealt.drop("hash")
     schema = (
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
@@ -189,15 +207,14 @@ def _finished(held: list[tuple]) -> pa.RecordBatch:
     sums = Sums(pa.array(own, pa.large_string()))
     others = Sums(pa.array(edited, pa.large_string()))
     at = [i for i in range(len(held) - 1) if not held[i][0]]
-    lanes = [_wrapped(c) for c in sums.counted]
     columns = [
         pa.concat_arrays([held[i][1] for i in at]) if at else held[0][1].slice(0, 0),
         pa.array([len(own[i]) for i in at], pa.int64()),
         pa.array([hashlib.sha256(edited[i].encode()).hexdigest() for i in at], pa.string()),
         pa.array([encoded(sums.exact[i], sums.counted[i]) for i in at], pa.string()),
         pa.array([encoded(others.exact[i], others.counted[i]) for i in at], pa.string()),
-        pa.array([likeness(lanes[i], _wrapped(others.counted[i])) for i in at], pa.float64()),
-        pa.array([likeness(lanes[i], lanes[i + 1]) for i in at], pa.float64()),
+        pa.array([likeness(sums.counted[i], others.counted[i]) for i in at], pa.float64()),
+        pa.array([likeness(sums.counted[i], sums.counted[i + 1]) for i in at], pa.float64()),
     ]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return pa.RecordBatch.from_arrays(columns, names)

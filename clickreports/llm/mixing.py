@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickreports.llm.steps import Steps, without
+from clickreports.llm.steps import ROW, Steps, numbered, without
 
 UNIFORM_DIGITS = 13  # hexadecimal: 52 bits, exact in a double
 WHOLE = 700.0  # the largest rate drawn at once: from 708, exp(-rate) loses digits, from 746 it is zero
@@ -71,7 +71,9 @@ def replicate(
 
     ``rates`` has ``source`` and ``rate`` (0 or more), one row per source; a null source is a
     source like any other. Rows of sources without a rate, or with a null one, do not
-    appear. Rows that share an id draw alike. The draw needs the id alone: null ids all draw alike.
+    appear. Unique ids alone fix the draws. Where rows share an id or have none, all rows are
+    landed and numbered once (``steps.numbered``) and every row's draw is by id and number,
+    so that each of them draws on its own.
 
     Returns the columns of ``docs``, ``copy`` (from 0) and ``shuffle_key``, ascending within
     each partition; input columns of these two names are replaced.
@@ -83,8 +85,11 @@ def replicate(
     rates = rates.withColumn("__table", poisson_table(F.col("__rate") / F.col("__parts")))
     # Landed, the few sources are known to be few; many are joined like any table.
     rates = steps.land("rates", rates.select("__source", "__parts", "__table"))
-    joined = docs.join(rates, docs[source_column].eqNullSafe(rates["__source"]))
+    rows, named = numbered(docs, id_column, id_column, steps)
+    joined = rows.join(rates, rows[source_column].eqNullSafe(rates["__source"]))
     name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    if not named:
+        name = F.concat_ws("/", name, F.lit("row"), F.col(ROW).cast("string"))
 
     def drawn(part: Column) -> Column:
         return uniform(F.when(part == 0, F.lit(seed)).otherwise(F.concat(F.lit(f"{seed}/part "), part.cast("string"))), name)
@@ -95,10 +100,8 @@ def replicate(
     draws = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), drawn)
     copies = F.aggregate(draws, F.lit(0), lambda total, number: total + inverted(number))
     columns = without(docs, "copy", "shuffle_key")
-    counted = joined.select(*columns, copies.alias("__copies")).where("__copies > 0")
-    copied = counted.select(*columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string")))
-    # Copies of one key, from rows that share an id, spread too.
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
-    dealt = copied.withColumn("shuffle_key", key).withColumn("__salt", salt).repartition("shuffle_key", "__salt")
-    return dealt.sortWithinPartitions("shuffle_key").drop("__salt")
+    counted = joined.select(*columns, name.alias("__name"), copies.alias("__copies")).where("__copies > 0")
+    copied = counted.select(*columns, "__name", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.lit("order"), "__name", F.col("copy").cast("string")))
+    dealt = copied.select(*columns, "copy", key.alias("shuffle_key")).repartition("shuffle_key")
+    return dealt.sortWithinPartitions("shuffle_key")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickreports.llm import texts
-from clickreports.llm.steps import Steps
+from clickreports.llm.steps import ROW, Steps, numbered
 
 REGISTERS = 320
 BAND = 8
@@ -42,8 +42,9 @@ SLOTS = 1 << 20  # of shingle counts, which only order shingles
 SPACING = 1.1
 SHIFT = 14  # registers of the largest hash values, for the smallest sets, are just above 0
 MARGIN = 14.0  # in log likelihood
+MOST_ROUNDS = 200  # rounds grow with the logarithm of a component; beyond, the job fails
 
-_SKETCHED = "doc_id long, n long, set_a long, set_b long, sketch binary"
+_SKETCHED = "id long, n long, set_a long, set_b long, sketch binary"
 
 
 def near_duplicates(
@@ -58,21 +59,54 @@ def near_duplicates(
     A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D; a set
     holds the distinct shingles of ``words`` words, or, of a shorter text, the whole
     sequence as one. Null, empty and blank texts have empty sets, linked with nothing.
-    Whole-number ids only; rows that share an id count as linked; rows without an id take
-    no part in links and have no component.
+    Every row is a document of its own, also rows that share an id or have none; their
+    ids are whole numbers.
 
     Returns one row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the
-    smallest id reachable) and ``kept`` (the id is the component's; true without an id).
+    smallest id reachable, null if no document of the component has one) and ``kept``
+    (the id is the component's, or the row is the one that ``one_of_each`` keeps).
     A ``percent`` below ``LEAST_PERCENT`` is refused.
     """
+    steps = Steps(docs.sparkSession)
+    rows, named = numbered(docs, id_column, text_column, steps, nulls_last=True)
+    found = _components(steps, rows, text_column, words, percent)
+    if named:
+        component = F.col("component").alias("component_id")
+        found = found.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), component)
+        return steps.result(found.withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    ids = rows.select(F.col(ROW).alias("row"), F.col(id_column).cast("long").alias("doc_id"))
+    # Rows ascend with the id: a component's smallest row has its smallest id.
+    found = found.join(ids, "row").join(ids.select(F.col("row").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (same | (F.col("row") == F.col("component"))).alias("kept"))
+    return steps.result(found)
+
+
+def one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of smallest id.
+
+    Of rows that share that id the one of smallest text hash stays; rows without an id
+    come after all others. Texts without words are linked with nothing and stay.
+    """
+    steps = Steps(docs.sparkSession)
+    rows, _ = numbered(docs, id_column, text_column, steps, nulls_last=True)
+    found = _components(steps, rows, text_column, words, percent)
+    gone = steps.land("gone", found.where("row != component").select(F.col("row").alias(ROW)))
+    steps.drop("sketched", "grouped")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+
+
+def _components(steps: Steps, docs: DataFrame, text_column: str, words: int, percent: int) -> DataFrame:
+    """``row``, ``n`` and ``component`` (the smallest row reachable) of every row of ``docs``."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}; bands and least set size hold from {LEAST_PERCENT}")
-    steps = Steps(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(ROW).alias("id"), F.col(text_column).alias("text"))
     sketched = steps.land("sketched", rows.mapInArrow(_sketches(words), _SKETCHED))
-    members = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    classes = members.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    # Equal sets are one class, named by its smallest row.
+    classes = sketched.where("n > 0").groupBy("set_a", "set_b").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = steps.land("classes", classes)
     buckets = steps.land("buckets", _buckets(classes))
@@ -80,14 +114,8 @@ def near_duplicates(
     led = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("leader"), F.count(F.lit(1)).alias("size"))
     led = led.where("size > 1").select("bucket", "leader.id", "leader.n")
     pairs = _pairs(buckets, led, F.col("a.id") != F.col("b.id"), percent)
-    links = _verified(steps, "first", pairs, classes, rows, words, percent)
-    # Rows of one id are one vertex below; their classes meet in it.
-    same_id = members.select("set_a", "set_b", "doc_id").distinct()
-    joined = same_id.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
-    own = joined.where("doc_id != id").join(
-        joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "doc_id", "left_semi"
-    )
-    links = steps.land("links", links.unionByName(own.select(F.col("doc_id").alias("x"), F.col("id").alias("y"))))
+    links = steps.land("links", _verified(steps, "first", pairs, classes, rows, words, percent))
+    steps.drop("first_pairs", "first_likely", "first_needed", "first_sets")
     labels = connected(steps, "first", links)
 
     labelled = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -97,7 +125,9 @@ def near_duplicates(
     split = labelled.join(mixed.withColumnRenamed("component", "main"), "bucket")
     split = split.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("outer"))
     split = steps.land("split", split)
+    steps.drop("buckets")
     rest = _sharing_prefix(steps, split, rows, words, percent)
+    steps.drop("split_sets", "prefixes", "prefix_pairs")
     # Components are linked from here on; their inner links are done.
     more = rest.join(split.select(F.col("id").alias("x"), F.col("component").alias("p")), "x")
     more = more.join(split.select(F.col("id").alias("y"), F.col("component").alias("q")), "y")
@@ -108,26 +138,10 @@ def near_duplicates(
     grouped = grouped.withColumn("component", F.coalesce("component", "id")).join(upper, "component", "left")
     grouped = grouped.select("set_a", "set_b", F.coalesce("top", "component").alias("component"))
     grouped = steps.land("grouped", grouped)
+    steps.drop("classes", "split", "links", "prefix_links")
     found = sketched.drop("sketch").join(grouped, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def keep_one_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps; of rows that share an id, one.
-
-    A row without an id is kept.
-    """
-    found = Steps(docs.sparkSession).land("components", found)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_column)).distinct()
-    kept = docs.join(gone, id_column, "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    if repeated.isEmpty():
-        return kept
-    named = kept.where(F.col(id_column).isNotNull()).groupBy(id_column)
-    one = named.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return one.unionByName(kept.where(F.col(id_column).isNull()))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return found.select(F.col("id").alias("row"), "n", component.alias("component"))
 
 
 def shingle_hashes(block: texts.Block, words: int) -> list[np.ndarray]:
@@ -180,8 +194,8 @@ def _sketches(words: int):
                     second.append(int(texts.mix(hashes, 12).sum(dtype=np.uint64).astype(np.int64)))
                     sketches.append(sketch(hashes) if len(hashes) else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
-            columns = [batch.column("doc_id"), *columns, pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_a", "set_b", "sketch"])
+            columns = [batch.column("id"), *columns, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "set_a", "set_b", "sketch"])
 
     return run
 
@@ -210,10 +224,9 @@ def _verified(steps: Steps, name: str, pairs: DataFrame, classes: DataFrame, row
     estimated = estimated.join(sketch.select(F.col("id").alias("y"), F.col("of").alias("q")), "y")
     estimated = estimated.select("x", "y", "p.n", "p.sketch", F.col("q.n").alias("m"), F.col("q.sketch").alias("other"))
     likely = steps.land(f"{name}_likely", estimated.mapInArrow(_plausible(percent / 100), "x long, y long"))
-    needed = likely.select(F.col("x").alias("doc_id")).union(likely.select("y")).distinct()
+    needed = likely.select(F.col("x").alias("id")).union(likely.select("y")).distinct()
     needed = steps.land(f"{name}_needed", needed)
-    sets = rows.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, n long, shingles binary")
-    # Of rows that share an id the class is the row whose set is met first; they are linked anyway.
+    sets = rows.join(needed, "id", "left_semi").mapInArrow(_sets(words), "id long, n long, shingles binary")
     sets = steps.land(f"{name}_sets", sets)
     return _compared(likely, sets, percent)
 
@@ -225,8 +238,7 @@ def _sharing_prefix(steps: Steps, split: DataFrame, rows: DataFrame, words: int,
     has a common shingle among its first (1 - J) n + 1, and where they meet first tells how
     many they can have in common at most; most pairs fall here, before they are rows.
     """
-    ids = split.select(F.col("id").alias("doc_id"))
-    sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, n long, shingles binary")
+    sets = rows.join(split.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, n long, shingles binary")
     sets = steps.land("split_sets", sets)
     counts = sets.select("shingles").mapInArrow(_shingle_counts, "slot int, times long")
     counts = counts.groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # SLOTS rows at most
@@ -327,7 +339,7 @@ def _sets(words: int):
             for block in texts.blocks(batch.column("text")):
                 hashes = shingle_hashes(block, words)
                 columns = [
-                    batch.column("doc_id").slice(block.lo, len(block)),
+                    batch.column("id").slice(block.lo, len(block)),
                     pa.array([len(h) for h in hashes], pa.int64()),
                     pa.array([h.tobytes() for h in hashes], pa.binary()),
                 ]
@@ -364,7 +376,7 @@ def connected(steps: Steps, name: str, links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct()
     edges = steps.land(f"{name}_edges", edges)
     seen = None
-    for turn in range(200):
+    for turn in range(MOST_ROUNDS):
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -375,9 +387,12 @@ def connected(steps: Steps, name: str, links: DataFrame) -> DataFrame:
         small = small.unionByName(hooked.select("u", F.col("m").alias("v"))).distinct()
         edges = steps.land(f"{name}_edges{turn}", small)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        steps.drop(f"{name}_edges{turn - 1}" if turn else f"{name}_edges")
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
     # Now every vertex hangs on its component's smallest.
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -11,6 +11,7 @@ grouping costs is at most a few underfull sequences in every ``GROUP_ROWS`` piec
 
 from __future__ import annotations
 
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -25,31 +26,27 @@ from clickreports.llm.steps import Steps, without
 
 GROUP_ROWS = 20_000
 CAPACITY = 2048
-PAIRED = 12  # items of a bin that are offered in pairs
-GAINS = 64  # gains tried for a bin, from its room downwards
 
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
-    """The encoder of a byte-level BPE tokenizer file: text to ids, special strings as text.
+    """The encoder of a byte-level BPE tokenizer file: text to the ids its library gives.
 
-    The file's vocabulary is loaded as merge ranks, which give the same ids several times
+    Texts that hold one of the file's added tokens, such as the end of a text, are encoded
+    by the library. For all others the file's vocabulary is loaded as merge ranks, which give the same ids several times
     faster where every merge makes the token with the next higher id; else the file's own
     library encodes.
     """
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], [t["content"] for t in whole.get("added_tokens") or []]
     vocabulary, merges = model["vocab"], model["merges"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
     made = [vocabulary["".join(pair)] for pair in pairs]
     single = [t for t in vocabulary if len(t) == 1]
     ranked = all(a < b for a, b in zip(made, made[1:], strict=False)) and len(single) == 256
     if not ranked:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        return exact
 
     import public_tokenizers
     import tiktoken
@@ -61,7 +58,7 @@ def byte_bpe(path: str):
     tokens = set(single).union("".join(pair) for pair in pairs)
     ranks = {bytes(byte_of[c] for c in token): vocabulary[token] for token in tokens}
     encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary
+    return lambda text: exact(text) if any(token in text for token in added) else encoding.encode_ordinary(text)
 
 
 def token_pieces(
@@ -174,65 +171,103 @@ def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def _search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Fill bins from emptier ones until no exchange helps; bins that run empty go.
 
-    A pass goes through the underfull bins, the fullest first, and lets each change up to
-    two of its items for one or two of a bin with at least as much room, or take an item
-    for none. What the fuller bin gains the emptier one loses, so the sum of squared
-    fills rises with every step and the search ends.
+    A pass takes the underfull bins, the fullest first, and lets each change up to two of
+    its items for one or two of a bin with at least as much room, or take items for none;
+    all gains and all pairs are looked at, the largest gain first. What the fuller bin gains the
+    emptier one loses, so the sum of squared fills rises with every step, and the search
+    ends when a pass finds nothing.
     """
     sizes = lengths.tolist()
     room = [capacity - sum(sizes[i] for i in b) for b in bins]
     loose = [b for b in range(len(bins)) if room[b]]
-    while True:
-        state = _Offers(bins, room, sizes, loose)
-        steps = sum(state.fill(b) for b in sorted(loose, key=room.__getitem__))
+    # Fewer free tokens than a bin holds: no bin can run empty any more.
+    while sum(room[b] for b in loose) >= capacity and _pass(bins, room, sizes, loose):
         loose = [b for b in loose if bins[b] and room[b]]
-        if not steps or sum(room[b] for b in loose) < capacity:
-            return [b for b in bins if b]
+    return [b for b in bins if b]
+
+
+def _pass(bins: list[list[int]], room: list[int], sizes: list[int], loose: list[int]) -> int:
+    """Let every underfull bin gain what it can; the number of exchanges."""
+    offers, steps = _Offers(bins, sizes), 0
+    waiting = [(room[b], b) for b in loose]
+    for _, b in waiting:
+        offers.link(b)
+    heapq.heapify(waiting)
+    while waiting:
+        known, b = heapq.heappop(waiting)
+        if known != room[b] or b not in offers.linked:
+            continue  # its room has grown since, and it waits again
+        # All bins still linked have at least as much room.
+        offers.unlink(b)
+        while room[b] and bins[b]:
+            best = offers.best(b, room[b])
+            if best is None:
+                break
+            gain, given, taken = best
+            other = max(taken.values(), key=room.__getitem__)
+            items = next(items for items, owner in taken.items() if owner == other)
+            offers.unlink(other)
+            bins[b] = [i for i in bins[b] if i not in given] + list(items)
+            bins[other] = [i for i in bins[other] if i not in items] + list(given)
+            room[b] -= gain
+            room[other] += gain
+            steps += 1
+            if bins[other]:
+                offers.link(other)
+                heapq.heappush(waiting, (room[other], other))
+    return steps
 
 
 class _Offers:
-    """Single items and pairs of the underfull bins by size, as they were when the pass began."""
-
-    def __init__(self, bins: list[list[int]], room: list[int], sizes: list[int], loose: list[int]):
-        self.bins, self.room, self.sizes = bins, room, sizes
-        self.by_size: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-        # Bins with most room come last in a list, and are asked first.
-        for b in sorted(loose, key=room.__getitem__):
-            for items in self._sets(b):
-                self.by_size.setdefault(sum(sizes[i] for i in items), []).append((b, items))
-
-    def _sets(self, b: int) -> list[tuple[int, ...]]:
-        items = self.bins[b]
-        pairs = [(x, y) for k, x in enumerate(items[:PAIRED]) for y in items[:k]]
-        return [(x,) for x in items] + pairs
-
-    def fill(self, b: int) -> int:
-        """Exchanges made in favour of bin ``b``."""
-        steps = 0
-        while self.bins[b] and self.room[b] and self._step(b):
-            steps += 1
-        return steps
-
-    def _step(self, b: int) -> bool:
-        room, sizes = self.room[b], self.sizes
-        given = [(0, ())] + [(sum(sizes[i] for i in items), items) for items in self._sets(b)]
-        for gain in range(room, max(0, room - GAINS), -1):
-            for size, items in given:
-                offers = self.by_size.get(size + gain)
-                while offers:
-                    other, taken = offers[-1]
-                    held = self.bins[other]
-                    if not all(i in held for i in taken):
-                        offers.pop()  # gone since the pass began
-                        continue
-                    if other == b or self.room[other] < room or (len(items) == 2 and len(taken) == 2):
-                        break
-                    self._exchange(b, items, other, taken, gain)
-                    return True
-        return False
-
-    def _exchange(self, b: int, items: tuple[int, ...], other: int, taken: tuple[int, ...], gain: int) -> None:
-        self.bins[b] = [i for i in self.bins[b] if i not in items] + list(taken)
-        self.bins[other] = [i for i in self.bins[other] if i not in taken] + list(items)
-        self.room[b] -= gain
-        self.room[other] += gain
+    """Single items and pairs of the linked bins by size: ``by_size[n][size]`` maps items to their bin.
+
+    ``masks[n]`` has a bit for every size at which sets of ``n`` items are offered, so that the
+    largest gain within a bin's room is found without trying sizes one by one.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: list[int]):
+        self._bins, self._sizes = bins, sizes
+        self.linked: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        self.by_size: dict[int, dict[int, dict[tuple[int, ...], int]]] = {1: {}, 2: {}}
+        self.masks = {1: 0, 2: 0}
+
+    def _sets(self, b: int) -> list[tuple[int, tuple[int, ...]]]:
+        """One set of items for every size and number that the bin has, one or two items each."""
+        items, sizes = self._bins[b], self._sizes
+        found: dict[tuple[int, int], tuple[int, ...]] = {(1, sizes[x]): (x,) for x in items}
+        # Items of one size are interchangeable: two of each size make all pairs.
+        kinds: dict[int, list[int]] = {}
+        for x in items:
+            kinds.setdefault(sizes[x], []).append(x)
+        listed = sorted(kinds.items())
+        for k, (size, members) in enumerate(listed):
+            if len(members) > 1:
+                found.setdefault((2, 2 * size), (members[0], members[1]))
+            for less, others in listed[:k]:
+                found.setdefault((2, size + less), (members[0], others[0]))
+        return [(size, items) for (_, size), items in found.items()]
+
+    def link(self, b: int) -> None:
+        self.linked[b] = self._sets(b)
+        for size, items in self.linked[b]:
+            n = len(items)
+            self.by_size[n].setdefault(size, {})[items] = b
+            self.masks[n] |= 1 << size
+
+    def unlink(self, b: int) -> None:
+        for size, items in self.linked.pop(b):
+            n = len(items)
+            at = self.by_size[n][size]
+            del at[items]
+            if not at:
+                self.masks[n] ^= 1 << size
+
+    def best(self, b: int, room: int) -> tuple[int, tuple[int, ...], dict[tuple[int, ...], int]] | None:
+        """The largest gain: gain, items given for it, and the offers that make it. Two are not changed for two."""
+        best = None
+        for size, items in [(0, ()), *self._sets(b)]:
+            for n in (1, 2) if len(items) < 2 else (1,):
+                gain = ((self.masks[n] >> (size + 1)) & ((1 << room) - 1)).bit_length()
+                if gain and (best is None or gain > best[0]):
+                    best = gain, items, self.by_size[n][size + gain]
+        return best

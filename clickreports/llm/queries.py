@@ -80,7 +80,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +207,15 @@ FROM hosts h LEFT JOIN decided d ON h.url = d.url AND h.fetched = d.fetched
 
 _OP3_SQL = """
 WITH points AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS codes
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS codes
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, p.vec_id,
+  SELECT q.r AS query, q.vec_id AS query_id, p.r, p.vec_id,
          CAST(list_sum(list_transform(list_zip(q.codes, p.codes), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM points q JOIN points p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0
+  FROM points q JOIN points p ON q.r <> p.r AND len(q.codes) = len(p.codes) WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
@@ -224,7 +224,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def mixing_sql(docs: str, columns: str) -> str:
     """The Poisson replication of a table or statement, all its ``columns`` and the copies."""
     return f"""
-WITH RECURSIVE docs AS ({docs}), sizes AS (
+WITH RECURSIVE docs AS (SELECT *, row_number() OVER () AS r FROM ({docs})), sizes AS (
   SELECT source, sum(greatest(coalesce(n_chars, 0), 0)::DOUBLE) AS size FROM docs GROUP BY source
 ), total AS (
   SELECT sum(size) AS size, sum(CASE WHEN size > 0 THEN sqrt(size) ELSE 0 END) AS weight FROM sizes
@@ -232,22 +232,31 @@ WITH RECURSIVE docs AS ({docs}), sizes AS (
   SELECT s.source,
          CASE WHEN s.size > 0 THEN sqrt(s.size) / t.weight * t.size * 1.0::DOUBLE / s.size ELSE 1.0 END AS rate
   FROM sizes s, total t
+), parted AS (
+  SELECT source, rate, CAST(greatest(ceil(rate / {mixing.WHOLE}), 1) AS INTEGER) AS parts FROM rates
+), each AS (
+  SELECT source, parts, rate / parts AS rate FROM parted
 ), tabled AS (
-  SELECT source, rate, 0 AS n, exp(-rate) AS p, exp(-rate) AS below FROM rates
+  SELECT source, parts, rate, 0 AS n, exp(-rate) AS p, exp(-rate) AS below FROM each
   UNION ALL
-  SELECT source, rate, n + 1, p * rate / (n + 1), below + p * rate / (n + 1) FROM tabled
+  SELECT source, parts, rate, n + 1, p * rate / (n + 1), below + p * rate / (n + 1) FROM tabled
   WHERE n < ceil(rate + 12 * sqrt(rate) + 40)
 ), tables AS (
-  SELECT source, list(below ORDER BY n) AS below FROM tabled GROUP BY source
-), drawn AS (
-  SELECT d.*, t.below,
-         CAST('0x' || substr(md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)
-           / 4503599627370496.0::DOUBLE AS u
+  SELECT source, parts, list(below ORDER BY n) AS below FROM tabled GROUP BY source, parts
+), numbers AS (
+  SELECT d.*, t.below, coalesce(CAST(doc_id AS VARCHAR), '') AS name, unnest(range(0, t.parts)) AS part
   FROM docs d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+), uniform AS (
+  SELECT *, CAST('0x' || substr(md5('mix' || CASE WHEN part > 0 THEN '/part ' || CAST(part AS VARCHAR) ELSE '' END || '/' || name), 1, 13) AS BIGINT)
+              / 4503599627370496.0::DOUBLE AS u
+  FROM numbers
+), drawn AS (
+  SELECT r, {columns}, name, CAST(sum(len(list_filter(below, lambda b: b <= u))) AS BIGINT) AS copies
+  FROM uniform GROUP BY ALL
 )
 SELECT {columns}, CAST(copy AS INTEGER) AS copy,
-       md5('mix/order/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(copy AS VARCHAR)) AS shuffle_key
-FROM drawn, unnest(range(0, len(list_filter(below, lambda b: b <= u)))) AS t(copy)
+       md5('mix/order/' || name || '/' || CAST(copy AS VARCHAR)) AS shuffle_key
+FROM drawn, unnest(range(0, copies)) AS t(copy)
 """
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickreports.llm import texts
-from clickreports.llm.steps import Steps, without
+from clickreports.llm.steps import Steps, numbered, without
 
 _ANCHORS = "__row long, k long, s long, first int, n int"
 _OPEN = "k long, kinds long, __row long, first int, n int, string binary"
@@ -69,7 +69,7 @@ def remove_repeats(
     if not 16 <= length <= 30_000:
         raise ValueError("length must be 16 to 30000")
     steps = Steps(docs.sparkSession)
-    keyed = _numbered(docs, id_column, text_column, steps)
+    keyed, _ = numbered(docs, id_column, text_column, steps)
     text_rows = keyed.select("__row", F.col(text_column).alias("text")).where(F.octet_length("text") >= length)
 
     # Anchors are worked out twice: that costs less than keeping those whose bucket is theirs alone.
@@ -78,6 +78,7 @@ def remove_repeats(
     shared = steps.land("shared", shared)
     anchors = text_rows.mapInArrow(_anchor_rows(length), _ANCHORS)
     active = steps.land("active", anchors.join(shared, "k", "left_semi"))
+    steps.drop("shared")
 
     ranges = active.groupBy("k", "s").agg(
         F.min(F.struct("__row", "first", "n")).alias("least"), F.count(F.lit(1)).alias("members")
@@ -93,9 +94,10 @@ def remove_repeats(
     spelled = per_row.join(text_rows, "__row").mapInArrow(_range_texts(length), _OPEN)
     spelled = steps.land("spelled", spelled)
     small = spelled.where(F.col("kinds") <= SMALL_BUCKET).repartition("k").sortWithinPartitions("k")
-    near = small.mapInArrow(_refined(length), "__row long, first int, n int")
+    near = steps.land("near", small.mapInArrow(_refined(length), "__row long, first int, n int"))
     windows = spelled.where(F.col("kinds") > SMALL_BUCKET).mapInArrow(_window_rows(length), _WINDOWS)
     windows = steps.land("windows", windows)
+    steps.drop("spelled", "open")
     earliest = windows.groupBy("a", "b").agg(
         F.min(F.struct("__row", "first")).alias("least"), F.count(F.lit(1)).alias("members")
     )
@@ -104,6 +106,7 @@ def remove_repeats(
     found = whole.unionByName(single)
     covered = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__at"))
     covered = steps.land("covered", covered)
+    steps.drop("active", "ranges", "windows", "near")
     added = ("n_bytes", "n_removed", "spans", "kept_sha256")
     joined = keyed.join(covered, "__row", "left").select(*without(docs, *added), "__at", _text(text_column))
     fields = [docs.schema[c] for c in without(docs, *added) if keep_text or c != text_column]
@@ -122,20 +125,6 @@ def _all_but_least(members: DataFrame, groups: DataFrame, key: list[str], n) ->
     return members.alias("d").join(least.alias("e"), key).where(later).select("d.__row", "d.first", n)
 
 
-def _numbered(docs: DataFrame, id_column: str, text_column: str, steps: Steps) -> DataFrame:
-    """``docs`` with a number per row, ascending with the id.
-
-    Unique whole-number ids serve as they are. Otherwise the rows are landed once in the
-    order of id and text hash and numbered by partition and place.
-    """
-    whole = docs.schema[id_column].dataType.typeName() in ("byte", "short", "integer", "long")
-    per_id = docs.groupBy(F.col(id_column).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    if whole and per_id.where("rows > 1 OR id IS NULL").isEmpty():
-        return docs.withColumn("__row", F.col(id_column).cast("long"))
-    order = (F.col(id_column).asc_nulls_first(), F.xxhash64(text_column), F.xxhash64(F.monotonically_increasing_id()))
-    return steps.land("numbered", docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()))
-
-
 class _Depths:
     """Bucket identifiers of ``length``-byte windows, by doubling from q-grams."""
 

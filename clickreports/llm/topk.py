@@ -1,11 +1,10 @@
 """Exact top-k search by inner product: tiled matrix products and merged lists.
 
-Vectors are quantized to whole numbers, landed by id in shards, and queries gathered
-into blocks of ``QUERY_ROWS`` rows. A tile is one query block against one shard: a
-matrix product and the ``k`` best of each query. Lists of a query are merged as a tree,
-``FAN`` shards at a time, so that no task sees more than ``FAN`` lists of a query at
-once. A query set that grows with the table makes more blocks, each of which reads every
-shard; nothing is broadcast.
+Vectors are quantized to whole numbers and dealt into shards, queries into blocks, both of
+bounded size (``tiles``). A tile is one block of queries against one shard: a matrix
+product and the ``k`` best of each query. Lists of a query are merged as a tree, so that no
+task sees more than a few lists of a query at once. A query set that grows with the table
+makes more blocks, each of which is broadcast in its turn and reads every shard where it lies.
 """
 
 from __future__ import annotations
@@ -14,133 +13,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickreports.llm import tiles
 from clickreports.llm.steps import Steps
 
-QUERY_ROWS = 1024
-SHARD_ROWS = 4096
-FAN = 16
+QUERIES = 256  # rows of a product
 _EXACT = float(1 << 53)
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+_SHARD = "shard int, dims int, ids binary, rows binary, points binary"
+_LIST = "query_row long, query_id long, shard int, vec_id long, row long, score long"
 
 
 def top_k(
     vectors: DataFrame,
-    queries: DataFrame,
+    asked: Column,
     k: int = 5,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     scale: int = 256,
 ) -> DataFrame:
-    """The ``k`` rows of ``vectors`` with the largest inner product for every query.
+    """The ``k`` rows with the largest inner product for every row of ``vectors`` where ``asked`` is true.
 
-    ``queries`` has the same columns; a query's own id is not among its results. Each
-    component x counts as floor(``scale`` * x), x as double, and scores are whole numbers.
-    Ties go to the smaller id; with fewer than ``k`` candidates there are as many rows.
-    Vectors without an id, null, or with a null or non-finite component take no part, nor
-    do components beyond 2^62 / ``scale``; an empty vector scores 0 with other empty ones, and
-    only vectors of one length are compared. Of rows that share an id the smallest vector counts.
+    All rows but the query's own are candidates, also rows that share its id; every query
+    row gets a list of its own. Each component x counts as floor(``scale`` * x), x as double,
+    and scores are whole numbers, exact for components of any size; a score beyond a long is
+    given as the nearest long. Ties go to the smaller id; with fewer than ``k`` candidates
+    there are as many rows. Vectors without an id, null, or with a null or non-finite component
+    take no part; an empty vector scores 0 with other empty ones, and only vectors of one
+    length are compared. Other columns play no part, whatever their names.
 
-    Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. Scores beyond a long fail the job.
-    """
-    steps = Steps(vectors.sparkSession)
-    points = steps.land("points", _quantized(vectors, id_column, vector_column, scale))
-    asked = _quantized(queries, id_column, vector_column, scale)
-    shards = max(1, -(-points.count() // SHARD_ROWS))
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    shard_blocks = _matrices(dealt, "shard")
-    asked = steps.land("asked", asked)
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    query_blocks = _matrices(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "block")
-    query_blocks = steps.land("queries", query_blocks.select("block", "dims", F.struct("ids", "codes").alias("q")))
-    # Every shard meets every block: one copy of its matrix for each.
-    tiles = shard_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = tiles.join(query_blocks, ["block", "dims"])
-    lists = tiles.select("shard", "dims", "q", F.struct("ids", "codes").alias("p"))
-    lists = lists.mapInArrow(_tile(k), "query_id long, shard int, vec_id long, score long")
-    order = (F.col("score").desc(), F.col("vec_id").asc())
-    width = shards
-    while width > FAN:
-        width = -(-width // FAN)
-        lists = lists.withColumn("shard", (F.col("shard") / FAN).cast("int"))
-        best = Window.partitionBy("query_id", "shard").orderBy(*order)
-        lists = lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-    best = Window.partitionBy("query_id").orderBy(*order)
-    ranked = lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    doubles = F.col(vector_column).cast("array<double>")
-    bound = float(1 << 62) / scale
-    finite = F.forall(doubles, lambda x: F.coalesce(F.abs(x) < bound, F.lit(False)))
-    codes = F.transform(doubles, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & finite)
-    return rows.select(F.col(id_column).cast("long").alias("id"), codes.alias("codes")).groupBy("id").agg(
-        F.min("codes").alias("codes")
-    )
-
-
-def _matrices(rows: DataFrame, key: str) -> DataFrame:
-    """One row per ``key``, length and slice: ids and the codes of all as one array.
-
-    A key has a bounded number of rows, dealt by a hash of their id.
+    Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
     """
-    return (
-        rows.withColumn("dims", F.size("codes"))
-        .groupBy(key, "dims")
-        .agg(F.collect_list(F.struct("id", "codes")).alias("rows"))
-        .select(key, "dims", F.col("rows.id").alias("ids"), F.flatten("rows.codes").alias("codes"))
-    )
-
-
-def _product(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Exact whole-number products: in doubles while every sum stays below 2^53."""
-    if queries.shape[1] == 0:
+    found = tiles.points(vectors, asked, id_column, vector_column, zeros=True)
+    order = (F.col("score").desc(), F.col("vec_id").asc(), F.col("row").asc())
+    return tiles.best_lists(Steps(vectors.sparkSession), found, order, (_packed, _SHARD), (_searched(k, scale), _LIST), k)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            kinds = (("ids", np.int64), ("rows", np.int64), ("points", np.float64))
+            cells = [pa.array([tiles.numbers(batch.column(c)[i], kind).tobytes()], pa.binary()) for c, kind in kinds]
+            columns = [batch.column(c).slice(i, 1) for c in ("shard", "dims")]
+            yield pa.RecordBatch.from_arrays(columns + cells, ["shard", "dims", "ids", "rows", "points"])
+
+
+def codes(points: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): doubles where all are exact there, else Python's whole numbers."""
+    with np.errstate(over="ignore"):
+        found = np.floor(points * float(scale))
+    if np.isfinite(found).all():
+        return found
+    # Doubles this large are whole numbers themselves.
+    whole = [int(x) * scale if abs(x) >= _EXACT else int(np.floor(x * scale)) for x in points.ravel().tolist()]
+    return np.array(whole, dtype=object).reshape(points.shape)
+
+
+def product(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Exact whole-number products of codes: in doubles while every sum stays below 2^53."""
+    if queries.shape[1] == 0 or not len(points):
         return np.zeros((len(queries), len(points)), dtype=np.int64)
-    most = float(np.abs(queries).max()) * float(np.abs(points).max()) * queries.shape[1]
-    if most < _EXACT:
-        return (queries.astype(np.float64) @ points.T.astype(np.float64)).astype(np.int64)
-    if most < 2.0**63:
-        return queries @ points.T
-    exact = queries.astype(object) @ points.T.astype(object)
-    if any(not -(1 << 63) <= x < 1 << 63 for x in exact.ravel()):
-        raise OverflowError("an inner product does not fit a long")
-    return exact.astype(np.int64)
-
-
-def _tile(k: int):
-    def matrix(cell: pa.StructScalar, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.asarray(cell["ids"].values).astype(np.int64)
-        codes = np.asarray(cell["codes"].values).astype(np.int64) if dims else np.zeros(0, np.int64)
-        return ids, codes.reshape(len(ids), dims)
-
-    def best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray):
-        """Row and column of each row's ``k`` best by (score, smaller id), itself left out."""
-        order = np.argsort(ids)
-        ids, scores = ids[order], scores[:, order]
-        for row in range(len(scores)):
-            line, own = scores[row], ids == query_ids[row]
-            at = np.flatnonzero(~own)
+    if queries.dtype != object and points.dtype != object:
+        with np.errstate(over="ignore"):
+            most = float(np.abs(queries).max()) * float(np.abs(points).max()) * queries.shape[1]
+        if most < _EXACT:
+            return (queries @ points.T).astype(np.int64)
+        if most < 2.0**62:
+            return queries.astype(np.int64) @ points.T.astype(np.int64)
+    whole = [np.array([[int(x) for x in row] for row in side], dtype=object) for side in (queries, points)]
+    exact = whole[0] @ whole[1].T
+    return np.array([[min(max(x, _LEAST), _MOST) for x in row] for row in exact], dtype=np.int64)
+
+
+def _searched(k: int, scale: int):
+    def best(query_rows: np.ndarray, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray):
+        """Row and column of each query's ``k`` best by (score, smaller id), itself left out."""
+        for i in range(len(scores)):
+            line = scores[i]
+            at = np.flatnonzero(rows != query_rows[i])
             if len(at) > k:
                 edge = np.partition(line[at], len(at) - k)[len(at) - k]
                 at = at[line[at] >= edge]
-            at = at[np.argsort(-line[at], kind="stable")[:k]]
-            yield np.full(len(at), query_ids[row]), ids[at], line[at]
+            at = at[np.lexsort((rows[at], ids[at]))]
+            at = at[np.argsort(-line[at].astype(object), kind="stable")[:k]] if len(at) and line[at].min() == _LEAST else at[np.argsort(-line[at], kind="stable")[:k]]
+            yield np.full(len(at), i), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
+                cell = lambda name, kind: np.frombuffer(batch.column(name)[row].as_py(), dtype=kind)  # noqa: B023, E731
                 dims, shard = batch.column("dims")[row].as_py(), batch.column("shard")[row].as_py()
-                query_ids, queries = matrix(batch.column("q")[row], dims)
-                ids, points = matrix(batch.column("p")[row], dims)
-                for lo in range(0, len(query_ids), 256):
-                    part = query_ids[lo : lo + 256]
-                    found = [np.concatenate(x) for x in zip(*best(part, ids, _product(queries[lo : lo + 256], points)), strict=True)]
-                    query, vector, score = found
-                    columns = [query, np.full(len(query), shard, np.int32), vector, score]
-                    names = ["query_id", "shard", "vec_id", "score"]
+                ids, rows = cell("ids", np.int64), cell("rows", np.int64)
+                points = codes(cell("points", np.float64).reshape(len(ids), dims), scale)
+                q = batch.column("q")[row]
+                query_ids, query_rows = tiles.numbers(q["ids"], np.int64), tiles.numbers(q["rows"], np.int64)
+                queries = codes(tiles.matrix(q["points"], len(query_ids), dims), scale)
+                for lo in range(0, len(query_ids), QUERIES):
+                    part = slice(lo, lo + QUERIES)
+                    scores = product(queries[part], points)
+                    which, at = (np.concatenate(x) for x in zip(*best(query_rows[part], ids, rows, scores), strict=True))
+                    columns = [query_rows[part][which], query_ids[part][which], np.full(len(at), shard, np.int32), ids[at], rows[at], scores[which, at]]
+                    names = ["query_row", "query_id", "shard", "vec_id", "row", "score"]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return run

@@ -4,10 +4,12 @@ A list is a log of dated entries: from some moment on a pattern is blocked, allo
 taken off. Per pattern the entries become validity intervals, each ending where the next
 begins. A capture is judged by the entries active when it was fetched: an as-of join of
 its candidate patterns (host, parent domains, and host with path prefixes) with the
-intervals. Intervals are cut at the borders of ``SLICE_DAYS`` time slices, so that the join
-has the equal key (pattern, slice) and one interval per entry active in the slice: a
-pattern with a long history does not meet all of it, and a host with a third of all
-captures is dealt over its slices and split further by adaptive execution.
+intervals. Time is cut in slices of ``SLICE_DAYS``, and the join has the equal key
+(pattern, slice): a capture meets the intervals that begin in its slice and the one open
+when the slice begins. That one is carried forward by a window over the slices that a
+pattern's entries and captures use, however far apart they are, so that no interval is
+spread over the slices it lasts. A pattern with a long history does not meet all of it, and a
+host with a third of all captures is dealt over its slices and split further by adaptive execution.
 """
 
 from __future__ import annotations
@@ -75,6 +77,22 @@ def validity(entries: DataFrame) -> DataFrame:
     return timeline.where("action != 'remove'")
 
 
+def _carried(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per asked (pattern, slice) the interval open when the slice begins, if any.
+
+    A row per pattern and slice in which it has entries or is asked for; intervals that
+    begin within the slice itself are not among them.
+    """
+    marks = asked.select("pattern", "slice", F.lit(True).alias("asked")).distinct()
+    lasts = entries.groupBy("pattern", "slice").agg(F.max("entry").alias("entry"))
+    both = lasts.unionByName(marks, allowMissingColumns=True).groupBy("pattern", "slice")
+    both = both.agg(F.max("entry").alias("entry"), F.coalesce(F.max("asked"), F.lit(False)).alias("asked"))
+    before = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.withColumn("open", F.last("entry", ignorenulls=True).over(before)).where(F.col("asked") & F.col("open").isNotNull())
+    still = F.col("open.valid_to").isNull() | (F.unix_timestamp("open.valid_to") >= F.col("slice") * _SLICE)
+    return carried.where(still).select("pattern", "open.action", "open.valid_from", "open.valid_to", "slice")
+
+
 def evaluate(
     captures: DataFrame, entries: DataFrame, url_column: str = "url", time_column: str = "fetched"
 ) -> DataFrame:
@@ -101,12 +119,9 @@ def evaluate(
     asked = distinct.select(
         "url", "at", F.floor(F.unix_timestamp("at") / _SLICE).alias("slice"), F.posexplode(patterns_of(F.col("url")))
     ).select("url", "at", "slice", F.col("pos").alias("place"), F.col("col").alias("pattern"))
-    times = captures.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi")).first()
-    first, last = ((int(t) // _SLICE if t is not None else 0) for t in (times["lo"], times["hi"]))
-    begins = F.greatest(F.floor(F.unix_timestamp("valid_from") / _SLICE), F.lit(first))
-    ends = F.least(F.coalesce(F.floor(F.unix_timestamp("valid_to") / _SLICE), F.lit(last)), F.lit(last))
-    sliced = intervals.withColumn("begins", begins).withColumn("ends", ends).where("begins <= ends")
-    sliced = sliced.select("*", F.explode(F.sequence("begins", "ends")).alias("slice")).drop("begins", "ends")
+    intervals = intervals.withColumn("slice", F.floor(F.unix_timestamp("valid_from") / _SLICE))
+    entry = F.struct("valid_from", "action", "valid_to")
+    sliced = intervals.unionByName(_carried(intervals.select("pattern", "slice", entry.alias("entry")), asked))
     active = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     met = asked.join(sliced, ["pattern", "slice"]).where(active)
     decided = met.groupBy("url", "at").agg(
