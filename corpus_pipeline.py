@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at similarity 0.8 over five-word shingles."""
     ship(spark)
-    return near_dups.keep_one_each(docs, near_dups.near_duplicates(docs, words=5, percent=80)).select(*COLUMNS)
+    return near_dups.one_of_each(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
