@@ -105,6 +105,18 @@ def threshold(projections: int = PROJECTIONS, reach: float = REACH, miss: float
     return projections
 
 
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares leave a double's range."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = np.abs(rows).max(axis=1)
+        found = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        odd = np.flatnonzero(((most > 1e150) | (most < 1e-150)) & (most > 0) & np.isfinite(most))
+        if len(odd):
+            part = rows[odd] / most[odd, None]
+            found[odd] = np.sqrt(np.einsum("ij,ij->i", part, part)) * most[odd]
+    return found
+
+
 class Shard:
     """One shard's arrays, and the widening of queries' windows over them."""
 
@@ -160,10 +172,7 @@ class Query:
         if not len(places):
             return
         self.pending[places] = False
-        # Sums beyond a double are infinite distances.
-        with np.errstate(over="ignore"):
-            apart = self.shard.points[places] - self.query
-            apart = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+        apart = lengths(self.shard.points[places] - self.query)
         self.found, self.distances = np.concatenate((self.found, places)), np.concatenate((self.distances, apart))
         if len(self.found) > self.k:
             keep = self.distances <= np.partition(self.distances, self.k - 1)[self.k - 1]

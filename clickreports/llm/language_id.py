@@ -78,15 +78,17 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lan
 
     Labels of fewer rows are learned whole; the hash is of id and text, and the row with a
     label's smallest hash is always taken. Rows without label or trigrams are left out, and
-    so are labels without any other; at most ``MAX_LANGUAGES`` labels, the most frequent. The
-    driver gets one number per language and bucket.
+    so are labels without any other. More than ``MAX_LANGUAGES`` labels are refused: the driver
+    gets one number per language and bucket, and every row one per language.
     """
     keys = [F.col(c) for c in (id_column, text_column) if c in labelled.columns]
     draw = F.pmod(F.xxhash64(*keys, F.lit("fit")), F.lit(DRAWS))
     rows = labelled.select(F.col(label_column).alias("lang"), F.col(text_column).alias("text"), draw.alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_TRIGRAM))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("draw").alias("least"))
-    sizes = sizes.orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = sizes.limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels with texts; these are hardly languages")
     languages = tuple(sorted(r["lang"] for r in sizes))
     last = {r["lang"]: max(r["least"], int(min(1.0, TRAINING_ROWS / r["rows"]) * DRAWS)) for r in sizes}
     lasts = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
@@ -236,11 +238,13 @@ def identify(
         return steps.land(column, each.select(column, logs.alias(f"{column}_logs")))
 
     domains = _counts(lettered, F.col("host"), languages, ["domain"])
+    domains = domains.withColumn("all", sum_of("sums") + HOST_STRENGTH)
     smooth = F.zip_with("sums", overall, lambda n, p: (n + HOST_STRENGTH * p))
-    domains = domains.select("domain", F.transform(smooth, lambda x: x / (sum_of("sums") + HOST_STRENGTH)).alias("prior"))
+    domains = domains.select("domain", F.transform(smooth, lambda x: x / F.col("all")).alias("prior"))
     hosts = _counts(lettered, F.col("host"), languages, ["host", "domain"]).join(domains, "domain")
+    hosts = hosts.withColumn("all", sum_of("sums") + HOST_STRENGTH)
     smooth = F.zip_with("sums", "prior", lambda n, p: (n + HOST_STRENGTH * p))
-    logs = F.transform(smooth, lambda x: F.log(x / (sum_of("sums") + HOST_STRENGTH)))
+    logs = F.transform(smooth, lambda x: F.log(x / F.col("all")))
     hosts = steps.land("hosts", hosts.select("host", logs.alias("host_logs")))
     fused = scored.join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
     fused = fused.join(hosts, "host", "left")

@@ -1,23 +1,29 @@
-"""Language-model scores: a word baseline, a subword lattice, and a mixture above the lattice.
+"""Language-model scores: a word baseline and a subword lattice.
 
 The base model counts words of the training documents, add-one smoothed. The lattice
-model scores a text as a sequence of subword pieces of an existing vocabulary: a piece has
-a probability, a segmentation the product of its pieces', and the text the sum over all
-segmentations that spell it, by a forward recursion in logs over byte positions. Every
-word starts with the vocabulary's space mark and no piece has one inside, so the sum
-falls into a product over words and a word is worked out once per block of texts.
-
-The lattice alone cannot know whole words. In the mixture a word is drawn from the counts of
-the training documents of one class (their language), or else from the counts of all of
-them, or else spelt by the lattice. The class is unknown, so the text's probability is the
-sum over all classes. Within a text, words are drawn by a Dirichlet-multinomial process, whose
-probability does not depend on the words' order: a word used once is likelier again.
-
-Learning reads all training documents: words are counted by a Spark aggregate, then the
-distinct words are segmented by the vocabulary's own scores, and pieces counted over
-segmentations, weighted by word counts. Scoring needs a count for every word of every
-document. The most frequent words (``HEAD_WORDS`` at most) go to all tasks; the others are
-joined by word, one row per document and word, so hot words never meet in one task.
+scores a text as a sequence of units: the pieces of an existing subword vocabulary and, as
+longer edges, the words known from training. A unit has a probability, a segmentation the
+product of its units', and the text the sum over all segmentations that spell it, by a
+forward recursion in logs over byte positions. Every word starts with the vocabulary's
+space mark and no piece has one inside, so the sum falls into a product over words and a
+word is worked out once per block of texts. A word seen n times among N in training, V
+distinct, is the known word's edge with weight n, or spelt by pieces with weight V + 1, of
+N + V + 1 in all: V + 1 words have been new so far.
+
+The pieces' probabilities are estimated by expectation: from the vocabulary's own segmentation
+of the distinct training words, ``ROUNDS`` rounds of forward and backward sums over each
+word's lattice give every piece's expected number of uses. Each distinct word counts once,
+for pieces spell words that are new.
+
+Beside it stands a mixture over classes of training documents (their language): words are
+drawn from the counts of one class, else like above, by a Dirichlet-multinomial process, by
+which a word used once is likelier again; the text's probability is the sum over all classes.
+
+Learning reads all training documents: words are counted by a Spark aggregate, and the
+expected uses of pieces summed over the distinct words by another. Scoring needs a count
+for every word of every document. The most frequent words (``HEAD_WORDS`` at most) go to all
+tasks; the others are joined by word, one row per document and word, so hot words never
+meet in one task.
 """
 
 from __future__ import annotations
@@ -39,7 +45,8 @@ HEAD_WORDS = 200_000
 FOLDS = 7
 HELD_OUT = 2
 CLASSES = 8  # the most frequent ones; all others form the last
-CONCENTRATION = 3000.0  # training words that weigh as much as the text's own
+CONCENTRATION = 1000.0  # of the mixture: training words that weigh as much as the text's own; not fitted to any text
+ROUNDS = 3
 SPACE = "▁"
 _LOG10 = math.log(10.0)
 _FLUSH = 1_000_000
@@ -104,50 +111,90 @@ class Pieces:
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         spans = np.cumsum([0, *(len(p) for p in pieces)])
         hashes = texts.Rolling(np.frombuffer(b"".join(pieces), np.uint8), 5).spans(spans[:-1], spans[1:])
-        order = np.argsort(hashes)
-        self.hashes, self.logs = hashes[order], logs[order]
+        self.order = np.argsort(hashes)
+        self.hashes, self.logs = hashes[self.order], logs[self.order]
         self.sizes = np.unique([len(p) for p in pieces])
 
     def word_logs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log of the summed probability of all segmentations of each word, space mark first."""
         out = np.empty(len(starts))
-        sizes = ends - starts
-        order = np.argsort(sizes, kind="stable")
-        lo = 0
-        while lo < len(order):
-            size = int(sizes[order[lo]])
-            hi = int(np.searchsorted(sizes[order], size, side="right"))
-            step = max(1, (1 << 17) // (size + 1))
-            for a in range(lo, hi, step):
-                some = order[a : min(hi, a + step)]
-                out[some] = self._forward(data, starts[some], size)
-            lo = hi
+        for some, size in _alike(ends - starts, 1 << 17):
+            lengths, ending, _ = self._edges(data, starts[some], size)
+            out[some] = _forward(lengths, ending)[-1]
+        return out
+
+    def expected(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Expected uses of every piece in the given words, each once."""
+        totals = np.zeros(len(self.logs))
+        for some, size in _alike(ends - starts, 1 << 16):
+            lengths, ending, at = self._edges(data, starts[some], size)
+            reach, rest = _forward(lengths, ending), _backward(lengths, ending)
+            for k, length in enumerate(lengths.tolist()):
+                uses = np.exp(reach[:-length] + ending[k, length:] + rest[length:] - reach[-1])
+                totals += np.bincount(at[k, length:].ravel(), weights=uses.ravel(), minlength=len(totals))
+        out = np.empty(len(totals))
+        out[self.order] = totals
         return out
 
-    def _forward(self, data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    def _edges(self, data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece lengths, and by length, end and word the log probability of the piece there (-inf: none) and its place."""
         count, width = len(starts), size + 1
         grid = np.empty((count, width), dtype=np.uint8)
         grid[:, 0] = 32
         grid[:, 1:] = data[starts[:, None] + np.arange(size)]
         rolling = texts.Rolling(grid.ravel(), 5)
         lengths = self.sizes[self.sizes <= width]
-        # Log probability of the piece of each length that ends at each place, if there is one.
         ending = np.full((len(lengths), width + 1, count), -np.inf)
+        places = np.zeros((len(lengths), width + 1, count), dtype=np.int64)
         base = np.arange(count) * width
         for k, length in enumerate(lengths.tolist()):
             ends = np.arange(length, width + 1)[:, None] + base
             hashes = rolling.spans(ends - length, ends)
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             ending[k, length:] = np.where(self.hashes[at] == hashes, self.logs[at], -np.inf)
-        reach = np.full((width + 1, count), -np.inf)
-        reach[0] = 0.0
-        for end in range(1, width + 1):
-            usable = lengths <= end
-            ways = reach[end - lengths[usable]] + ending[usable, end]
-            top = ways.max(axis=0)
-            # Byte pieces reach every place.
-            reach[end] = top + np.log(np.exp(ways - top).sum(axis=0))
-        return reach[width]
+            places[k, length:] = at
+        return lengths, ending, places
+
+
+def _alike(sizes: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Places of equal sizes, in parts of about so many cells."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        size = int(sizes[order[lo]])
+        hi = int(np.searchsorted(sizes[order], size, side="right"))
+        step = max(1, cells // (size + 1))
+        for a in range(lo, hi, step):
+            yield order[a : min(hi, a + step)], size
+        lo = hi
+
+
+def _summed(ways: np.ndarray) -> np.ndarray:
+    top = ways.max(axis=0)
+    # Byte pieces reach every place.
+    return top + np.log(np.exp(ways - top).sum(axis=0))
+
+
+def _forward(lengths: np.ndarray, ending: np.ndarray) -> np.ndarray:
+    """By place, the log of the summed probability of all ways to it."""
+    reach = np.full(ending.shape[1:], -np.inf)
+    reach[0] = 0.0
+    for end in range(1, len(reach)):
+        usable = lengths <= end
+        reach[end] = _summed(reach[end - lengths[usable]] + ending[usable, end])
+    return reach
+
+
+def _backward(lengths: np.ndarray, ending: np.ndarray) -> np.ndarray:
+    """By place, the log of the summed probability of all ways from it to the end."""
+    rest = np.full(ending.shape[1:], -np.inf)
+    rest[-1] = 0.0
+    width = len(rest) - 1
+    for start in range(width - 1, -1, -1):
+        usable = np.flatnonzero(lengths <= width - start)
+        stops = start + lengths[usable]
+        rest[start] = _summed(rest[stops] + ending[usable, stops])
+    return rest
 
 
 def _log(counts: np.ndarray) -> np.ndarray:
@@ -234,7 +281,7 @@ def _vocabulary(path: str) -> tuple[list[bytes], dict[int, int]]:
 
 
 def _piece_counts(path: str):
-    """Pieces of the vocabulary's own segmentation of words, weighted by the words' counts."""
+    """Pieces of the vocabulary's own segmentation of words, each word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -243,22 +290,51 @@ def _piece_counts(path: str):
         strings, place = _vocabulary(path)
         of = np.full(model.get_piece_size(), -1, dtype=np.int64)
         of[list(place)] = list(place.values())
-        totals = np.zeros(len(strings), dtype=np.int64)
+        totals = np.zeros(len(strings))
         for batch in batches:
-            counts = np.asarray(batch.column("n"))
             for lo in range(0, batch.num_rows, 4096):
                 found = model.encode(batch.column("word").slice(lo, 4096).to_pylist(), num_threads=1)
                 ids = of[np.fromiter((i for f in found for i in f), dtype=np.int64)]
-                weights = np.repeat(counts[lo : lo + 4096], [len(f) for f in found])
-                known = ids >= 0
-                totals += np.bincount(ids[known], weights=weights[known], minlength=len(strings)).astype(np.int64)
-        used = np.flatnonzero(totals)
-        columns = [pa.array(used.astype(np.int32)), pa.array(totals[used])]
-        yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
+                totals += np.bincount(ids[ids >= 0], minlength=len(strings))
+        yield _used(totals)
+
+    return run
+
+
+def _expected_counts(model: Pieces):
+    """Expected uses of pieces over the lattices of words, each word once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(len(model.logs))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                raw = [w.encode() for w in batch.column("word").slice(lo, 4096).to_pylist()]
+                spans = np.cumsum([0, *map(len, raw)])
+                totals += model.expected(np.frombuffer(b"".join(raw), np.uint8), spans[:-1], spans[1:])
+        yield _used(totals)
 
     return run
 
 
+def _used(totals: np.ndarray) -> pa.RecordBatch:
+    used = np.flatnonzero(totals)
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], ["piece", "n"])
+
+
+def _fitted(counts: DataFrame, vocabulary: str) -> Pieces:
+    """The vocabulary's pieces with probabilities estimated on the distinct words of ``counts``."""
+    strings, _ = _vocabulary(vocabulary)
+    model = None
+    for _ in range(ROUNDS + 1):
+        step = _piece_counts(vocabulary) if model is None else _expected_counts(model)
+        used = counts.select("word").mapInArrow(step, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        used = used.toArrow()  # a row per piece at most
+        weights = np.full(len(strings), 0.1)
+        weights[np.asarray(used.column("piece").combine_chunks())] += np.asarray(used.column("n").combine_chunks())
+        model = Pieces(strings, np.log(weights / weights.sum()))
+    return model
+
+
 def score(
     docs: DataFrame,
     vocabulary: str,
@@ -276,8 +352,9 @@ def score(
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known`` (tokens seen in training),
     ``train_tokens``, and log10 of the text's probability as ``base_score``, ``score`` (the
-    mixture) and ``lattice_score`` (the lattice alone). The probabilities of the mixture, and
-    of the lattice, add up to one at most over all token sequences.
+    lattice), ``piece_score`` (the lattice of pieces alone, without edges for known words) and
+    ``mixture_score``. All but the base's probabilities add up to one at most over all token
+    sequences; the base gives every unknown word the same share, however many there are.
     """
     steps = Steps(docs.sparkSession)
     label = F.col(class_column) if class_column else F.lit(None)
@@ -304,21 +381,17 @@ def score(
         sums["types"],
     )
 
-    strings, _ = _vocabulary(vocabulary)
-    pieces = counts.select("word", "n").mapInArrow(_piece_counts(vocabulary), "piece int, n long")
-    used = pieces.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row per piece at most
-    weights = np.full(len(strings) + 1, 0.1)
-    weights[np.asarray(used.column("piece").combine_chunks())] += np.asarray(used.column("n").combine_chunks())
-    weights[-1] += ends
-    logs = np.log(weights / weights.sum())
-    model = Pieces(strings, logs[:-1])
+    model = _fitted(counts, vocabulary)
+    # A text ends after each word with the share of ends among all training tokens.
+    end = (ends + 1) / (tokens + 2)
+    frame = (math.log(end), math.log1p(-end))
 
     head, least = _head(counts, len(ks), model)
     known_end = math.log10(ends + 1)
     class_columns = ", ".join(f"s{k} double" for k in ks)
     scored = rows.select("doc_id", "held_out", "text").mapInArrow(
-        _scored(model, mixture, float(logs[-1]), head, known_end, ends > 0),
-        "row long, doc_id {0}, held_out boolean, n_tokens long, n_known long, base double, lattice_score double, "
+        _scored(model, mixture, frame, head, known_end, ends > 0),
+        "row long, doc_id {0}, held_out boolean, n_tokens long, n_known long, base double, lattice double, piece_score double, "
         "{1}, words array<struct<word:string,times:int,lattice:double>>".format(
             docs.schema[id_column].dataType.simpleString(), class_columns
         ),
@@ -329,24 +402,25 @@ def score(
     # Words above the head's least count are in the head; a joined word has at most ``least`` occurrences.
     tail = counts.where(F.col("n") < least)
     met = rare.join(tail, "word").drop("word").mapInArrow(
-        _known(mixture), f"row long, more_known long, more double, {class_columns}"
+        _known(mixture), f"row long, more_known long, more double, more_lattice double, {class_columns}"
     )
-    sums_of = [F.sum(c).alias(c) for c in ("more_known", "more")] + [F.sum(f"s{k}").alias(f"more{k}") for k in ks]
+    sums_of = [F.sum(c).alias(c) for c in ("more_known", "more", "more_lattice")] + [F.sum(f"s{k}").alias(f"more{k}") for k in ks]
     result = numbered.drop("words").join(met.groupBy("row").agg(*sums_of), "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)
     by_class = F.array(*(F.col(f"s{k}") + F.coalesce(f"more{k}", F.lit(0.0)) for k in ks))
     likeliest = F.array_max(by_class)
     rest = F.aggregate(by_class, F.lit(0.0), lambda total, s: total + F.exp(s - likeliest))
-    return result.select(
+    return steps.result(result.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        ((likeliest + F.log(rest)) / F.lit(_LOG10)).alias("score"),
-        "lattice_score",
-    )
+        ((F.col("lattice") + F.coalesce("more_lattice", F.lit(0.0))) / F.lit(_LOG10)).alias("score"),
+        "piece_score",
+        ((likeliest + F.log(rest)) / F.lit(_LOG10)).alias("mixture_score"),
+    ))
 
 
 @dataclass(frozen=True)
@@ -413,11 +487,12 @@ def _known(mixture: Mixture):
             lattice, times, n = (np.asarray(batch.column(c)) for c in ("lattice", "times", "n"))
             seen, unseen = mixture.shared(n, lattice), mixture.shared(np.zeros_like(n), lattice)
             columns = [batch.column("row"), pa.array(times.astype(np.int64)), pa.array(times * np.log10(n + 1.0))]
+            columns.append(pa.array(times * (seen - unseen)))
             for k in range(len(mixture.docs)):
                 of_class = np.asarray(batch.column(f"n{k}"))
                 more = log_rising(mixture.draws(k, of_class, seen), times)
                 columns.append(pa.array(more - log_rising(mixture.draws(k, np.zeros_like(n), unseen), times)))
-            names = ["row", "more_known", "more", *(f"s{k}" for k in range(len(mixture.docs)))]
+            names = ["row", "more_known", "more", "more_lattice", *(f"s{k}" for k in range(len(mixture.docs)))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -426,7 +501,7 @@ def _known(mixture: Mixture):
 def _scored(
     model: Pieces,
     mixture: Mixture,
-    end_log: float,
+    frame: tuple[float, float],
     head: Head,
     known_end: float,
     seen_end: bool,
@@ -442,7 +517,6 @@ def _scored(
         per_word = np.empty(distinct)
         per_word[found] = head.lattice[at]
         per_word[~found] = model.word_logs(words.data, words.starts[~found], words.ends[~found])
-        lattice = np.bincount(words.rows, weights=per_word[words.of], minlength=n) + end_log
         pairs, times = np.unique(words.rows * max(1, distinct) + words.of, return_counts=True)
         row, word = pairs // max(1, distinct), pairs % max(1, distinct)
         tokens = np.bincount(words.rows, minlength=n)
@@ -450,6 +524,9 @@ def _scored(
         known = np.bincount(row, weights=times * frequent[word], minlength=n)
         base = np.bincount(row, weights=times * np.log10(seen[:, 0] + 1.0)[word], minlength=n)
         shared = mixture.shared(seen[:, 0], per_word)
+        around = frame[0] + tokens * frame[1]
+        lattice = np.bincount(row, weights=times * shared[word], minlength=n) + around
+        pieces = np.bincount(row, weights=times * per_word[word], minlength=n) + around
         scores = []
         for k in ks:
             drawn = log_rising(mixture.draws(k, seen[:, k + 1], shared)[word], times)
@@ -463,13 +540,14 @@ def _scored(
             pa.array((tokens + 1).astype(np.int64)),
             pa.array(known.astype(np.int64) + int(seen_end)),
             pa.array(base + known_end),
-            pa.array(lattice / _LOG10),
+            pa.array(lattice),
+            pa.array(pieces / _LOG10),
             *scores,
             lists,
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lattice_score"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lattice", "piece_score"]
         names += [*(f"s{k}" for k in ks), "words"]
         for batch in batches:
             for block in texts.blocks(batch.column("text")):

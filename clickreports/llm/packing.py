@@ -33,10 +33,17 @@ def byte_bpe(path: str):
     """The encoder of a byte-level BPE tokenizer file: text to the ids its library gives.
 
     Texts that hold one of the file's added tokens, such as the end of a text, are encoded
-    by the library. For all others the file's vocabulary is loaded as merge ranks, which give the same ids several times
-    faster where every merge makes the token with the next higher id; else the file's own
-    library encodes.
+    by the library. For all others the file's vocabulary is loaded as merge ranks, which give
+    the same ids several times faster where every merge makes the token with the next higher
+    id; else the library encodes them too.
     """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+
+    def exact(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
     with open(path, encoding="utf-8") as file:
         whole = json.load(file)
     model, added = whole["model"], [t["content"] for t in whole.get("added_tokens") or []]

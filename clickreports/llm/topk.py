@@ -39,8 +39,8 @@ def top_k(
 
     All rows but the query's own are candidates, also rows that share its id; every query
     row gets a list of its own. Each component x counts as floor(``scale`` * x), x as double,
-    and scores are whole numbers, exact for components of any size; a score beyond a long is
-    given as the nearest long. Ties go to the smaller id; with fewer than ``k`` candidates
+    and scores are whole numbers, exact for components of any size; a score beyond a long
+    counts as the nearest long. Ties go to the smaller id; with fewer than ``k`` candidates
     there are as many rows. Vectors without an id, null, or with a null or non-finite component
     take no part; an empty vector scores 0 with other empty ones, and only vectors of one
     length are compared. Other columns play no part, whatever their names.
@@ -98,7 +98,7 @@ def _searched(k: int, scale: int):
                 edge = np.partition(line[at], len(at) - k)[len(at) - k]
                 at = at[line[at] >= edge]
             at = at[np.lexsort((rows[at], ids[at]))]
-            at = at[np.argsort(-line[at].astype(object), kind="stable")[:k]] if len(at) and line[at].min() == _LEAST else at[np.argsort(-line[at], kind="stable")[:k]]
+            at = at[np.argsort(~line[at], kind="stable")[:k]]  # falling; unlike the negative, ~ cannot overflow
             yield np.full(len(at), i), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ from clickreports.llm import (
     queries,
     repeats,
     texts,
+    tiles,
     topk,
     url_filters,
 )
-from clickreports.llm.steps import ship
+from clickreports.llm.steps import Steps, ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i * i}" for i in range(3000))
@@ -62,6 +64,7 @@ TEXTS = [
     PASSAGE,
     "line one\nline two\nline three",
     "line three\nline one\nline two",
+    "a <|endoftext|> b",
 ]
 
 
@@ -126,6 +129,26 @@ def test_url_filters(spark):
     assert url_filters.evaluate(table.limit(0), listed.limit(0)).count() == 0
 
 
+def test_url_filters_far_apart(spark):
+    entries = spark.createDataFrame(
+        [("a.com", "block", dt.datetime(1960, 1, 1)), ("a.com", "allow", dt.datetime(2000, 6, 1))]
+        + [(f"p{i}.org", "block", dt.datetime(2001, 1, 1)) for i in range(200)],
+        "pattern string, action string, dated timestamp",
+    )
+    times = [dt.datetime(1970, 1, 1), dt.datetime(1955, 1, 1), dt.datetime(2000, 6, 1), dt.datetime(9999, 12, 31), dt.datetime(2024, 1, 1)]
+    rows = [(i, "http://a.com/", at) for i, at in enumerate(times)] + [(9, "http://p7.org", dt.datetime(9999, 1, 1))]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched timestamp").withColumns({"slice": F.lit(1), "entry": F.lit(2)})
+    found = {r.page_id: r.verdict for r in url_filters.evaluate(captures, entries).collect()}
+    assert found == {0: "block", 1: "unlisted", 2: "allow", 3: "allow", 4: "allow", 9: "block"}
+    # One row at most per asked pattern and slice is carried forward, however long the time between.
+    asked = spark.createDataFrame([("a.com", 0), ("a.com", 366_000)], "pattern string, slice long")
+    intervals = url_filters.validity(entries).withColumn("slice", F.floor(F.unix_timestamp("valid_from") / url_filters._SLICE))
+    entry = F.struct("valid_from", "action", "valid_to").alias("entry")
+    assert url_filters._carried(intervals.select("pattern", "slice", entry), asked).count() == 2
+    none = url_filters.evaluate(captures, entries.limit(0))
+    assert {r.verdict for r in none.collect()} == {"unlisted"} and none.count() == 6
+
+
 # --- packing ---
 
 
@@ -134,7 +157,6 @@ def test_pieces_and_packing(spark, docs, empty):
 
     path = queries.tokenizer_path(queries.PACKING_TOKENIZER)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     placed = packing.pack(packing.token_pieces(docs, path, with_ids=True)).collect()
     by_doc = {}
     for r in placed:
@@ -166,6 +188,40 @@ def in_order(placed, capacity=2048):
     return len(sequences)
 
 
+def exchanges_left(bins, lengths, capacity):
+    """Exchanges of one or two items for one, or moves, that would fill a bin from one with as much room."""
+    rooms = [capacity - int(lengths[b].sum()) for b in bins]
+    loose = [k for k, r in enumerate(rooms) if r]
+    if sum(rooms[k] for k in loose) < capacity:
+        return 0
+    sets = {k: [(x,) for x in bins[k]] + list(itertools.combinations(bins[k], 2)) for k in loose}
+    left = 0
+    for b, other in itertools.permutations(loose, 2):
+        if rooms[other] > rooms[b]:
+            sums = [(int(lengths[list(t)].sum()), len(t)) for t in sets[other]]
+            for given in [(), *sets[b]]:
+                size = int(lengths[list(given)].sum()) if given else 0
+                left += any(0 < taken - size <= rooms[b] and (n, len(given)) != (2, 2) for taken, n in sums)
+    return left
+
+
+@pytest.mark.parametrize(("low", "high"), [(600, 1101), (650, 721), (300, 901)])
+def test_local_search_leaves_no_exchange(low, high):
+    lengths = np.random.default_rng(low).integers(low, high, 120)
+    bins = packing.packed(lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(120))
+    assert exchanges_left(bins, lengths, 2048) == 0
+    # Figures of a search over all gains and pairs for 2,000 such pieces.
+    lengths = np.random.default_rng(1).integers(low, high, 2000)
+    assert len(packing.packed(lengths, 2048)) <= {600: 906, 650: 723, 300: 600}[low]
+
+
+def test_columns_of_the_places_are_replaced(spark):
+    pieces = spark.createDataFrame([(1, 5, 9, 9), (1, 5, 9, 9)], "doc_id long, length long, sequence_id long, offset int")
+    rows = packing.pack(pieces).collect()
+    assert sorted((r.doc_id, r.length, r.offset) for r in rows) == [(1, 5, 0), (1, 5, 5)] and len({r.sequence_id for r in rows}) == 1
+
+
 def test_local_search_packs_close_to_the_bound():
     rng = np.random.default_rng(5)
     for low, high in ((300, 1200), (700, 1100), (1, 2047)):
@@ -182,27 +238,41 @@ def test_local_search_packs_close_to_the_bound():
 # --- top-k ---
 
 
-def test_top_k(spark):
+def brute_top(rows, asked, k):
+    """Best scores of each asked row of (id, codes), by place."""
+    out = []
+    for q, (name, codes) in enumerate(rows):
+        if asked(name):
+            score = lambda c: min(max(sum(a * b for a, b in zip(codes, c, strict=True)), -(1 << 63)), (1 << 63) - 1)  # noqa: B023, E731
+            others = [(-score(c), i) for p, (i, c) in enumerate(rows) if p != q and len(c) == len(codes)]
+            out += [(name, rank, i, -s) for rank, (s, i) in enumerate(sorted(others)[:k], 1)]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    vectors = {i: [float(x) for x in rng.normal(size=6)] for i in range(130)}
-    vectors[7] = vectors[9]  # ties go to the smaller id
-    odd = [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [math.nan] * 6), (203, [math.inf] * 6), (None, [1.0] * 6), (250, [1.0])]
-    table = spark.createDataFrame([*vectors.items(), *odd, (50, vectors[50])], "vec_id long, embedding array<double>")
-    found = topk.top_k(table.withColumn("id", F.lit(1)), table.where("vec_id % 50 = 0"), k=5).collect()
-    codes = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
-    expected = set()
-    for q in (0, 50, 100):
-        scores = sorted((-sum(a * b for a, b in zip(codes[q], c, strict=True)), i) for i, c in codes.items() if i != q)
-        expected |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)}
-    assert {tuple(r) for r in found} == expected and len(found) == 15
-    assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
+    vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(130)]
+    vectors[7] = (7, vectors[9][1])  # ties go to the smaller id
+    vectors += [(50, vectors[3][1]), (51, [2.0] * 6), (51, [-2.0] * 6), (250, [1.0]), (300, [1e200] * 6), (301, [-1e200] * 6), (150, [])]
+    odd = [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [math.nan] * 6), (203, [math.inf] * 6), (None, [1.0] * 6)]
+    table = spark.createDataFrame([*vectors, *odd], "vec_id long, embedding array<double>")
+    named = table.withColumns({"id": F.lit(1), "row": F.lit(2), "shard": F.lit(3), "score": F.lit(4)})
+    whole = lambda x: int(x) * 256 if abs(x) > 2**53 else math.floor(256 * x)
+    expected = brute_top([(i, [whole(x) for x in v]) for i, v in vectors], lambda i: i % 50 == 0, 5)
+    for values in (1 << 18, 60):
+        monkeypatch.setattr(tiles, "SHARD_VALUES", values)
+        monkeypatch.setattr(tiles, "BLOCK_VALUES", values)
+        found = topk.top_k(named, F.col("vec_id") % 50 == 0, k=5).collect()
+        assert sorted(tuple(r) for r in found) == expected
+    assert topk.top_k(table.limit(0), F.lit(True)).count() == 0
+    single = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(single, F.lit(True)).count() == 0
 
 
 def test_products_beyond_doubles_are_exact():
-    big = np.array([[1 << 40, 3]])
-    assert topk._product(big, np.array([[1 << 21, 1], [5, 7]])).tolist() == [[(1 << 61) + 3, 5 * (1 << 40) + 21]]
-    with pytest.raises(OverflowError):
-        topk._product(np.array([[1 << 40]]), np.array([[1 << 40]]))
+    big = np.array([[float(1 << 40), 3.0]])
+    assert topk.product(big, np.array([[float(1 << 21), 1.0], [5.0, 7.0]])).tolist() == [[(1 << 61) + 3, 5 * (1 << 40) + 21]]
+    assert topk.product(np.array([[2.0**40]]), np.array([[2.0**40], [-(2.0**40)]])).tolist() == [[(1 << 63) - 1, -(1 << 63)]]
 
 
 # --- mixing ---
@@ -241,6 +311,28 @@ def test_poisson_counts_of_high_rates(spark, rate):
     assert 0.5 < counts.var() / rate < 1.7
 
 
+@pytest.mark.parametrize("ids", ["null", "shared"])
+def test_rows_that_share_an_id_draw_on_their_own(spark, ids):
+    named = F.lit(None).cast("long") if ids == "null" else F.lit(3).cast("long")
+    rows = spark.range(20_000).select(named.alias("doc_id"), F.lit("s").alias("source"))
+    rates = spark.createDataFrame([("s", 1.0)], "source string, rate double")
+    for seed in ("mix", "a", "b", "c", "d"):
+        assert abs(mixing.replicate(rows, rates, seed=seed).count() / 20_000 - 1) < 0.03
+
+
+def test_the_statement_draws_in_parts_above_the_largest_rate(spark, tmp_path):
+    import duckdb
+
+    rows = spark.range(30).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("many").alias("source"))
+    rows = rows.withColumn("n_chars", F.when(F.col("doc_id") < 2, 1).otherwise(300_000).cast("long"))
+    rates = {r.source: r.rate for r in mixing.source_rates(rows).collect()}
+    assert rates["rare"] > mixing.WHOLE
+    found = mixing.replicate(rows, mixing.source_rates(rows))
+    rows.write.parquet(f"{tmp_path}/rows")
+    sql = queries.mixing_sql(f"SELECT * FROM '{tmp_path}/rows/*.parquet'", "doc_id, source, n_chars")
+    assert sorted(map(tuple, found.collect())) == sorted(duckdb.connect().execute(sql).fetchall())
+
+
 # --- near duplicates ---
 
 
@@ -278,11 +370,33 @@ def test_near_duplicates(spark, docs):
     found = near_dups.near_duplicates(table.withColumn("n", F.lit(1)), words=2).collect()
     expected = brute_components(dict(enumerate(texts)), 2)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == expected
-    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(0, False)]
     assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
-    again = table.where("doc_id IN (0, 1, 4)")
-    kept = near_dups.keep_one_each(again.unionByName(again), near_dups.near_duplicates(again.unionByName(again)))
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 4]
+    again = table.where("doc_id IN (0, 1, 4)").withColumns({"row": F.lit(1), "component": F.lit(2)})
+    kept = near_dups.one_of_each(again.unionByName(again))
+    assert kept.columns == again.columns
+    # Texts without words are linked with nothing.
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 1, 4]
+
+
+def test_rows_with_shared_or_missing_ids_are_documents_of_their_own(spark):
+    other = " ".join(f"o{i}" for i in range(40))
+    third = " ".join(f"t{i}" for i in range(40))
+    rows = [(5, PASSAGE), (5, other), (9, PASSAGE), (12, other), (None, PASSAGE), (None, third), (None, third), (None, None), (7, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = near_dups.one_of_each(table).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(5, PASSAGE), (5, other), (0, third), (0, ""), (7, "")])
+    found = near_dups.near_duplicates(table).collect()
+    assert len(found) == len(rows)
+    seen = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in found)
+    assert seen == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (12, 5, False), (0, 5, False), (0, 0, True), (0, 0, False), (0, 0, True), (7, 7, True)])
+
+
+def test_unsettled_components_fail(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "MOST_ROUNDS", 1)
+    links = spark.range(20).selectExpr("id AS x", "id + 1 AS y")
+    with pytest.raises(RuntimeError, match="settled"):
+        near_dups.connected(Steps(spark), "chain", links)
 
 
 def test_near_duplicates_of_nothing(empty):
@@ -320,6 +434,72 @@ def test_fingerprints(spark, docs, empty):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def exact_likeness(one, other):
+    """Of the counts of word pairs within paragraphs."""
+
+    def pairs(text):
+        out = Counter()
+        for line in (text or "").encode().split(b"\n"):
+            words = re.findall(rb"[^\x20\x09-\x0D]+", line)
+            out.update(zip(words, words[1:], strict=False) if len(words) > 1 else [(w, None) for w in words])
+        return out
+
+    a, b = pairs(one), pairs(other)
+    both = sum(x * x for x in a.values()) + sum(x * x for x in b.values())
+    apart = sum((a[k] - b[k]) ** 2 for k in a | b)
+    return 1.0 if not both else max(0.0, 1 - apart / both)
+
+
+def test_likeness_against_whole_counts(spark):
+    table = queries.table(spark, "/root/testdata/sf0.001", "documents").withColumns({"part": F.lit(1), "hash": F.lit(2)})
+    texts_of = {r.doc_id: r.text or "" for r in table.collect()}
+    falling = sorted(texts_of, reverse=True)
+    found = {r.doc_id: r for r in fingerprints.compare_neighbours(table).collect()}
+    errors = []
+    for i, after in zip(falling, falling[1:] + falling[:1], strict=True):
+        text, following = texts_of[i], texts_of[after]
+        edited = fingerprints.edited_text(text, following)
+        errors += [found[i].near_edited - exact_likeness(text, edited), found[i].near_next - exact_likeness(text, following)]
+    assert np.abs(errors).max() < 0.3 and np.sqrt(np.mean(np.square(errors))) < 0.06
+
+
+def test_a_line_repeated_many_times(spark):
+    text = "one line of words\n" * 50_000
+    table = spark.createDataFrame([(2, text), (1, "x y z\n" * 50_000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in fingerprints.compare_neighbours(table).collect()}
+    edited = fingerprints.edited_text(text, "x y z\n" * 50_000)
+    assert abs(found[2].near_edited - exact_likeness(text, edited)) < 0.05
+    assert fingerprints.plus(fingerprints.fingerprint(text), fingerprints.fingerprint("one line of words"), -1) == (
+        fingerprints.fingerprint("one line of words\n" * 49_999)
+    )
+
+
+def test_missing_and_shared_ids_spread_and_keep_their_neighbours(spark):
+    number = F.col("id")
+    rows = spark.range(3000).select(
+        F.when(number % 3 == 0, None).when(number % 3 == 1, 77).otherwise(number).alias("doc_id"),
+        F.concat(F.lit("text "), number).alias("text"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        found = fingerprints.compare_neighbours(rows)
+        parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        ids = [r.doc_id for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(parts) == 3000 and sorted(i or 0 for i in ids) == sorted(r.doc_id or 0 for r in rows.collect())
+    # Every text is the neighbour of one other: the hashes of the edited texts say which.
+    by_place = sorted(((r.doc_id, r.text) for r in rows.withColumn("h", F.xxhash64("text")).sort(F.desc_nulls_last("doc_id"), "h").collect()), key=lambda _: 0)
+    expected = Counter(
+        hashlib.sha256(fingerprints.edited_text(a, b).encode()).hexdigest()
+        for (_, a), (_, b) in zip(by_place, by_place[1:] + by_place[:1], strict=True)
+    )
+    assert Counter(r.edited_sha256 for r in found.collect()) == expected
+    share = F.lit(0.5)
+    assert fingerprints._parts_of(F.lit(3), share, [], "long", 1) is not None
+
+
 def test_paragraphs_go_in_and_out():
     both, one, other = (fingerprints.fingerprint(t) for t in ("a b c\nd e f", "a b c", "d e f"))
     assert fingerprints.plus(one, other) == both and fingerprints.plus(both, other, -1) == one
@@ -422,6 +602,37 @@ def test_headers_formulas_and_labels_of_the_article():
     assert html_text.main_text(page, {}) == f"{TEXT} x=2 a label an object\n{TEXT}"
 
 
+def test_a_page_in_one_form():
+    page = f"<body><form id='page'><nav>Home News</nav><h1>Title</h1><p>{TEXT}</p><p>{TEXT}</p><input name='q'><button>Go</button></form></body>"
+    tags = {name: -0.1 for name in ("h1", "/h1", "p", "/p")}
+    assert html_text.main_text(page, tags) == f"Title\n{TEXT}\n{TEXT}"
+    # A form within the text is one, and goes.
+    page = f"<body><p>{TEXT}</p><form>Your name <input></form><p>{TEXT}</p></body>"
+    assert html_text.main_text(page, {}) == f"{TEXT}\n{TEXT}"
+
+
+def test_holes_do_not_part_the_article():
+    advert = "buy this now " * 200
+    page = f"<body><article><p>{TEXT}</p><div class='ad'>{advert}</div><p>{TEXT * 3}</p></article></body>"
+    weights = html_text.weights_of(html_text.counted(page) | {("word side ads", False): 10_000, ("word p", True): 5000})
+    assert weights["word side ads"] < -5
+    assert html_text.main_text(page, weights) == f"{TEXT}\n{TEXT * 3}"
+    bare = f"<body><div><p>{TEXT * 3}</p><div class='ad'>{advert}</div><p>{TEXT * 3}</p></div></body>"
+    assert html_text.main_text(bare, weights) == f"{TEXT * 3}\n{TEXT * 3}"
+
+
+def test_learned_weights_choose_the_region(spark):
+    """Boilerplate that no list names: only its kind of element tells it from the article."""
+    boiler = "".join(f"<dl><dd>Plain words of the house number {i} and what it has to say</dd></dl>" for i in range(8))
+    marked = [f"<body>{boiler}<article><p>{TEXT}</p><p>{TEXT} {i}</p></article></body>" for i in range(40)]
+    bare = f"<body>{boiler}<div><p>{TEXT}</p><p>{TEXT}</p></div></body>"
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate([*marked, bare])], "page_id long, url string, html string")
+    weights = html_text.learn(pages)
+    assert html_text.main_text(bare, weights) == f"{TEXT}\n{TEXT}"
+    constant = {k: 1.0 if k.startswith("word ") else -2.0 for k in weights}
+    assert html_text.main_text(bare, constant) != f"{TEXT}\n{TEXT}"
+
+
 def test_weights_of_hinted_words_are_learned():
     labelled = f"<article><p>{TEXT}</p><div class='menu'><p>Soup and bread</p></div></article><div class='sidebar'><b>Old news</b></div>"
     counts = {k: 40 * n for k, n in html_text.counted(labelled).items()}
@@ -458,6 +669,71 @@ def test_language(spark, empty):
     assert [r.accepted for r in language_id.identify(odd, language_id.fit(empty)).collect()] == [False] * 3
 
 
+def test_posterior_by_brute_force(spark):
+    """Every factor of the posterior worked out again, row by row."""
+    samples = {"en": "the house and the garden of the people", "de": "das haus und der garten der leute", "fr": "la maison et le jardin des gens"}
+    rng = np.random.default_rng(0)
+    rows, said = [], []
+    for i in range(90):
+        lang = list(samples)[i % 3]
+        words = [w for other in samples for w in samples[other].split() if other == lang or rng.random() < 0.3]
+        text = None if i == 17 else "" if i == 18 else " ".join(rng.permutation(words)[: int(rng.integers(1, 9))])
+        rows.append((i, text, lang, f" Host{i % 4}.org" if i % 5 else None, 0))
+        if i % 2:
+            said.append((i, ["EN-gb", "de", "", None][i % 4], [f"http://a{i % 3}.example.{lang}/x", "nothing", None][i % 3]))
+    table = spark.createDataFrame(rows, SCHEMA)
+    evidence = spark.createDataFrame(said, "doc_id long, declared string, url string")
+    model = language_id.fit(table)
+    found = {r.id: r for r in language_id.identify(table, model, evidence, host_column="source").collect()}
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    size = len(model.languages)
+    read, notes = {}, {i: (d, u) for i, d, u in said}
+    for i, text, _, source, _ in rows:
+        (block,) = texts.blocks(pa.array([text or ""]))
+        buckets = language_id._trigrams(block)[1]
+        score = model.logs[:, buckets].astype(float).sum(axis=1) * min(1.0, language_id.EVIDENCE / max(1, len(buckets)))
+        declared, url = notes.get(i, (None, None))
+        declared = (re.match("[a-z]*", (declared or "").lower())[0]) or None
+        address = (re.match("https?://([^/]+)", url or "") or [None, None])[1]
+        host = address or (source.strip().lower() if source else None)
+        domain = ".".join(host.split(".")[-2:]) if host else None
+        read[i] = (len(buckets), score, softmax(score), declared, address.rsplit(".", 1)[-1] if address else None, host, domain)
+    lettered = [r for r in read.values() if r[0]]
+    summed = lambda place, value: sum((r[2] for r in lettered if r[place] == value), np.zeros(size))
+    base = sum(r[2] for r in lettered) + language_id.SMOOTHING
+    overall = base / base.sum()
+    for i, (letters, score, _, declared, suffix, host, domain) in read.items():
+        logs = score.copy()
+        for place, value in ((3, declared), (4, suffix)):
+            if value is not None and any(r[place] == value for r in lettered):
+                logs += np.log(summed(place, value) + 0.1 * language_id.SMOOTHING) - np.log(base)
+        if host is not None and any(r[5] == host for r in lettered):
+            strength = language_id.HOST_STRENGTH
+            near = sum((r[2] for r in lettered if r[6] == domain), np.zeros(size))
+            prior = (near + strength * overall) / (near.sum() + strength)
+            own = summed(5, host)
+            logs += np.log((own + strength * prior) / (own.sum() + strength))
+        else:
+            logs += np.log(overall)
+        posterior = softmax(logs)
+        r = found[i]
+        assert (r.declared, r.suffix, r.host) == (declared, suffix, host)
+        assert r.probability == pytest.approx(posterior.max(), abs=1e-9)
+        assert posterior[model.languages.index(r.lang)] == pytest.approx(posterior.max(), abs=1e-9)
+        assert r.accepted == (letters > 0 and r.probability >= language_id.THRESHOLD)
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(i, "some letters", lang, "s", 0) for i, lang in enumerate(["en", "de", "fr"])]
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        language_id.fit(spark.createDataFrame(rows, SCHEMA))
+
+
 def test_rows_go_by_their_own_verdict(spark):
     table = queries.table(spark, "/root/testdata/sf0.01", "documents")
     good = "the people of the house and the time of the year were what they had all been waiting for"
@@ -516,13 +792,13 @@ def test_scores(spark, docs, empty):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (i in out, len(words), n)
         assert r.n_known == sum(w in counts for w in words)
         assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words))
-        assert r.score < 0 and r.lattice_score < 0
+        assert r.piece_score < 0 and r.mixture_score < 0 and r.piece_score <= r.score < 0
     assert lm_scoring.score(empty, path).count() == 0
 
 
 def test_rare_words_are_joined(spark, docs, monkeypatch):
     path = queries.tokenizer_path(queries.SCORING_VOCABULARY)
-    columns = ["doc_id", "n_known", F.round("base_score", 6), F.round("score", 6)]
+    columns = ["doc_id", "n_known", F.round("base_score", 6), F.round("score", 6), F.round("mixture_score", 6)]
     whole = sorted(lm_scoring.score(docs, path).select(*columns).collect())
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)
     assert whole == sorted(lm_scoring.score(docs, path).select(*columns).collect())
@@ -548,8 +824,13 @@ def test_mixture_draws_words_one_by_one(spark, column):
                 c[w] = c.get(w, 0) + 1
     total = {w: sum(c.get(w, 0) for c in counts) for c in counts for w in c}
     n, v, big = sum(total.values()), len(total), lm_scoring.CONCENTRATION
-    lattice = _lattice_of(path, total, len(train), [r.text for r in one.collect()])
+    lattice = _lattice_of(path, total, [r.text for r in one.collect()])
+    stop = (len(train) + 1) / (n + len(train) + 2)
     for i, text in enumerate(texts):
+        words = text.split()
+        spelt = [(total.get(w, 0) + (v + 1) * lattice[w]) / (n + v + 1) for w in words]
+        assert found[i].score == pytest.approx(math.log10(stop) + sum(math.log10((1 - stop) * p) for p in spelt))
+        assert found[i].piece_score == pytest.approx(math.log10(stop) + sum(math.log10((1 - stop) * lattice[w]) for w in words))
         whole = 0.0
         for mine, c in zip(classes, counts, strict=True):
             n_k, v_k = sum(c.values()), len(c)
@@ -562,27 +843,47 @@ def test_mixture_draws_words_one_by_one(spark, column):
                 p *= (1 - end) * (before.count(w) + big * of_class) / (len(before) + big)
                 before.append(w)
             whole += p
-        assert found[i].score == pytest.approx(math.log10(whole))
+        assert found[i].mixture_score == pytest.approx(math.log10(whole))
 
 
-def _lattice_of(path, total, ends, words):
-    """Probability of each word by a plain forward recursion over the counted pieces."""
+def _lattice_of(path, known, words):
+    """Probability of each word by plain recursions, the pieces' own estimated on the known words."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     strings, place = lm_scoring._vocabulary(path)
-    weights = [0.1] * len(strings)
-    for w, times in total.items():
-        for i in model.encode(w):
-            weights[place[i]] += times
-    chance = {s: x / (sum(weights) + 0.1 + ends) for s, x in zip(strings, weights, strict=True)}
-    out = {}
-    for w in words:
-        raw, reach = b" " + w.encode(), [1.0]
+
+    def forward(raw, chance):
+        reach = [1.0]
         for end in range(1, len(raw) + 1):
             reach.append(sum(reach[a] * chance.get(raw[a:end], 0.0) for a in range(end)))
-        out[w] = reach[-1]
-    return out
+        return reach
+
+    uses = {s: 0.1 for s in strings}
+    for w in known:
+        for i in model.encode(w):
+            uses[strings[place[i]]] += 1
+    for turn in range(lm_scoring.ROUNDS + 1):
+        chance = {s: x / sum(uses.values()) for s, x in uses.items()}
+        if turn == lm_scoring.ROUNDS:
+            break
+        uses = {s: 0.1 for s in strings}
+        for w in known:
+            raw = b" " + w.encode()
+            there = forward(raw, chance)
+            rest = forward(raw[::-1], {s[::-1]: x for s, x in chance.items()})[::-1]
+            for a, b in itertools.combinations(range(len(raw) + 1), 2):
+                if raw[a:b] in chance:
+                    uses[raw[a:b]] += there[a] * chance[raw[a:b]] * rest[b] / there[-1]
+    return {w: forward(b" " + w.encode(), chance)[-1] for w in words}
+
+
+def test_scores_of_null_and_shared_ids(spark):
+    path = queries.tokenizer_path(queries.SCORING_VOCABULARY)
+    rows = [(i, f"some words w{i % 5}", "en", "s", 0) for i in range(30)] + [(None, "some words", None, "s", 0), (None, None, None, "s", 0), (3, "w3", "en", "s", 0)]
+    found = lm_scoring.score(spark.createDataFrame(rows, SCHEMA).withColumns({"word": F.lit(1), "n": F.lit(2)}), path).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in found if r.doc_id in (None, 3)) == [(False, 2), (False, 4), (True, 1), (True, 3)]
+    assert len(found) == len(rows) and all(r.score < 0 for r in found)
 
 
 def test_rising_factorials():
