@@ -11,7 +11,7 @@ distinct, is the known word's edge with weight n, or spelt by pieces with weight
 N + V + 1 in all: V + 1 words have been new so far.
 
 The pieces' probabilities are estimated by expectation: from the vocabulary's own segmentation
-of the distinct training words, ``ROUNDS`` rounds of forward and backward sums over each
+of the distinct training words, ``ROUNDS`` rounds (one, as each reads all distinct words) of forward and backward sums over each
 word's lattice give every piece's expected number of uses. Each distinct word counts once,
 for pieces spell words that are new.
 
@@ -46,7 +46,7 @@ FOLDS = 7
 HELD_OUT = 2
 CLASSES = 8  # the most frequent ones; all others form the last
 CONCENTRATION = 1000.0  # of the mixture: training words that weigh as much as the text's own; not fitted to any text
-ROUNDS = 3
+ROUNDS = 1
 SPACE = "▁"
 _LOG10 = math.log(10.0)
 _FLUSH = 1_000_000
@@ -119,7 +119,7 @@ class Pieces:
         """Log of the summed probability of all segmentations of each word, space mark first."""
         out = np.empty(len(starts))
         for some, size in _alike(ends - starts, 1 << 17):
-            lengths, ending, _ = self._edges(data, starts[some], size)
+            lengths, ending, _ = self._edges(data, starts[some], size, placed=False)
             out[some] = _forward(lengths, ending)[-1]
         return out
 
@@ -136,7 +136,7 @@ class Pieces:
         out[self.order] = totals
         return out
 
-    def _edges(self, data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _edges(self, data: np.ndarray, starts: np.ndarray, size: int, placed: bool = True):
         """Piece lengths, and by length, end and word the log probability of the piece there (-inf: none) and its place."""
         count, width = len(starts), size + 1
         grid = np.empty((count, width), dtype=np.uint8)
@@ -145,14 +145,15 @@ class Pieces:
         rolling = texts.Rolling(grid.ravel(), 5)
         lengths = self.sizes[self.sizes <= width]
         ending = np.full((len(lengths), width + 1, count), -np.inf)
-        places = np.zeros((len(lengths), width + 1, count), dtype=np.int64)
+        places = np.zeros((len(lengths), width + 1, count), dtype=np.int32) if placed else None
         base = np.arange(count) * width
         for k, length in enumerate(lengths.tolist()):
             ends = np.arange(length, width + 1)[:, None] + base
             hashes = rolling.spans(ends - length, ends)
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             ending[k, length:] = np.where(self.hashes[at] == hashes, self.logs[at], -np.inf)
-            places[k, length:] = at
+            if placed:
+                places[k, length:] = at
         return lengths, ending, places
 
 

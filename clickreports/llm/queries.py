@@ -116,7 +116,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"), tokenizer_path(SCORING_VOCABULARY))
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, tokenizer_path(SCORING_VOCABULARY), class_column=None)
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
